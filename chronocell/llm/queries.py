@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from chronocell.llm.minhash import near_duplicates
 from chronocell.llm.mixture import mix_sources
 from chronocell.sources.tables import table
 
@@ -45,8 +46,15 @@ SELECT doc_id, size, source_size, target, (rounds + CASE WHEN h < coalesce(thres
 FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source LEFT JOIN e ON d.source IS NOT DISTINCT FROM e.source
 """
 
+
+
+def op5_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op3_source_mix": op3_source_mix,
+    "op5_minhash_dedup": op5_minhash_dedup,
 }
 
 ORACLES = {
