@@ -33,6 +33,11 @@ def place(key: Column) -> Column:
     return F.conv(F.substring(digest, 1, 12), 16, 10).cast("long")
 
 
+def _place(key: Column) -> Column:
+    """The 36 leading bits of ``place``."""
+    return F.shiftright(place(key), 12)
+
+
 def _named(source: str) -> Column:
     """The source as a join key that no null has: ``1`` and the name, or ``0``."""
     return F.when(F.col(source).isNull(), F.lit("0")).otherwise(F.concat(F.lit("1"), F.col(source)))
@@ -93,30 +98,15 @@ def _thresholds(places: DataFrame, budgets: DataFrame) -> DataFrame:
     return edge.select("s", (F.col("prefix") + F.when(F.col("rest") * 2 >= F.col("width"), 1).otherwise(0)).alias("threshold"))
 
 
-def mix_sources(
-    docs: DataFrame,
-    weights: tuple[float, ...] = (5.0, 2.0, 1.0),
-    share: float = 1.5,
-    most: float = 2.0,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    source_col: str = "source",
-) -> DataFrame:
-    """``doc_id, source, size, source_size, target, copies, taken`` for every row of ``docs``.
-
-    ``copies`` says how often the mix repeats the document, ``taken = copies * size``.
-
-    Null text has size 0; a null source is a source of its own; rows of equal id have
-    equal places and so equal ``copies``; an empty table gives an empty result; other
-    columns are ignored.  Sources whose sizes sum to 0 have target 0 and take nothing.
-    """
+def mix_plan(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), share: float = 1.5, most: float = 2.0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> tuple[DataFrame, DataFrame]:
+    """The documents' ``doc_id, source, size, h`` and a row a source: ``s, source_size, target, rounds, threshold``."""
     scratch = Scratch(docs.sparkSession, "mix")
     sizes = scratch.keep(
         docs.select(
             F.col(id_col).alias("doc_id"),
             F.col(source_col).cast("string").alias("source"),
             word_count(F.col(text_col)).alias("size"),
-            F.shiftright(place(F.col(id_col)), 12).alias("h"),
+            _place(F.col(id_col)).alias("h"),
         ),
         "sizes",
     )
@@ -126,8 +116,36 @@ def mix_sources(
     thresholds = scratch.keep(_thresholds(sizes.select("source", "size", "h"), budgets.where("budget > 0").select("source", "budget")), "thresholds")
     plan = budgets.withColumn("s", _named("source")).join(thresholds, "s", "left").withColumn("threshold", F.coalesce("threshold", F.lit(0)))
     # A row a source: Spark broadcasts it by its file size, else splits the hot sources of the join.
-    plan = scratch.keep(plan.select("s", "source_size", "target", "rounds", "threshold"), "plan")
-    copies = F.col("rounds") + F.when(F.col("h") < F.col("threshold"), 1).otherwise(0)
+    return sizes, scratch.keep(plan.select("s", "source_size", "target", "rounds", "threshold"), "plan")
+
+
+def _copies() -> Column:
+    return F.col("rounds") + F.when(F.col("h") < F.col("threshold"), 1).otherwise(0)
+
+
+def mix_sources(docs: DataFrame, **options) -> DataFrame:
+    """``doc_id, source, size, source_size, target, copies, taken`` for every row of ``docs``.
+
+    ``copies`` says how often the mix repeats the document, ``taken = copies * size``.
+    Options are those of ``mix_plan``.
+
+    Null text has size 0; a null source is a source of its own; rows of equal id have
+    equal places and so equal ``copies``; an empty table gives an empty result; other
+    columns are ignored.  Sources whose sizes sum to 0 have target 0 and take nothing.
+    """
+    sizes, plan = mix_plan(docs, **options)
     out = sizes.withColumn("s", _named("source")).join(plan, "s")
-    out = out.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"))
+    out = out.select("doc_id", "source", "size", "source_size", "target", _copies().alias("copies"))
     return out.withColumn("taken", F.col("copies") * F.col("size"))
+
+
+def mixed_rows(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", **options) -> DataFrame:
+    """The rows of ``docs`` that the mix takes, with ``copies``, how often it repeats each.
+
+    A column of ``docs`` named ``copies`` is replaced.  See ``mix_sources`` for the cases.
+    """
+    plan = mix_plan(docs, id_col=id_col, source_col=source_col, **options)[1]
+    own = [c for c in docs.columns if c != "copies"]
+    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in own]).alias("row"), F.col(source_col).cast("string").alias("source"), _place(F.col(id_col)).alias("h"))
+    taken = row.withColumn("s", _named("source")).join(plan, "s").withColumn("copies", _copies()).where("copies > 0")
+    return taken.select("row.*", "copies")
