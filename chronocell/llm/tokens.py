@@ -28,8 +28,11 @@ from tokenizers import Tokenizer
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: White space of that pattern (fixed value: the Unicode property White_Space).
 SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-#: Chunks and pieces that a worker remembers before it starts afresh.
-REMEMBERED = 250_000
+#: Totals of chunks that a worker remembers in a generation, and whole tables and beginnings before it starts afresh.
+REMEMBERED = 600_000
+KEPT_TABLES = 100_000
+#: Bytes of a piece whose tables words with the same beginning share.
+HEAD = 6
 
 
 def _byte_letters() -> list[str]:
@@ -63,8 +66,10 @@ class PrefixCounter:
         self._chunks = re.compile(f"[{SPACE}]+(?![^{SPACE}])| ?[^{SPACE}]+|[{SPACE}]+")
         self._spaces = re.compile(f"[{SPACE}]+")
         self._fits: dict[int, bool] = {}
-        self._tables: dict[str, bytes | np.ndarray] = {}
+        self._begun: dict[bytes, tuple[tuple[int, ...], tuple[int, ...]]] = {}
+        self._tables: dict[str, bytes] = {}
         self._totals: dict[str, int] = {}
+        self._old: dict[str, int] = {}
 
     def _compatible(self, left: int, right: int) -> bool:
         """Whether the two tokens (left -1: none) encode to themselves when joined."""
@@ -74,49 +79,67 @@ class PrefixCounter:
             text = self._bytes.get(left, b"") + self._bytes[right]
             ids = [t.id for t in self._model.tokenize("".join(map(self._letters.__getitem__, text)))]
             known = ids == ([right] if left < 0 else [left, right])
-            if len(self._fits) > 4 * REMEMBERED:
+            if len(self._fits) > REMEMBERED:
                 self._fits.clear()
             self._fits[key] = known
         return known
 
     def byte_prefixes(self, piece: bytes) -> list[int]:
         """Tokens of each prefix of one piece, by bytes, from 0 to all of it."""
-        last, count, find, fits = [-1], [0], self._id.get, self._compatible
-        for end in range(1, len(piece) + 1):
-            for start in range(max(0, end - self._longest), end):
+        find, known, check, longest = self._id.get, self._fits.get, self._compatible, self._longest
+        n, head = len(piece), piece[:HEAD]
+        begun = self._begun.get(head)
+        last, count = (list(begun[0]), list(begun[1])) if begun else ([-1], [0])
+        for end in range(len(last), n + 1):
+            for start in range(end - longest if end > longest else 0, end):
                 token = find(piece[start:end])
-                if token is not None and fits(last[start], token):
-                    last.append(token)
-                    count.append(count[start] + 1)
-                    break
+                if token is not None:
+                    left = last[start]
+                    fits = known((left + 1) << 20 | token)
+                    if fits or fits is None and check(left, token):
+                        last.append(token)
+                        count.append(count[start] + 1)
+                        break
             else:
                 raise ValueError("the vocabulary lacks a byte")
+            if end == HEAD and not begun:
+                if len(self._begun) >= KEPT_TABLES:
+                    self._begun.clear()
+                self._begun[head] = tuple(last), tuple(count)
         return count
 
-    def _piece_table(self, piece: str) -> np.ndarray:
+    def _piece_table(self, piece: str) -> list[int] | bytes:
         """Tokens of each prefix of a piece, by code points."""
         table = self._tables.get(piece)
         if table is None:
             raw = piece.encode("utf-8", "surrogatepass")
-            by_byte = np.array(self.byte_prefixes(raw), dtype=np.int32)
-            heads = np.frombuffer(raw, dtype=np.uint8) & 0xC0 != 0x80
-            table = by_byte[np.append(np.flatnonzero(heads), len(raw))]
+            table = self.byte_prefixes(raw)
+            if len(raw) != len(piece):
+                heads = np.frombuffer(raw, dtype=np.uint8) & 0xC0 != 0x80
+                table = np.array(table)[np.append(np.flatnonzero(heads), len(raw))].tolist()
             if len(piece) > 2 and piece[0] == "'" and piece[1].isalpha():
                 table[2] = 2  # 'r of 're: apart, an apostrophe and a letter
-            if len(self._tables) >= REMEMBERED:
-                self._tables.clear()
             if len(piece) < 64:
+                table = bytes(table)
+                if len(self._tables) >= KEPT_TABLES:
+                    self._tables.clear()
                 self._tables[piece] = table
         return table
 
-    def _chunk_total(self, chunk: str) -> int:
-        total = self._totals.get(chunk)
+    def _total(self, chunk: str) -> int:
+        """Tokens of a chunk, remembered in two generations: what the young one misses the old one may have."""
+        total = self._old.get(chunk)
         if total is None:
-            total = sum(int(self._piece_table(p)[-1]) for p in self._pieces.findall(chunk))
+            pieces = self._pieces.findall(chunk)
+            if len(pieces) == 1:
+                total = self._piece_table(chunk)[-1]
+            else:
+                get = self._totals.get
+                total = sum([get(p) or self._total(p) for p in pieces])
+        if len(chunk) < 64:
             if len(self._totals) >= REMEMBERED:
-                self._totals.clear()
-            if len(chunk) < 64:
-                self._totals[chunk] = total
+                self._old, self._totals = self._totals, {}
+            self._totals[chunk] = total
         return total
 
     def _runs(self, text: str) -> list[tuple[str, bool]]:
@@ -131,7 +154,7 @@ class PrefixCounter:
         """The text's chunks and the tokens up to the end of each."""
         chunks: list[str] = []
         counts: list[int] = []
-        get, slow = self._totals.get, self._chunk_total
+        slow = self._total
         for part, special in self._runs(text):
             if special:
                 chunks.append(part)
@@ -139,6 +162,7 @@ class PrefixCounter:
                 continue
             found = self._chunks.findall(part)
             chunks += found
+            get = self._totals.get
             counts += [get(c) or slow(c) for c in found]
         return chunks, np.cumsum(counts, dtype=np.int64) if counts else np.zeros(0, np.int64)
 
@@ -151,12 +175,12 @@ class PrefixCounter:
         tail = np.empty(len(part), dtype=np.int64)
         at = before = 0
         for piece in self._pieces.findall(part):
-            tail[at : at + len(piece)] = before + self._piece_table(piece)[1:]
+            tail[at : at + len(piece)] = before + np.array(list(self._piece_table(piece)[1:]))
             at, before = at + len(piece), int(tail[at + len(piece) - 1])
         # A prefix that ends in white space ends in one piece: that run so far.
         for run in self._spaces.finditer(part):
             start = run.start()
-            tail[start : run.end()] = (int(tail[start - 1]) if start else 0) + self._piece_table(run[0])[1:]
+            tail[start : run.end()] = (int(tail[start - 1]) if start else 0) + np.array(list(self._piece_table(run[0])[1:]))
         return tail
 
     def prefixes(self, text: str | None) -> np.ndarray:
@@ -179,16 +203,21 @@ class PrefixCounter:
     def truncate(self, text: str | None, budget: int) -> int:
         """The length in code points of the longest prefix of at most ``budget`` tokens."""
         text = text or ""
-        chunks, upto = self.totals(text)
+        return self.fitting(text, *self.totals(text), budget)
+
+    def fitting(self, text: str, chunks: list[str], upto: np.ndarray, budget: int) -> int:
+        """``truncate`` of a text whose ``totals`` are given."""
         if not len(upto) or upto[-1] <= budget:
             return len(text)
         # Counts of prefixes can fall by a token or two where a piece grows; look a few chunks on.
         last = int(np.searchsorted(upto, budget + 2, side="right"))
         near = max(0, last - 3)
+        while near and chunks[near - 1].isspace():
+            near -= 1
         start = sum(map(len, chunks[:near]))
         base = int(upto[near - 1]) if near else 0
         window = "".join(chunks[near : last + 3])
-        if self._special and (self._special.search(window) or near and chunks[near][0].isspace()):
+        if self._special and near and self._special.search("".join(chunks[max(0, near - 1) : last + 3])):
             near, start, base, window = 0, 0, 0, "".join(chunks[: last + 3])
         counts = base + self.prefixes(window)
         return start + int(np.flatnonzero(counts <= budget)[-1])
@@ -215,10 +244,10 @@ def token_counts(docs: DataFrame, vocabulary: str, limit: int = 512, id_col: str
             n_bytes, n_tokens, fits = [], [], []
             for value in batch.column("text"):
                 text = value.as_py() or ""
-                total = tables.count(text)
+                chunks, upto = tables.totals(text)
                 n_bytes.append(len(text.encode("utf-8", "surrogatepass")))
-                n_tokens.append(total)
-                fits.append(len(text) if total <= limit else tables.truncate(text, limit))
+                n_tokens.append(int(upto[-1]) if len(upto) else 0)
+                fits.append(tables.fitting(text, chunks, upto, limit))
             numbers = [pa.array(x, pa.int64()) for x in (n_bytes, n_tokens, fits)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *numbers], names=["doc_id", "n_bytes", "n_tokens", "fits_chars"])
 

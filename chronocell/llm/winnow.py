@@ -30,30 +30,54 @@ def ascii_lower(text: Column) -> Column:
 def word_list(text: Column) -> Column:
     """The words of a text in order; an empty array for null."""
     parts = F.split(ascii_lower(F.coalesce(text, F.lit(""))), SEPARATOR)
-    return F.filter(parts, lambda w: w != "")
+    # Only the first and the last part can be empty.
+    first = F.when(parts[0] == "", 2).otherwise(1)
+    last = F.size(parts) - F.when((F.size(parts) > 1) & (F.element_at(parts, -1) == ""), 1).otherwise(0)
+    return F.slice(parts, first, F.greatest(last - first + 1, F.lit(0)))
 
 
-def _grams(words: str, length: int, first: str = "1") -> str:
-    """SQL: hashes of the ``length``-grams of an array that has at least that many words."""
-    return f"transform(sequence({first}, size({words}) - {length - 1}), i -> xxhash64(slice({words}, i, {length})))"
+def word_hashes(words: Column) -> Column:
+    return F.transform(words, lambda w: F.xxhash64(w))
 
 
-def _winnowed(k: int, w: int) -> Column:
-    """Array of ``(h, pos)`` (``pos`` from 1) kept from the array ``grams`` of k-gram hashes."""
-    # Of window j the last place of the smallest hash; windows are w wide, at least one.
-    last = f"(j + {w}) - array_position(reverse(slice(grams, j, {w})), array_min(slice(grams, j, {w})))"
-    places = f"array_distinct(transform(sequence(1, size(grams) - {w - 1}), j -> cast({last} as int)))"
+def _gram(hashes: str, at: str, length: int) -> str:
+    """SQL: the hash of ``length`` words from place ``at`` (from 0), made of their hashes."""
+    return "xxhash64(" + ", ".join(f"{hashes}[{at} + {k}]" for k in range(length)) + ")"
+
+
+def _grams(hashes: str, length: int) -> str:
+    """SQL: hashes of the ``length``-grams of an array that has at least that many word hashes."""
+    return f"transform(sequence(0, size({hashes}) - {length}), i -> {_gram(hashes, 'i', length)})"
+
+
+def _winnowed(w: int) -> Column:
+    """Array of ``(h, pos)`` (``pos`` from 1) kept from the array ``grams``: of ``w`` in a row the last smallest."""
+    last = "1"
+    for k in range(1, w):
+        before = [f"grams[j + {m}]" for m in range(k)]
+        smallest = before[0] if k == 1 else f"least({', '.join(before)})"
+        last = f"CASE WHEN grams[j + {k}] <= {smallest} THEN {k + 1} ELSE {last} END"
+    places = f"array_distinct(transform(sequence(0, size(grams) - {w}), j -> j + {last}))"
     return F.expr(f"transform({places}, p -> named_struct('h', grams[p - 1], 'pos', p))")
 
 
+def _whole(window: int) -> Column:
+    """The hash of all of ``hashes`` where those are fewer than ``window``."""
+    out = F.lit(None).cast("long")
+    for n in range(1, window):
+        out = F.when(F.size("hashes") == n, F.expr(_gram("hashes", "0", n))).otherwise(out)
+    return out
+
+
 def item_fingerprints(items: DataFrame, window: int, k: int) -> DataFrame:
     """``h, pos, item_id, item_words, length`` of all items: winnowed, or one for a short item."""
     w = window - k + 1
+    items = items.withColumn("hashes", word_hashes(F.col("item_words")))
     full = items.where(F.size("item_words") >= window)
-    full = full.withColumn("grams", F.expr(_grams("item_words", k))).withColumn("f", F.explode(_winnowed(k, w)))
+    full = full.withColumn("grams", F.expr(_grams("hashes", k))).withColumn("f", F.explode(_winnowed(w)))
     full = full.select("f.h", "f.pos", "item_id", "item_words", F.lit(k).alias("length"))
     short = items.where((F.size("item_words") > 0) & (F.size("item_words") < window))
-    short = short.select(F.xxhash64("item_words").alias("h"), F.lit(1).alias("pos"), "item_id", "item_words", F.size("item_words").alias("length"))
+    short = short.select(_whole(window).alias("h"), F.lit(1).alias("pos"), "item_id", "item_words", F.size("item_words").alias("length"))
     return full.unionByName(short).dropDuplicates(["h", "pos", "item_id", "length"])
 
 
@@ -61,15 +85,16 @@ def _document_prints(docs: DataFrame, window: int, k: int, short_lengths: list[i
     """``docs`` (with array ``words``) with one row a fingerprint: ``h, pos, length``."""
     w = window - k + 1
     n = F.size("words")
-    docs = docs.withColumn("grams", F.when(n >= window, F.expr(_grams("words", k))))
+    docs = docs.withColumn("hashes", word_hashes(F.col("words")))
+    docs = docs.withColumn("grams", F.when(n >= window, F.expr(_grams("hashes", k))))
     empty = "cast(array() as array<struct<h:bigint,pos:int,length:int>>)"
-    kept = F.when(n >= window, F.transform(_winnowed(k, w), lambda f: F.struct(f["h"].alias("h"), f["pos"].alias("pos"), F.lit(k).alias("length"))))
+    kept = F.when(n >= window, F.transform(_winnowed(w), lambda f: F.struct(f["h"].alias("h"), f["pos"].alias("pos"), F.lit(k).alias("length"))))
     parts = [F.coalesce(kept, F.expr(empty))]
     for length in short_lengths:
-        hashed = F.expr(f"transform(sequence(1, size(words) - {length - 1}), i -> named_struct('h', xxhash64(slice(words, i, {length})), 'pos', i, 'length', {length}))")
+        hashed = F.expr(f"transform(sequence(0, size(hashes) - {length}), i -> named_struct('h', {_gram('hashes', 'i', length)}, 'pos', i + 1, 'length', {length}))")
         parts.append(F.when(n >= length, hashed).otherwise(F.expr(empty)))
     prints = F.concat(*parts) if len(parts) > 1 else parts[0]
-    return docs.select(*[c for c in docs.columns if c != "grams"], F.inline(prints).alias("h", "pos", "length"))
+    return docs.select(*[c for c in docs.columns if c not in ("hashes", "grams")], F.inline(prints).alias("h", "pos", "length"))
 
 
 def _extended(seeds: DataFrame, window: int) -> DataFrame:
