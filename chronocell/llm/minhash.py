@@ -8,11 +8,13 @@
    bucket's smallest id, so a bucket of m gives m - 1 pairs.  A pair whose similarity,
    estimated from the packed bits and corrected for chance collisions, is far below the
    threshold is dropped; all others are confirmed on their full sets.
-4. Confirmed links give components.  Buckets whose members are still in several
-   components then have their remaining members (all but those of the bucket's largest
-   component) compared with the members of the other components in the same way, so
-   every pair in a bucket is either confirmed, ruled out, or already connected.
-5. Components again, spread to all members of each class.
+4. Confirmed links give components.  Where many members of large buckets are outside the
+   bucket's largest component, they meet a few hubs from it in turns, linear in the bucket,
+   as long as that connects them.
+5. Then the members that are still outside are compared with those of the other components
+   of the bucket in the same way, so every pair in a bucket is either confirmed, ruled
+   out, or already connected.
+6. Components again, spread to all members of each class.
 
 With 48 bands of 4 rows a pair at similarity 0.75 shares no bucket with probability
 1.2e-8; the estimate's standard deviation there is 0.038 and the margin is six of them.
@@ -45,6 +47,11 @@ SIGNATURE = T.StructType(
 )
 
 
+#: Members of a bucket's main component that an outside member meets in a turn.
+HUBS = 16
+#: Pairs for each member of all buckets up to which the pairs left are compared at once.
+PAIRS_A_MEMBER = 4
+
 NONE = np.empty(0, dtype=np.int64)
 
 
@@ -204,12 +211,32 @@ def near_duplicates(
     links = confirmed(stars, "star")
     labels = connected_components(links, scratch)
 
-    # What is left: members of one bucket that are in different components.
-    placed = members.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    placed = placed.select("key", "id", "component")
-    parts = placed.groupBy("key", "component").agg(F.count(F.lit(1)).alias("size"))
-    main = parts.groupBy("key").agg(F.max_by("component", F.struct("size", "component")).alias("main"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
-    open_members = scratch.keep(placed.join(main.select("key", "main"), "key"), "open-members")
+    # What is left: members of one bucket outside the bucket's largest component.
+    total = members.count()
+    tried, before, turn = stars, None, 0
+    while True:
+        placed = members.join(labels, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
+        parts = placed.groupBy("key", "component").agg(F.count(F.lit(1)).alias("size"))
+        main = parts.groupBy("key").agg(F.max_by("component", F.struct("size", "component")).alias("main"), F.sum("size").alias("size"), F.max("size").alias("inside"), F.count(F.lit(1)).alias("parts"))
+        main = main.where("parts > 1")
+        open_members = scratch.keep(placed.join(main.select("key", "main"), "key"), "open-members")
+        cost, outside = main.agg(F.sum(F.col("size") * (F.col("size") - F.col("inside"))), F.sum(F.col("size") - F.col("inside"))).first()
+        # All pairs at once if they are few beside the members, or if hubs no longer help.
+        if not cost or cost <= PAIRS_A_MEMBER * total or before is not None and outside > 0.9 * before:
+            break
+        before, turn = outside, turn + 1
+        # Those outside meet some members of the main component, others in each turn.
+        spread = F.xxhash64("id", F.lit(turn))
+        inside = open_members.where("component = main").withColumn("slot", F.pmod(spread, F.lit(HUBS)))
+        hubs = inside.groupBy("key", "slot").agg(F.min_by("id", spread).alias("hub"))
+        pairs = open_members.where("component <> main").select("key", "id").join(hubs.select("key", "hub"), "key")
+        pairs = pairs.select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
+        pairs = scratch.keep(pairs.join(tried, ["a", "b"], "left_anti"), "hub-pairs")
+        more = confirmed(scratch.keep(promising(pairs), "hub-promising"), "hub")
+        tried = scratch.keep(tried.unionByName(pairs), "tried")
+        links = scratch.keep(links.unionByName(more), "links")
+        labels = connected_components(links, scratch)
+
     slim = reps.select("id", "n", "planes")
     side = open_members.join(slim, "id")
     small = side.where("component <> main").select("key", F.col("id").alias("a"), F.col("component").alias("ca"), "main", F.col("n").alias("na"), F.col("planes").alias("pa"))
@@ -221,7 +248,7 @@ def near_duplicates(
         & (estimated_similarity("pa", "pb", hasher.k, hasher.bits) >= least)
     )
     rest = small.join(other, "key").where(open_pair).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    rest = scratch.keep(rest.distinct().join(stars, ["a", "b"], "left_anti"), "rest-pairs")
+    rest = scratch.keep(rest.distinct().join(tried, ["a", "b"], "left_anti"), "rest-pairs")
     if not rest.isEmpty():
         more = confirmed(rest, "rest")
         labels = connected_components(links.unionByName(more), scratch)

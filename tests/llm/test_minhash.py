@@ -68,3 +68,20 @@ def test_repeated_rows_null_ids_and_other_columns(spark):
 
 def test_empty_table(spark):
     assert near_duplicates(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_hubs_and_all_pairs_agree(spark, monkeypatch):
+    # One large group in which many pairs are near, many are not, and none is through a fixed head.
+    rng = random.Random(6)
+    base = [f"b{k}" for k in range(60)]
+    rows = []
+    for i in range(90):
+        text = list(base)
+        for _ in range(rng.randint(0, 4)):
+            text[rng.randrange(len(text))] = f"z{rng.randrange(1000)}"
+        rows.append((i, " ".join(text)))
+    want = brute(rows)
+    df = spark.createDataFrame(rows, SCHEMA)
+    for pairs in (0, 10**6):
+        monkeypatch.setattr("chronocell.llm.minhash.PAIRS_A_MEMBER", pairs)
+        assert {tuple(r) for r in near_duplicates(df).collect()} == want
