@@ -48,10 +48,13 @@ SIGNATURE = T.StructType(
 
 
 #: Members of a bucket's main component that an outside member meets in a turn.
-HUBS = 16
+HUBS = 4
 #: Pairs for each member of all buckets up to which the pairs left are compared at once.
 PAIRS_A_MEMBER = 4
 
+#: Minima and bits of the longer signatures for pairs that are left.
+FINE, FINE_BITS = 1024, 2
+
 NONE = np.empty(0, dtype=np.int64)
 
 
@@ -128,6 +131,18 @@ def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, shingles array<long>")
 
 
+def fine_planes(docs: DataFrame, words: int) -> DataFrame:
+    """``doc_id, fine``: packed signatures of ``FINE`` minima of each text that has shingles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher = MinHasher(FINE, 1, FINE_BITS, seed=6)
+        for batch in batches:
+            sets = [shingle_set(t.as_py(), words) for t in batch.column("text")]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), lists([hasher.planes(hasher.minima(s)) if len(s) else NONE for s in sets])], names=["doc_id", "fine"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fine array<long>").where("size(fine) > 0")
+
+
 def estimated_similarity(left: str, right: str, k: int, bits: int) -> Column:
     """Jaccard similarity from two packed signatures: matches corrected for 2**-bits chance hits."""
     words = k // 64
@@ -237,17 +252,27 @@ def near_duplicates(
         links = scratch.keep(links.unionByName(more), "links")
         labels = connected_components(links, scratch)
 
-    slim = reps.select("id", "n", "planes")
-    side = open_members.join(slim, "id")
-    small = side.where("component <> main").select("key", F.col("id").alias("a"), F.col("component").alias("ca"), "main", F.col("n").alias("na"), F.col("planes").alias("pa"))
-    other = side.select("key", F.col("id").alias("b"), F.col("component").alias("cb"), F.col("n").alias("nb"), F.col("planes").alias("pb"))
+    # Pairs that are left are judged on longer signatures, and only in the first band that they share.
+    ids = open_members.select(F.col("id").alias("doc_id")).distinct()
+    fine = scratch.keep(fine_planes(texts.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]), words), "fine")
+    sketch = reps.join(fine.groupBy("doc_id").agg(F.when(F.count(F.lit(1)) == 1, F.max("fine")).alias("fine")), F.col("id") == F.col("doc_id")).select("id", "n", "keys", "planes", "fine")
+    side = open_members.join(sketch, "id")
+
+    def named(rows: DataFrame, end: str) -> DataFrame:
+        return rows.select("key", "main", *[F.col(c).alias(c + end) for c in ("id", "component", "n", "keys", "planes", "fine")])
+
+    small, other = named(side.where("component <> main"), "a"), named(side, "b").drop("main")
+    fine_least = threshold - _margin(threshold, FINE, FINE_BITS)
+    first_shared = F.expr("array_position(zip_with(keysa, keysb, (x, y) -> x = y), true) = array_position(keysa, key)")
     open_pair = (
-        (F.col("ca") != F.col("cb"))
-        & ((F.col("cb") == F.col("main")) | (F.col("a") < F.col("b")))
+        (F.col("componenta") != F.col("componentb"))
+        & ((F.col("componentb") == F.col("main")) | (F.col("ida") < F.col("idb")))
         & (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
-        & (estimated_similarity("pa", "pb", hasher.k, hasher.bits) >= least)
+        & (estimated_similarity("planesa", "planesb", hasher.k, hasher.bits) >= least)
+        & F.coalesce(estimated_similarity("finea", "fineb", FINE, FINE_BITS) >= fine_least, F.lit(True))  # null: an id of several texts
+        & first_shared
     )
-    rest = small.join(other, "key").where(open_pair).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    rest = small.join(other, "key").where(open_pair).select(F.least("ida", "idb").alias("a"), F.greatest("ida", "idb").alias("b"))
     rest = scratch.keep(rest.distinct().join(tried, ["a", "b"], "left_anti"), "rest-pairs")
     if not rest.isEmpty():
         more = confirmed(rest, "rest")
