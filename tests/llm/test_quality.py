@@ -7,7 +7,8 @@ from chronocell.llm import quality as Q
 
 def texts(seed, n):
     rng = random.Random(seed)
-    words = ["alpha", "beta", "gamma", "delta", "house", "river", "stone", "light", "under", "over", "walks", "slowly"]
+    parts = ["al", "pha", "be", "ta", "gam", "ma", "del", "riv", "er", "sto", "ne", "light", "un", "der", "ov", "walk"]
+    words = [a + b for a in parts for b in parts]  # prose repeats words, but not most of them
     out = []
     for i in range(n):
         body = [rng.choice(words) + rng.choice(["", "", "", ",", "."]) for _ in range(rng.randint(30, 200))]
