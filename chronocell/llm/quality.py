@@ -167,10 +167,10 @@ class Scorer:
 
 
 #: Weight of the mean over grams against the named features.
-SCALE = 30.0
+SCALE = 8.0
 
 
-def fit_scorer(rows: np.ndarray, target: np.ndarray, steps: int = 300, rate: float = 0.05, decay: float = 1e-4) -> Scorer:
+def fit_scorer(rows: np.ndarray, target: np.ndarray, steps: int = 300, rate: float = 0.05, decay: float = 1e-3) -> Scorer:
     """Logistic regression of soft labels on dense feature rows, by Adam over all rows."""
     w, b = np.zeros(rows.shape[1], np.float32), np.float32(0)
     m, v = np.zeros(len(w) + 1, np.float32), np.zeros(len(w) + 1, np.float32)
