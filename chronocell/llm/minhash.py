@@ -53,7 +53,7 @@ HUBS = 4
 PAIRS_A_MEMBER = 4
 
 #: Minima and bits of the longer signatures for pairs that are left.
-FINE, FINE_BITS = 1024, 2
+FINE, FINE_BITS = 2048, 2
 
 NONE = np.empty(0, dtype=np.int64)
 
@@ -157,10 +157,10 @@ def estimated_similarity(left: str, right: str, k: int, bits: int) -> Column:
     return (1 - differ / F.lit(float(k)) - chance) / (1 - chance)
 
 
-def _margin(threshold: float, k: int, bits: int) -> float:
+def _margin(threshold: float, k: int, bits: int, deviations: float = 6) -> float:
     chance = 2.0**-bits
     hit = threshold + (1 - threshold) * chance
-    return 6 * sqrt(hit * (1 - hit) / k) / (1 - chance)
+    return deviations * sqrt(hit * (1 - hit) / k) / (1 - chance)
 
 
 def near_duplicates(
@@ -262,7 +262,7 @@ def near_duplicates(
         return rows.select("key", "main", *[F.col(c).alias(c + end) for c in ("id", "component", "n", "keys", "planes", "fine")])
 
     small, other = named(side.where("component <> main"), "a"), named(side, "b").drop("main")
-    fine_least = threshold - _margin(threshold, FINE, FINE_BITS)
+    fine_least = threshold - _margin(threshold, FINE, FINE_BITS, 5)
     first_shared = F.expr("array_position(zip_with(keysa, keysb, (x, y) -> x = y), true) = array_position(keysa, key)")
     open_pair = (
         (F.col("componenta") != F.col("componentb"))
