@@ -84,8 +84,11 @@ class Store:
         if not files:
             return self.spark.createDataFrame([], EVENTS).withColumn("seq", F.lit(0))
         rows = self.spark.read.schema(EVENTS).parquet(*[f"{self.path}/{e['file']}" for e in files])
-        place = F.create_map(*[F.lit(x) for e in files for x in (e["snapshot_id"] + e["ts_min"], e["seq"])])
-        rows = rows.withColumn("seq", place[F.concat("snapshot_id", F.date_format(F.col("timestamp"), codec.STAMP))])
+        # One small row a listed capture, by its snapshot and instant.
+        since = dt.datetime(1970, 1, 1, tzinfo=dt.UTC)
+        listed = [(e["snapshot_id"], (dt.datetime.fromisoformat(e["ts_min"]) - since) // dt.timedelta(microseconds=1), e["seq"]) for e in files]
+        places = self.spark.createDataFrame(listed, "snapshot_id string, micros long, seq int")
+        rows = rows.withColumn("micros", F.unix_micros("timestamp")).join(F.broadcast(places), ["snapshot_id", "micros"], "left").select(*EVENTS.names, "seq")
         return rows if instant is None else rows.where(F.col("timestamp") <= F.lit(codec.utc(instant)))
 
     def fields(self) -> dict[str, str]:
