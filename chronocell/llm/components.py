@@ -8,11 +8,11 @@ from pyspark.sql import functions as F
 from chronocell.sources.scratch import Scratch
 
 
-def _checksum(edges: DataFrame) -> tuple:
-    """Count and two order-free sums of hashes: equal for equal sets of edges only, but for chance of 2**-64."""
-    big = "decimal(38,0)"
-    sums = (F.sum(F.xxhash64("u", "v").cast(big)), F.sum(F.xxhash64("v", F.lit(7), "u").cast(big)))
-    return tuple(edges.agg(F.count(F.lit(1)), *sums).first())
+def _is_star_forest(edges: DataFrame) -> bool:
+    """Whether every upper end has one edge and is no lower end: what a round leaves as it is."""
+    ends = F.explode(F.array(F.struct(F.col("u").alias("id"), F.lit(1).alias("up"), F.lit(0).alias("down")), F.struct(F.col("v").alias("id"), F.lit(0).alias("up"), F.lit(1).alias("down"))))
+    nodes = edges.select(ends.alias("end")).groupBy("end.id").agg(F.sum("end.up").alias("up"), F.max("end.down").alias("down"))
+    return nodes.where("up > 1 OR up = 1 AND down = 1").isEmpty()
 
 
 def connected_components(links: DataFrame, scratch: Scratch) -> DataFrame:
@@ -25,21 +25,15 @@ def connected_components(links: DataFrame, scratch: Scratch) -> DataFrame:
     """
     edges = links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     edges = scratch.keep(edges, "edges")
-    print_of = _checksum(edges)
-    while True:
+    while not _is_star_forest(edges):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        # A node and its neighbours below all go to the smallest of them.
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        joined = large.join(low, "u")
-        small = joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).distinct()
-        after = scratch.keep(small, "edges")
-        # A star forest is a fixed point: nothing in it changes.
-        print_after = _checksum(after)
+        moved = F.explode(F.array("u", "v")).alias("u")
+        after = scratch.keep(large.join(low, "u").select(moved, F.col("m").alias("v")).where("u <> v").distinct(), "edges")
         scratch.drop(edges)
         edges = after
-        if print_after == print_of:
-            break
-        print_of = print_after
     heads = edges.select(F.col("v").alias("id")).distinct().withColumn("component", F.col("id"))
     return scratch.keep(edges.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(heads), "components")

@@ -233,7 +233,7 @@ def near_duplicates(
         placed = members.join(labels, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
         parts = placed.groupBy("key", "component").agg(F.count(F.lit(1)).alias("size"))
         main = parts.groupBy("key").agg(F.max_by("component", F.struct("size", "component")).alias("main"), F.sum("size").alias("size"), F.max("size").alias("inside"), F.count(F.lit(1)).alias("parts"))
-        main = main.where("parts > 1")
+        main = scratch.keep(main.where("parts > 1"), "main")
         open_members = scratch.keep(placed.join(main.select("key", "main"), "key"), "open-members")
         cost, outside = main.agg(F.sum(F.col("size") * (F.col("size") - F.col("inside"))), F.sum(F.col("size") - F.col("inside"))).first()
         # All pairs at once if they are few beside the members, or if hubs no longer help.
