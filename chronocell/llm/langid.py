@@ -12,22 +12,26 @@ part is a small constant, so no unit dies.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from chronocell.sources.scratch import Scratch
+
 UNDETERMINED = "und"
 WINDOW = 128
 #: Fills windows; no byte of UTF-8.  Its update gate is shut, so states pass it unchanged.
 PAD = 0xFF
 SHUT = -1e6
 LEAK = np.float32(0.05)
-#: Windows that advance together.
-TOGETHER = 4096
+#: Windows that advance together, and positions times labels held at once, which bound them where labels are many.
+TOGETHER, CELLS = 4096, 1 << 24
 
 
 @dataclass
@@ -155,6 +159,21 @@ class Network:
         gv = np.concatenate([ahead.reshape(-1, hidden).T @ flat, back[::-1].reshape(-1, hidden).T @ flat])
         return loss, [*g_ahead, *g_back, gv, flat.sum(axis=0)]
 
+    def batch_gradients(self, x: np.ndarray, y: np.ndarray) -> tuple[float, list[np.ndarray]]:
+        """``gradients``, of a few windows at a time where there are many labels."""
+        together = max(1, CELLS // (len(x) * len(self.labels)))
+        if len(y) <= together:
+            return self.gradients(x, y)
+        live, loss, total = (x != PAD).sum(), 0.0, [np.zeros_like(p) for p in self.parameters()]
+        for k in range(0, len(y), together):
+            part = np.ascontiguousarray(x[:, k : k + together])
+            weight = np.float32((part != PAD).sum() / live)
+            some, grads = self.gradients(part, y[k : k + together])
+            loss += float(weight) * some
+            for t, g in zip(total, grads, strict=True):
+                t += weight * g
+        return loss, total
+
     def train(self, windows: np.ndarray, y: np.ndarray, steps: int = 300, batch: int = 256, rate: float = 0.02, seed: int = 11) -> list[float]:
         """Adam on random batches of ``windows`` ``[N, T]``; the rate falls to a tenth.  The losses."""
         rng = np.random.default_rng(seed)
@@ -162,7 +181,7 @@ class Network:
         losses = []
         for k in range(steps):
             pick = rng.integers(0, len(windows), batch)
-            loss, grads = self.gradients(np.ascontiguousarray(windows[pick].T), y[pick])
+            loss, grads = self.batch_gradients(np.ascontiguousarray(windows[pick].T), y[pick])
             losses.append(loss)
             scale = min(1.0, 1.0 / (1e-6 + np.sqrt(sum(float((g * g).sum()) for g in grads))))
             lr = rate * (1 - 0.9 * k / steps)
@@ -193,8 +212,9 @@ def document_probabilities(net: Network, texts: list[bytes]) -> np.ndarray:
     lengths = np.minimum(np.repeat(sizes, count) - inner * WINDOW, WINDOW)
     order = np.argsort(-lengths, kind="stable")
     total = np.zeros((len(texts), len(net.labels)))
-    for k in range(0, len(order), TOGETHER):
-        part = order[k : k + TOGETHER]
+    together = max(1, min(TOGETHER, CELLS // (WINDOW * len(net.labels))))
+    for k in range(0, len(order), together):
+        part = order[k : k + together]
         x = windows_of(data, starts[part], lengths[part], int(lengths[part[0]]))
         np.add.at(total, owner[part], net.window_sums(np.ascontiguousarray(x.T)))
     return total / np.maximum(sizes, 1)[:, None]
@@ -209,23 +229,20 @@ def held_out(key: Column) -> Column:
     return F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")) % 4 == 2
 
 
-def training_windows(docs: DataFrame, per_language: int, pieces: int, most_languages: int, width: int) -> tuple[list[str], np.ndarray, np.ndarray]:
+def training_windows(docs: DataFrame, per_language: int, pieces: int, width: int) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Languages, windows and their languages' places, from about ``per_language`` documents of each.
 
-    Of each language the documents with the lowest id hashes are taken, as many as the counts of
-    all documents say; each gives ``pieces`` windows at places spread by its own checksum,
-    every other one shorter.  The driver gets ``most_languages * per_language * pieces`` windows
-    of ``width`` bytes, give or take the spread of the hash.
+    Every language of a document that may be learned from is a label.  Of each the documents with
+    the lowest id hashes are taken, as many as the counts of all documents say; each gives
+    ``pieces`` windows at places spread by its own checksum, every other one shorter.  The driver
+    gets ``per_language * pieces`` windows of ``width`` bytes a language, give or take the spread
+    of the hash.
     """
     usable = docs.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(most_languages).collect()
-    labels = sorted(r["lang"] for r in counts)
+    counts = Scratch(docs.sparkSession, "langid").keep(usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n")), "counts")
+    labels = sorted(r["lang"] for r in counts.select("lang").collect())
     if not labels:
         return [], np.empty((0, width), np.uint8), np.empty(0, np.int64)
-    share = {r["lang"]: per_language / r["n"] for r in counts}
-    part = F.lit(0.0)
-    for lang, s in share.items():
-        part = F.when(F.col("lang") == lang, F.lit(s)).otherwise(part)
     unit = F.pmod(F.xxhash64("doc_id", F.lit(10)), F.lit(1 << 30)) / float(1 << 30)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -244,23 +261,28 @@ def training_windows(docs: DataFrame, per_language: int, pieces: int, most_langu
                     found.append(data[at : at + size])
             yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(found, pa.binary())], names=["lang", "piece"])
 
-    rows = usable.where(unit < part).select("lang", "text").mapInArrow(run, "lang string, piece binary").toArrow()
-    found = sorted(zip(rows["lang"].to_pylist(), rows["piece"].to_pylist(), strict=True))
-    place = {lang: k for k, lang in enumerate(labels)}
-    data = np.frombuffer(b"".join(p for _, p in found), np.uint8)
-    sizes = np.array([len(p) for _, p in found], dtype=np.int64)
+    taken = usable.join(counts, "lang").where(unit < F.lit(float(per_language)) / F.col("n"))
+    rows = taken.select("lang", "text").mapInArrow(run, "lang string, piece binary").toArrow()
+    rows = rows.sort_by([("lang", "ascending"), ("piece", "ascending")])
+    y = pc.index_in(rows["lang"], value_set=pa.array(labels, pa.string())).to_numpy().astype(np.int64)
+    data = np.frombuffer(b"".join(rows["piece"].to_pylist()), np.uint8)
+    sizes = pc.binary_length(rows["piece"]).to_numpy().astype(np.int64)
     windows = windows_of(data, np.cumsum(sizes) - sizes, sizes, width) if len(data) else np.empty((0, width), np.uint8)
-    return labels, windows, np.array([place[lang] for lang, _ in found], dtype=np.int64)
+    return labels, windows, y
 
 
-def fit(docs: DataFrame, per_language: int = 600, pieces: int = 6, most_languages: int = 64, width: int = 64, hidden: int = 8, steps: int = 300) -> Network | None:
-    """A network that has learned from ``doc_id, text, lang``; ``None`` where there is nothing to learn from."""
-    labels, windows, y = training_windows(docs, per_language, pieces, most_languages, width)
+def fit(docs: DataFrame, per_language: int = 600, pieces: int = 6, width: int = 64, hidden: int | None = None, steps: int | None = None) -> Network | None:
+    """A network that has learned from ``doc_id, text, lang``; ``None`` where there is nothing to learn from.
+
+    Unless given, ``steps`` grow with the number of languages, so each window is drawn as often
+    whatever their number, and ``hidden`` with its root.
+    """
+    labels, windows, y = training_windows(docs, per_language, pieces, width)
     if not len(windows):
         return None
-    net = Network.fresh(labels, hidden)
+    net = Network.fresh(labels, hidden or max(8, math.ceil(4 * math.sqrt(len(labels)))))
     if len(labels) > 1:
-        net.train(windows, y, steps)
+        net.train(windows, y, steps or max(300, 75 * len(labels)))
     return net
 
 

@@ -70,3 +70,23 @@ def test_nothing_to_learn_from(spark):
     df = spark.createDataFrame([(1, "words here", None), (2, None, "aa")], "doc_id long, text string, lang string")
     assert [tuple(r)[2:] for r in L.identify(df).collect()] == [("und", 0.0)] * 2
     assert L.identify(df.limit(0)).count() == 0
+
+
+def test_every_language_is_learned_however_many(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(L.Network, "train", lambda self, windows, y, steps: seen.append((self.labels, self.v.shape[0] // 2, steps, sorted(set(y.tolist())))))
+    for n in (3, 100):
+        L.fit(spark.createDataFrame([(i, "some words", f"l{i % n:02d}") for i in range(40 * n)], "doc_id long, text string, lang string"))
+    assert [s[0] for s in seen] == [[f"l{k:02d}" for k in range(n)] for n in (3, 100)]
+    assert [s[1:] for s in seen] == [(8, 300, [0, 1, 2]), (40, 7500, list(range(100)))]
+
+
+def test_batches_in_parts_have_the_same_gradients(monkeypatch):
+    rng = np.random.default_rng(5)
+    net = L.Network.fresh(["a", "b", "c"], hidden=4)
+    x, y = rng.integers(97, 120, (9, 10)).astype(np.uint8), rng.integers(0, 3, 10)
+    x[4:, 3] = L.PAD
+    whole = net.gradients(x, y)
+    monkeypatch.setattr(L, "CELLS", 9 * 3 * 4)
+    parts = net.batch_gradients(x, y)
+    assert abs(whole[0] - parts[0]) < 1e-5 and all(np.allclose(a, b, atol=1e-5) for a, b in zip(whole[1], parts[1], strict=True))
