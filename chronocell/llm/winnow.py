@@ -70,15 +70,18 @@ def _whole(window: int) -> Column:
 
 
 def item_fingerprints(items: DataFrame, window: int, k: int) -> DataFrame:
-    """``h, pos, item_id, item_words, length`` of all items: winnowed, or one for a short item."""
+    """``h, pos, item_id, item_words, length`` of all items: winnowed, or one for a short item.
+
+    Items are the same only where id and words are; texts that share an id each keep all theirs.
+    """
     w = window - k + 1
-    items = items.withColumn("hashes", word_hashes(F.col("item_words")))
+    items = items.select("item_id", "item_words").distinct().withColumn("hashes", word_hashes(F.col("item_words")))
     full = items.where(F.size("item_words") >= window)
     full = full.withColumn("grams", F.expr(_grams("hashes", k))).withColumn("f", F.explode(_winnowed(w)))
     full = full.select("f.h", "f.pos", "item_id", "item_words", F.lit(k).alias("length"))
     short = items.where((F.size("item_words") > 0) & (F.size("item_words") < window))
     short = short.select(_whole(window).alias("h"), F.lit(1).alias("pos"), "item_id", "item_words", F.size("item_words").alias("length"))
-    return full.unionByName(short).dropDuplicates(["h", "pos", "item_id", "length"])
+    return full.unionByName(short)
 
 
 def _document_prints(docs: DataFrame, window: int, k: int, short_lengths: list[int]) -> DataFrame:
@@ -169,7 +172,8 @@ def contamination(
         found = hit.alias("d").join(places.alias("p"), same).select("d.doc_id", "d.text", "d.words", "p.pos", "p.ipos", "p.item_id", "p.item_words")
     spans = _extended(found, window)
     spans = spans.select("doc_id", F.md5(F.col("text").cast("binary")).alias("text_key"), "start", "end", "item_id").distinct()
-    hits = spans.groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("start", "end")).alias("spans"), F.collect_set("item_id").alias("items"))
+    hits = spans.groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("start", "end")).alias("spans"), F.collect_set(F.struct("item_id")).alias("items"))
+    hits = hits.withColumn("items", F.col("items.item_id"))  # collect_set of the ids themselves leaves out null
     hits = scratch.keep(hits, "hits")
 
     n_words = F.coalesce(F.size(F.split(F.coalesce("text", F.lit("")), r"[0-9A-Za-z\x{80}-\x{10FFFF}]+")) - 1, F.lit(0)).cast("long")

@@ -66,3 +66,29 @@ def test_empty_tables(spark):
     some = spark.createDataFrame([(1, "a b", "", 0)], DOCS)
     assert [tuple(r)[:3] for r in contamination(some, items).collect()] == [(1, 2, 0)]
     assert contamination(docs, spark.createDataFrame([(1, "a b")], ITEMS)).count() == 0
+
+
+@pytest.mark.parametrize("limit", [64 << 20, 0])
+def test_repeated_and_null_item_ids(spark, limit):
+    rng = random.Random(8)
+    start, tails = [f"s{k}" for k in range(10)], [[f"t{j}x{k}" for k in range(10)] for j in range(6)]
+    variants = [" ".join(start + t) for t in tails]
+    items = [(7, variants[0]), (7, variants[1]), (7, variants[1]), (None, variants[2]), (None, variants[3]), (8, variants[4]), (None, "n1 n2"), (9, "n1 n2"), (9, "N1, n2")]
+    docs = [(j, " ".join(["before", *(start + t)[2:12], "after"])) for j, t in enumerate(tails)]
+    docs += [(20, variants[0] + " " + variants[3]), (21, "here n1 n2"), (22, " ".join(start)), (23, " ".join(start[1:]))]
+    docs += [(30 + i, " ".join(rng.choice(start + tails[0] + tails[2]) for _ in range(40))) for i in range(5)]
+    expected = {}
+    for i, t in docs:
+        w, hit, found = words_of(t), set(), set()
+        for j, text in items:
+            iw = words_of(text)
+            n = min(10, len(iw))
+            for a in range(len(w) - n + 1):
+                if any(w[a : a + n] == iw[b : b + n] for b in range(len(iw) - n + 1)):
+                    hit |= set(range(a, a + n))
+                    found.add(j)
+        expected[i] = (len(w), len(hit), sorted(found, key=str))
+    df = spark.createDataFrame([(i, t, "x", 1) for i, t in docs], DOCS)
+    got = contamination(df, spark.createDataFrame(items, ITEMS), broadcast_bytes=limit).collect()
+    assert {r["doc_id"]: (r["n_words"], r["n_hit"], sorted(r["items"], key=str)) for r in got} == expected
+    assert [expected[i][1] for i in range(6)] == [10, 10, 10, 10, 10, 0] and expected[2][2] == [None] and expected[22][2] == [7, 8, None]
