@@ -77,9 +77,11 @@ class _Member:
         self.at += len(piece) - len(self.unpack.unused_data)
         return True
 
-    def until(self, mark: bytes, most: int = 1 << 20) -> bytes:
-        while (k := self.ready.find(mark)) < 0:
-            if len(self.ready) > most or not self._more():
+    def until(self, mark: bytes) -> bytes:
+        seen = 0
+        while (k := self.ready.find(mark, max(0, seen - len(mark) + 1))) < 0:
+            seen = len(self.ready)
+            if not self._more():
                 raise BadWarc("no end of headers")
         out = bytes(self.ready[:k])
         del self.ready[: k + len(mark)]
@@ -245,11 +247,14 @@ def archive_round_trip(pages: DataFrame, least: int = 1000, archive_bytes: int =
     ``page_id, payload_bytes, payload_digest, record_type, refers_to, uri, digests_ok``; the
     digest is lower-case hex.  A null html is an empty payload, a null url has no target
     URI, a null id stays null.  Rows that repeat the largest id of equal payloads are each a
-    response.  Other columns are ignored; an empty table gives an empty result.
+    response.  Other columns are ignored; an empty table gives an empty result.  An archive that
+    cannot be read to its end fails the query, as pages would be missing.
     """
     scratch = Scratch(pages.sparkSession, "warc")
     archives = scratch.keep(write_archives(with_revisits(pages, least), archive_bytes), "archives")
     found = read_archives(archives)
+    broken = F.concat(F.lit("archive "), F.col("archive"), F.lit(": "), F.col("error"))
+    found = found.where(F.when(F.col("error").isNotNull(), F.raise_error(broken).cast("boolean")).otherwise(F.lit(True)))
 
     def number(c: str):
         return F.regexp_extract(F.col(c), r"^<urn:page:(-?\d+)>$", 1).try_cast("long")
@@ -262,7 +267,7 @@ def archive_round_trip(pages: DataFrame, least: int = 1000, archive_bytes: int =
         "record_type",
         number("refers_to").alias("refers_to"),
         "uri",
-        F.when(F.col("error").isNull(), F.col("block_ok") & F.coalesce("payload_ok", F.lit(True))).otherwise(F.lit(False)).alias("digests_ok"),
+        (F.col("block_ok") & F.coalesce("payload_ok", F.lit(True))).alias("digests_ok"),
     )
 
 

@@ -1,9 +1,12 @@
+import base64
 import gzip
 import hashlib
+import random
 from collections import defaultdict
 
 import pytest
 
+from chronocell.llm import warc
 from chronocell.llm.warc import BadWarc, archive_round_trip, page_record, read_archives, read_records, record, sha1_label, with_revisits, write_archives
 
 SCHEMA = "page_id long, url string, html string, record_type string"
@@ -50,3 +53,19 @@ def test_members_are_gzip_and_faults_are_seen(spark):
 def test_archives_split_by_size(spark):
     df = spark.createDataFrame([(i, "u", "".join(hashlib.sha1(f"{i}/{k}".encode()).hexdigest() for k in range(50)), "") for i in range(1, 60)], SCHEMA).coalesce(1)
     assert write_archives(with_revisits(df), 5000).count() > 5
+
+
+def test_a_long_url_loses_no_page(spark):
+    url = "data:text/html;base64," + base64.b64encode(random.Random(5).randbytes(1_500_000)).decode()
+    rows = [(1, "u", "one"), (2, url, "two"), (3, "u", "three")]
+    df = spark.createDataFrame([(*r, "") for r in rows], SCHEMA).coalesce(1)
+    got = archive_round_trip(df).collect()
+    assert sorted((r["page_id"], r["uri"], r["payload_bytes"], r["digests_ok"]) for r in got) == [(i, u, len(h), True) for i, u, h in rows]
+
+
+def test_an_archive_that_breaks_off_fails(spark, monkeypatch):
+    broken = spark.createDataFrame([("a", page_record(1, "u", b"x", None)[:-9])], "archive string, content binary")
+    monkeypatch.setattr(warc, "write_archives", lambda pages, archive_bytes: broken)
+    df = spark.createDataFrame([(1, "u", "x", "")], SCHEMA)
+    with pytest.raises(Exception, match="archive a: the member ends early"):
+        archive_round_trip(df).select("page_id").collect()
