@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Bytes of pixels after which rows are passed on.
+HELD_BYTES = 16 << 20
 #: Formats' fixed values.
 HEADERS = (b"GIF87a", b"GIF89a")
 EXTENSION, IMAGE, TRAILER, GRAPHIC_CONTROL = 0x21, 0x2C, 0x3B, 0xF9
@@ -265,11 +267,14 @@ def histogram(canvas: np.ndarray) -> list[int]:
     return np.bincount(place, minlength=64).tolist()
 
 
-FRAMES = "media_id long, frame int, start_cs int, delay_cs int, width int, height int, colours array<int>, error string"
+FRAMES = "media_id long, frame int, start_cs int, delay_cs int, width int, height int, pixels binary, colours array<int>, error string"
 
 
 def decode_frames(media: DataFrame, id_col: str = "media_id", gif_col: str = "gif") -> DataFrame:
-    """A row a shown frame: its time, size and ``colours``, a histogram of 64 counts.
+    """A row a shown frame: its time, size, ``pixels`` and ``colours``, a histogram of 64 counts.
+
+    ``pixels`` are the canvas as shown, row by row, four bytes a pixel: red, green, blue and
+    255, or 0 where nothing is drawn.
 
     A GIF without frames, a null one and one that cannot be read give one row with ``frame`` null;
     ``error`` says why (``null`` where there is just no frame).  Other columns are ignored;
@@ -277,9 +282,9 @@ def decode_frames(media: DataFrame, id_col: str = "media_id", gif_col: str = "gi
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("media_id", pa.int64()), ("frame", pa.int32()), ("start_cs", pa.int32()), ("delay_cs", pa.int32()), ("width", pa.int32()), ("height", pa.int32()), ("colours", pa.list_(pa.int32())), ("error", pa.string())])
+        schema = pa.schema([("media_id", pa.int64()), ("frame", pa.int32()), ("start_cs", pa.int32()), ("delay_cs", pa.int32()), ("width", pa.int32()), ("height", pa.int32()), ("pixels", pa.binary()), ("colours", pa.list_(pa.int32())), ("error", pa.string())])
         for batch in batches:
-            rows = []
+            rows, held = [], 0
             for key, gif in zip(batch.column("media_id").to_pylist(), batch.column("gif"), strict=True):
                 blank = dict.fromkeys(schema.names) | {"media_id": key}
                 try:
@@ -288,11 +293,16 @@ def decode_frames(media: DataFrame, id_col: str = "media_id", gif_col: str = "gi
                 except BadGif as e:
                     rows.append(blank | {"error": str(e)})
                     continue
-                shown = [
-                    blank | {"frame": k, "start_cs": start, "delay_cs": f.delay_cs, "width": width, "height": height, "colours": histogram(canvas)}
-                    for k, (f, (start, canvas)) in enumerate(zip(frames, composed(width, height, frames), strict=True))
-                ] if frames else []
-                rows += shown or [blank | {"width": width, "height": height}]
+                if not frames:
+                    rows.append(blank | {"width": width, "height": height})
+                    continue
+                for k, (f, (start, canvas)) in enumerate(zip(frames, composed(width, height, frames), strict=True)):
+                    pixels = canvas.tobytes()
+                    rows.append(blank | {"frame": k, "start_cs": start, "delay_cs": f.delay_cs, "width": width, "height": height, "pixels": pixels, "colours": histogram(canvas)})
+                    held += len(pixels)
+                    if held > HELD_BYTES:
+                        yield pa.RecordBatch.from_pylist(rows, schema=schema)
+                        rows, held = [], 0
             yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
     return media.select(F.col(id_col).cast("long").alias("media_id"), F.col(gif_col).alias("gif")).mapInArrow(run, FRAMES)

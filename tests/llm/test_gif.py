@@ -77,3 +77,13 @@ def test_payloads(spark):
         assert r["media_sha256"] == hashlib.sha256(store_payload(data)).hexdigest()
     assert got[3][1:] == got[5][1:]
     assert payload_features(df.limit(0)).count() == 0
+
+
+def test_frames_keep_their_pixels(spark):
+    palette = np.array([[0, 0, 0], [255, 0, 0], [0, 255, 0], [0, 0, 255]], np.uint8)
+    gif = write_gif([np.full((2, 2), 2, np.uint8), np.full((1, 1), 3, np.uint8)], palette, [5, 6], 2, 0, [(1, 1), (0, 0)], (3, 4))
+    got = decode_frames(spark.createDataFrame([(1, gif)], "media_id long, gif binary")).orderBy("frame").collect()
+    assert [(r["start_cs"], r["width"], r["height"]) for r in got] == [(0, 3, 4), (5, 3, 4)]
+    first, second = (np.frombuffer(r["pixels"], np.uint8).reshape(4, 3, 4) for r in got)
+    assert (first[1:3, 1:3] == [0, 255, 0, 255]).all() and first[..., 3].sum() == 4 * 255
+    assert second[0, 0].tolist() == [0, 0, 255, 255] and second[..., 3].sum() == 255
