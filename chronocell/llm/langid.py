@@ -6,8 +6,12 @@ positions.  Texts are read in windows of ``WINDOW`` bytes, each from zero states
 windows of a batch advance together and long texts need no long recurrences.
 
 The network is trained in numpy by backpropagation through time with Adam.  Gates and
-candidates use piecewise linear squashing (clipped lines); their gradient outside the linear
-part is a small constant, so no unit dies.
+candidates use piecewise linear squashing (clipped lines), whose gradient is one inside the
+line and zero outside it: what is followed is the gradient of the loss itself.  An eighth of
+the sampled texts validates; the weights kept are those with the least validation loss, and a
+run that does not get far is begun again at a lower rate.
+
+Very long texts are read whole, a batch of windows at a time.
 """
 
 from __future__ import annotations
@@ -21,15 +25,19 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from chronocell.sources.scratch import Scratch
+from chronocell.llm.samples import lowest_texts
 
 UNDETERMINED = "und"
 WINDOW = 128
 #: Fills windows; no byte of UTF-8.  Its update gate is shut, so states pass it unchanged.
 PAD = 0xFF
 SHUT = -1e6
-LEAK = np.float32(0.05)
+#: Learning rates of the runs, in turn, and the validation loss, of that of an even guess, that ends the search.
+RATES, ENOUGH = (0.02, 0.01, 0.005), 0.1
+#: One text in so many validates; a run looks at it every so many steps.
+VALIDATING, EVERY = 8, 20
 #: Windows that advance together, and positions times labels held at once, which bound them where labels are many.
 TOGETHER, CELLS = 4096, 1 << 24
 
@@ -94,10 +102,10 @@ class Layer:
             ac = self.x[2][x[t]] + (r * h) @ self.u[2]
             c = np.clip(ac, -1, 1)
             live = (x[t] != PAD)[:, None]
-            dz = dh * (c - h) * np.where((az > 0) & (az < 1), 1, LEAK) * live
-            dc = dh * z * np.where(np.abs(ac) < 1, 1, LEAK)
+            dz = dh * (c - h) * ((az > 0) & (az < 1) & live)
+            dc = dh * z * (np.abs(ac) < 1)
             d_rh = dc @ self.u[2].T
-            dr = d_rh * h * np.where((ar > 0) & (ar < 1), 1, LEAK)
+            dr = d_rh * h * ((ar > 0) & (ar < 1))
             for k, d in enumerate((dz, dr, dc)):
                 np.add.at(gx[k], x[t], d)
             gu[0] += h.T @ dz
@@ -174,15 +182,42 @@ class Network:
                 t += weight * g
         return loss, total
 
-    def train(self, windows: np.ndarray, y: np.ndarray, steps: int = 300, batch: int = 256, rate: float = 0.02, seed: int = 11) -> list[float]:
-        """Adam on random batches of ``windows`` ``[N, T]``; the rate falls to a tenth.  The losses."""
+    def loss(self, windows: np.ndarray, y: np.ndarray) -> float:
+        """Mean cross-entropy over the positions of ``windows`` ``[N, T]``, each language of ``y`` alike."""
+        if not len(y):
+            return 0.0
+        total, size = np.zeros(len(self.labels)), np.zeros(len(self.labels))
+        together = max(1, min(TOGETHER, CELLS // (windows.shape[1] * len(self.labels))))
+        for k in range(0, len(y), together):
+            x, of = np.ascontiguousarray(windows[k : k + together].T), y[k : k + together]
+            hit = np.take_along_axis(self.positions(x)[0], np.broadcast_to(of[None, :, None], (*x.shape, 1)), 2)[:, :, 0]
+            live = x != PAD
+            np.add.at(total, of, (-np.log(np.maximum(hit, 1e-12)) * live).sum(axis=0))
+            np.add.at(size, of, live.sum(axis=0))
+        return float((total[size > 0] / size[size > 0]).mean())
+
+    def train(self, windows: np.ndarray, y: np.ndarray, steps: int = 300, batch: int = 256, rate: float = 0.02, seed: int = 11, held: tuple[np.ndarray, np.ndarray] | None = None) -> float:
+        """Adam on random batches of ``windows`` ``[N, T]``, languages alike; the rate falls to a tenth.
+
+        The weights that stay are those of the step with the least loss on ``held`` (on
+        ``windows`` where there is none); that loss is returned.
+        """
         rng = np.random.default_rng(seed)
+        held = (windows, y) if held is None or not len(held[1]) else held
+        order, counts = np.argsort(y, kind="stable"), np.bincount(y)
+        starts, present = np.cumsum(counts) - counts, np.flatnonzero(counts)
         ms, vs = ([np.zeros_like(p) for p in self.parameters()] for _ in range(2))
-        losses = []
-        for k in range(steps):
-            pick = rng.integers(0, len(windows), batch)
-            loss, grads = self.batch_gradients(np.ascontiguousarray(windows[pick].T), y[pick])
-            losses.append(loss)
+        best, kept = math.inf, None
+        for k in range(steps + 1):
+            if k % EVERY == 0 or k == steps:
+                loss = self.loss(*held)
+                if loss < best:
+                    best, kept = loss, [p.copy() for p in self.parameters()]
+            if k == steps:
+                break
+            of = present[rng.integers(0, len(present), batch)]
+            pick = order[starts[of] + (rng.random(batch) * counts[of]).astype(np.int64)]
+            grads = self.batch_gradients(np.ascontiguousarray(windows[pick].T), y[pick])[1]
             scale = min(1.0, 1.0 / (1e-6 + np.sqrt(sum(float((g * g).sum()) for g in grads))))
             lr = rate * (1 - 0.9 * k / steps)
             for p, g, m, v in zip(self.parameters(), grads, ms, vs, strict=True):
@@ -190,7 +225,9 @@ class Network:
                 m += np.float32(0.1) * (g - m)
                 v += np.float32(0.01) * (g * g - v)
                 p -= np.float32(lr) * (m / np.float32(1 - 0.9 ** (k + 1))) / (np.sqrt(v / np.float32(1 - 0.99 ** (k + 1))) + np.float32(1e-6))
-        return losses
+        for p, q in zip(self.parameters(), kept or [], strict=kept is not None):
+            p[...] = q
+        return best
 
 
 def windows_of(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, width: int) -> np.ndarray:
@@ -229,61 +266,66 @@ def held_out(key: Column) -> Column:
     return F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")) % 4 == 2
 
 
-def training_windows(docs: DataFrame, per_language: int, pieces: int, width: int) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """Languages, windows and their languages' places, from about ``per_language`` documents of each.
+def training_windows(docs: DataFrame, per_language: int, pieces: int, width: int) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+    """Languages, windows, their languages' places, and which of them validate.
 
-    Every language of a document that may be learned from is a label.  Of each the documents with
-    the lowest id hashes are taken, as many as the counts of all documents say; each gives
-    ``pieces`` windows at places spread by its own checksum, every other one shorter.  The driver
-    gets ``per_language * pieces`` windows of ``width`` bytes a language, give or take the spread
-    of the hash.
+    Every language of a document that may be learned from is a label.  Of each, the
+    ``per_language`` distinct texts with the lowest keys are taken, whatever their ids; each gives
+    ``pieces`` windows at places drawn by its key, every other one shorter.  The driver gets at
+    most ``per_language * pieces`` windows of ``width`` bytes a language.
     """
-    usable = docs.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = Scratch(docs.sparkSession, "langid").keep(usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n")), "counts")
-    labels = sorted(r["lang"] for r in counts.select("lang").collect())
-    if not labels:
-        return [], np.empty((0, width), np.uint8), np.empty(0, np.int64)
-    unit = F.pmod(F.xxhash64("doc_id", F.lit(10)), F.lit(1 << 30)) / float(1 << 30)
+    usable = docs.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            langs, found = [], []
-            for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text"), strict=True):
-                value = text.as_py()
-                if not has_letter(value):
-                    continue
-                data = value.encode("utf-8", "surrogatepass")
-                rng = np.random.default_rng(np.frombuffer(data[:4096], np.uint8).sum())
+            langs, keys, found = [], [], []
+            for lang, key, text in zip(batch.column("lang").to_pylist(), batch.column("key").to_pylist(), batch.column("text"), strict=True):
+                data = text.as_py().encode("utf-8", "surrogatepass")
+                rng = np.random.default_rng(key & (1 << 63) - 1)
                 for k in range(pieces):
                     size = width if k % 2 == 0 else int(rng.integers(6, width))
                     at = int(rng.integers(0, max(1, len(data) - size + 1)))
                     langs.append(lang)
+                    keys.append(key)
                     found.append(data[at : at + size])
-            yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(found, pa.binary())], names=["lang", "piece"])
+            yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(keys, pa.int64()), pa.array(found, pa.binary())], names=["lang", "key", "piece"])
 
-    taken = usable.join(counts, "lang").where(unit < F.lit(float(per_language)) / F.col("n"))
-    rows = taken.select("lang", "text").mapInArrow(run, "lang string, piece binary").toArrow()
-    rows = rows.sort_by([("lang", "ascending"), ("piece", "ascending")])
+    taken = lowest_texts(usable.select("lang", "text"), per_language, 10, "lang")
+    rows = taken.select("lang", "key", "text").mapInArrow(run, "lang string, key long, piece binary").toArrow()
+    rows = rows.sort_by([("lang", "ascending"), ("key", "ascending"), ("piece", "ascending")])
+    labels = sorted(pc.unique(rows["lang"]).to_pylist())
     y = pc.index_in(rows["lang"], value_set=pa.array(labels, pa.string())).to_numpy().astype(np.int64)
     data = np.frombuffer(b"".join(rows["piece"].to_pylist()), np.uint8)
     sizes = pc.binary_length(rows["piece"]).to_numpy().astype(np.int64)
     windows = windows_of(data, np.cumsum(sizes) - sizes, sizes, width) if len(data) else np.empty((0, width), np.uint8)
-    return labels, windows, y
+    validates = rows["key"].to_numpy().astype(np.int64) % VALIDATING == 0
+    return labels, windows, y, validates
 
 
 def fit(docs: DataFrame, per_language: int = 600, pieces: int = 6, width: int = 64, hidden: int | None = None, steps: int | None = None) -> Network | None:
     """A network that has learned from ``doc_id, text, lang``; ``None`` where there is nothing to learn from.
 
     Unless given, ``steps`` grow with the number of languages, so each window is drawn as often
-    whatever their number, and ``hidden`` with its root.
+    whatever their number, and ``hidden`` with its root.  Of the runs at ``RATES`` the first whose
+    validation loss is ``ENOUGH`` is taken, else the best.
     """
-    labels, windows, y = training_windows(docs, per_language, pieces, width)
+    labels, windows, y, validates = training_windows(docs, per_language, pieces, width)
     if not len(windows):
         return None
-    net = Network.fresh(labels, hidden or max(8, math.ceil(4 * math.sqrt(len(labels)))))
-    if len(labels) > 1:
-        net.train(windows, y, steps or max(300, 75 * len(labels)))
-    return net
+    learns = ~validates
+    # Each language is learned from, though all its few texts validate.
+    learns |= ~np.isin(y, np.unique(y[learns]))
+    best, least = None, math.inf
+    for seed, rate in enumerate(RATES):
+        net = Network.fresh(labels, hidden or max(8, math.ceil(4 * math.sqrt(len(labels)))), seed=10 + seed)
+        if len(labels) == 1:
+            return net
+        loss = net.train(windows[learns], y[learns], steps or max(300, 75 * len(labels)), rate=rate, held=(windows[validates], y[validates]))
+        if best is None or loss < least:
+            best, least = net, loss
+        if least <= ENOUGH * math.log(len(labels)):
+            break
+    return best
 
 
 def identify(docs: DataFrame, net: Network | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
@@ -292,8 +334,10 @@ def identify(docs: DataFrame, net: Network | None = None, id_col: str = "doc_id"
     Without ``net`` one is fitted on the table's own documents that are not held out.  The
     prediction sees the text alone.  ``score`` is the pooled probability of ``lang_pred``.  Null
     texts, empty ones and those without a letter are ``und`` with score 0, as are all where there
-    was nothing to learn from.  Equal texts get equal answers whatever their ids; a null id
-    counts as empty text; other columns are ignored; an empty table gives an empty result.
+    was nothing to learn from.  Of equal probabilities the label that sorts first is taken.  Equal
+    texts get equal answers whatever their ids, and repeated rows repeat; a null id counts as
+    empty text; very long texts are read whole; other columns are ignored; an empty table gives
+    an empty result.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
     net = net or fit(rows)
@@ -301,7 +345,7 @@ def identify(docs: DataFrame, net: Network | None = None, id_col: str = "doc_id"
 
 
 def predict(rows: DataFrame, net: Network | None, keep: list[str], text_col: str = "text") -> DataFrame:
-    """``keep`` of ``rows`` with ``lang_pred, score`` of the texts."""
+    """``keep`` of ``rows`` with ``lang_pred, score`` of the texts; plain column names, without dots or backticks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -316,9 +360,9 @@ def predict(rows: DataFrame, net: Network | None, keep: list[str], text_col: str
                 scores[live] = np.clip(p[np.arange(len(live)), best], 0.0, 1.0)
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], pa.array(names, pa.string()), pa.array(scores)], names=[*keep, "lang_pred", "score"])
 
-    source = rows.select(*[F.col(f"`{c}`") for c in dict.fromkeys([*keep, text_col])])
-    kept = ", ".join(f"`{c}` {source.schema[c].dataType.simpleString()}" for c in keep)
-    return source.mapInArrow(run, f"{kept}, lang_pred string, score double")
+    source = rows.select(*dict.fromkeys([*keep, text_col]))
+    kept = [T.StructField(c, source.schema[c].dataType) for c in keep]
+    return source.mapInArrow(run, T.StructType([*kept, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
 
 
 def position_labels(net: Network, text: str) -> list[str]:
