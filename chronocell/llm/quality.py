@@ -4,6 +4,8 @@ Heuristic labellers each vote good, bad or nothing on a text.  Expectation-maxim
 the vote patterns of all documents estimates how often each labeller says what about good and
 bad documents, without any given labels; the posterior of a pattern is its documents' weak
 label.  Those posteriors train a linear scorer over hashed features, which decides.
+
+Statistics and features are over whole texts, however long.
 """
 
 from __future__ import annotations
@@ -17,6 +19,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from chronocell.llm.samples import lowest_texts
 
 #: Places of the hashed scorer; byte grams of this length, and named buckets of statistics.
 DIMENSIONS = 1 << 12
@@ -25,6 +30,9 @@ UPPER = bytes(range(65, 91))
 LETTERS = UPPER + bytes(range(97, 123)) + bytes(range(128, 256))
 DIGITS = b"0123456789"
 SYMBOLS = b"#$%&*|~^<>{}[]\\=+_@"
+#: Bytes that begin no character in UTF-8; words in a stretch whose repeats are counted.
+CONTINUATION = bytes(range(0x80, 0xC0))
+STRETCH = 200
 ABSTAIN, GOOD, BAD = 0, 1, 2
 
 
@@ -63,6 +71,15 @@ def _without(data: bytes, chars: bytes) -> int:
     return len(data) - len(data.translate(None, chars))
 
 
+def _sameness(words: list[bytes]) -> float:
+    """Share of words that came before in their stretch, so long texts count as short ones do."""
+    if len(words) <= STRETCH:
+        return 1 - len(set(words)) / len(words)
+    # The last stretch begins early enough to be a whole one.
+    starts = [*range(0, len(words) - STRETCH, STRETCH), len(words) - STRETCH]
+    return 1 - sum(len(set(words[k : k + STRETCH])) for k in starts) / (STRETCH * len(starts))
+
+
 def statistics(text: str | None) -> dict[str, float]:
     """Shares that the labellers look at; 0 words for a null text or one of white space."""
     data = (text or "").encode("utf-8", "surrogatepass")
@@ -77,9 +94,9 @@ def statistics(text: str | None) -> dict[str, float]:
         "capitals": _without(data, UPPER) / max(1, _without(data, LETTERS)),
         "shouts": data.count(b"!") / n,
         "echoes": sum(map(operator.eq, words, words[1:])) / n,
-        "sameness": 1 - len(set(words)) / n,
+        "sameness": _sameness(words),
         "same_lines": 1 - len(set(lines)) / len(lines) if len(lines) > 3 else 0.0,
-        "length": sum(map(len, words)) / n,
+        "length": (sum(map(len, words)) - _without(data, CONTINUATION)) / n,
         "marked": sum(w[-1] in SYMBOLS for w in words) / n,
         "bare_marks": sum(not w.isalnum() for w in words if len(w) == 1) / n,
         "digits": _without(data, DIGITS) / size,
@@ -197,8 +214,8 @@ def vote_counts(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "votes string").groupBy("votes").agg(F.count(F.lit(1)).alias("n"))
 
 
-def training_rows(docs: DataFrame, share: float) -> tuple[list[str], np.ndarray]:
-    """Votes and dense feature rows of the ``share`` of ``doc_id, text`` with the lowest id hashes."""
+def training_rows(docs: DataFrame, sample: int) -> tuple[list[str], np.ndarray]:
+    """Votes and dense feature rows of the ``sample`` distinct texts with the lowest keys; no more reach the driver."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -206,8 +223,6 @@ def training_rows(docs: DataFrame, share: float) -> tuple[list[str], np.ndarray]
             for value in batch.column("text"):
                 text = value.as_py()
                 stats = statistics(text)
-                if not stats["words"]:
-                    continue
                 grams, named = features(text, stats)
                 row = np.bincount(grams, minlength=DIMENSIONS) * (SCALE / max(1, len(grams)))
                 np.add.at(row, named, 1.0)
@@ -215,23 +230,21 @@ def training_rows(docs: DataFrame, share: float) -> tuple[list[str], np.ndarray]
                 rows.append(row.astype(np.float16).tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(votes, pa.string()), pa.array(rows, pa.binary())], names=["votes", "features"])
 
-    unit = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1 << 30)) / float(1 << 30)
-    table = docs.where((unit < share) & F.col("text").isNotNull()).select("text").mapInArrow(run, "votes string, features binary").toArrow()
+    worded = docs.where(F.col("text").rlike(r"[^\x09-\x0D\x20]")).select("text")
+    table = lowest_texts(worded, sample, 7).select("text").mapInArrow(run, "votes string, features binary").toArrow()
     found = sorted(zip(table["votes"].to_pylist(), table["features"].to_pylist(), strict=True))
     rows = np.frombuffer(b"".join(f for _, f in found), np.float16).reshape(-1, DIMENSIONS).astype(np.float32)
     return [x for x, _ in found], rows
 
 
 def fit(docs: DataFrame, sample: int = 2500) -> tuple[LabelModel, Scorer] | None:
-    """Label model from all of ``doc_id, text``, scorer from about ``sample`` documents; ``None`` without words."""
-    rows = vote_counts(docs).collect()
+    """Label model from all of ``text``, scorer from ``sample`` distinct texts of it at most; ``None`` without words."""
+    rows = vote_counts(docs).collect()  # a row a pattern that occurs
     if not rows:
         return None
     rows.sort(key=lambda r: r["votes"])
     model = fit_labels([r["votes"] for r in rows], [r["n"] for r in rows])
-    votes, dense = training_rows(docs, sample / sum(r["n"] for r in rows))
-    if not votes:
-        votes, dense = training_rows(docs, 2.0)
+    votes, dense = training_rows(docs, sample)
     return model, fit_scorer(dense, model.posterior(votes))
 
 
@@ -239,16 +252,17 @@ def classify(docs: DataFrame, threshold: float = 0.5, fitted: tuple[LabelModel,
     """``doc_id, votes, weak_label, score, kept`` for every row of ``docs``.
 
     ``weak_label`` is the label model's probability of good, ``score`` the scorer's, and
-    ``kept`` whether it reaches ``threshold``.  Null texts and those without words have no
-    votes, a null ``weak_label`` and score 0.  Equal texts get equal scores; a null id stays;
-    other columns are ignored; an empty table gives an empty result.
+    ``kept`` whether it reaches ``threshold``, that itself included.  Null texts and those
+    without words have no votes, a null ``weak_label`` and score 0.  Equal texts get equal
+    scores, repeated rows repeat; a null id stays; other columns are ignored; an empty table
+    gives an empty result.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     return score(rows, fitted or fit(rows), ["doc_id"]).withColumn("kept", F.col("score") >= threshold)
 
 
 def score(rows: DataFrame, fitted: tuple[LabelModel, Scorer] | None, keep: list[str], text_col: str = "text") -> DataFrame:
-    """``keep`` of ``rows`` with ``votes, weak_label, score`` of the texts."""
+    """``keep`` of ``rows`` with ``votes, weak_label, score`` of the texts; plain column names, without dots or backticks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -265,6 +279,6 @@ def score(rows: DataFrame, fitted: tuple[LabelModel, Scorer] | None, keep: list[
                 labels = pa.array([of.get(v) for v in votes], pa.float64())
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], pa.array(votes, pa.string()), labels, pa.array(scores, pa.float64())], names=[*keep, "votes", "weak_label", "score"])
 
-    source = rows.select(*[F.col(f"`{c}`") for c in dict.fromkeys([*keep, text_col])])
-    kept = ", ".join(f"`{c}` {source.schema[c].dataType.simpleString()}" for c in keep)
-    return source.mapInArrow(run, f"{kept}, votes string, weak_label double, score double")
+    source = rows.select(*dict.fromkeys([*keep, text_col]))
+    kept = [T.StructField(c, source.schema[c].dataType) for c in keep]
+    return source.mapInArrow(run, T.StructType([*kept, T.StructField("votes", T.StringType()), T.StructField("weak_label", T.DoubleType()), T.StructField("score", T.DoubleType())]))
