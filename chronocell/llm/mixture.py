@@ -15,6 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from chronocell.llm.samples import free_name
 from chronocell.sources.scratch import Scratch
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -142,10 +143,12 @@ def mix_sources(docs: DataFrame, **options) -> DataFrame:
 def mixed_rows(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", **options) -> DataFrame:
     """The rows of ``docs`` that the mix takes, with ``copies``, how often it repeats each.
 
-    A column of ``docs`` named ``copies`` is replaced.  See ``mix_sources`` for the cases.
+    Where ``docs`` has a column of that name, in any case, the count is ``copies_1`` and so on.
+    See ``mix_sources`` for the cases.
     """
     plan = mix_plan(docs, id_col=id_col, source_col=source_col, **options)[1]
-    own = [c for c in docs.columns if c != "copies"]
-    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in own]).alias("row"), F.col(source_col).cast("string").alias("source"), _place(F.col(id_col)).alias("h"))
-    taken = row.withColumn("s", _named("source")).join(plan, "s").withColumn("copies", _copies()).where("copies > 0")
-    return taken.select("row.*", "copies")
+    held = [f"c{k}" for k in range(len(docs.columns))]
+    rows = docs.toDF(*held).withColumn("source", F.col(held[docs.columns.index(source_col)]).cast("string"))
+    rows = rows.withColumn("s", _named("source")).withColumn("h", _place(F.col(held[docs.columns.index(id_col)])))
+    taken = rows.join(plan, "s").withColumn("copies", _copies()).where("copies > 0")
+    return taken.select(*held, "copies").toDF(*docs.columns, free_name("copies", docs.columns))
