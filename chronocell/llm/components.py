@@ -36,4 +36,6 @@ def connected_components(links: DataFrame, scratch: Scratch) -> DataFrame:
         scratch.drop(edges)
         edges = after
     heads = edges.select(F.col("v").alias("id")).distinct().withColumn("component", F.col("id"))
-    return scratch.keep(edges.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(heads), "components")
+    out = scratch.keep(edges.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(heads), "components")
+    scratch.drop(edges)
+    return out

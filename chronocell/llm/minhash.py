@@ -5,33 +5,39 @@
    the minima packed as bit planes, and a 128-bit digest of the whole set.
 2. Documents with equal sets are one class; only its smallest id goes on.
 3. Documents that share a band key form a bucket.  Each member is paired with the
-   bucket's smallest id, so a bucket of m gives m - 1 pairs.  A pair whose similarity,
-   estimated from the packed bits and corrected for chance collisions, is far below the
-   threshold is dropped; all others are confirmed on their full sets.
+   bucket's smallest id, so a bucket of m gives m - 1 pairs.  Similarity is estimated from
+   the packed bits and corrected for chance collisions; pairs far below the threshold are
+   ruled out, and of the others each member's likeliest are confirmed on the full sets.
 4. Confirmed links give components.  Where many members of large buckets are outside the
    bucket's largest component, they meet a few hubs from it in turns, linear in the bucket,
-   as long as that connects them.
+   as long as that connects them; again the likeliest are confirmed.
 5. Then the members that are still outside are compared with those of the other components
    of the bucket in the same way, so every pair in a bucket is either confirmed, ruled
-   out, or already connected.
+   out, or already connected.  Where that would be many pairs, as among unlike texts that
+   share some boilerplate, only those meet that share a longer band of longer signatures.
 6. Components again, spread to all members of each class.
 
 With 48 bands of 4 rows a pair at similarity 0.75 shares no bucket with probability
-1.2e-8; the estimate's standard deviation there is 0.038 and the margin is six of them.
+1.2e-8; the estimate's standard deviation there is 0.038 and the margin is six of them.  With
+256 bands of 8 rows, the longer ones, it shares none with probability 2e-12.
+
+Texts are compared whole, however long.  Scratch tables go as soon as nothing reads them.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from math import sqrt
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from chronocell.llm.components import connected_components
+from chronocell.llm.presence import BITS, may_be_in, presence
 from chronocell.llm.shingles import mix64, shingle_set
 from chronocell.sources.scratch import Scratch
 
@@ -49,11 +55,16 @@ SIGNATURE = T.StructType(
 
 #: Members of a bucket's main component that an outside member meets in a turn.
 HUBS = 4
-#: Pairs for each member of all buckets up to which the pairs left are compared at once.
+#: Pairs of a member that are confirmed in a turn; more wait for the next.
+LIKELIEST = 8
+#: Pairs for each member of all buckets up to which the pairs left are compared at once, without hubs first.
 PAIRS_A_MEMBER = 4
+#: The same where hubs no longer help.  Longer bands would make a row of each member for every band, and that is so many.
+LOOKS_A_MEMBER = 256
 
-#: Minima and bits of the longer signatures for pairs that are left.
-FINE, FINE_BITS = 2048, 2
+#: Bands, rows and bits of the longer signatures for pairs that are left.
+FINE_BANDS, FINE_ROWS, FINE_BITS = 256, 8, 2
+FINE = FINE_BANDS * FINE_ROWS
 
 NONE = np.empty(0, dtype=np.int64)
 
@@ -131,16 +142,18 @@ def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, shingles array<long>")
 
 
-def fine_planes(docs: DataFrame, words: int) -> DataFrame:
-    """``doc_id, fine``: packed signatures of ``FINE`` minima of each text that has shingles."""
+def fine_signatures(docs: DataFrame, words: int) -> DataFrame:
+    """``doc_id, fine, fine_keys``: longer packed signatures, and their band keys, of each text that has shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = MinHasher(FINE, 1, FINE_BITS, seed=6)
+        hasher = MinHasher(FINE_BANDS, FINE_ROWS, FINE_BITS, seed=6)
         for batch in batches:
             sets = [shingle_set(t.as_py(), words) for t in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), lists([hasher.planes(hasher.minima(s)) if len(s) else NONE for s in sets])], names=["doc_id", "fine"])
+            minima = [hasher.minima(s) if len(s) else None for s in sets]
+            planes, keys = ([f(m) if m is not None else NONE for m in minima] for f in (hasher.planes, hasher.keys))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), lists(planes), lists(keys)], names=["doc_id", "fine", "fine_keys"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fine array<long>").where("size(fine) > 0")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fine array<long>, fine_keys array<long>").where("size(fine) > 0")
 
 
 def estimated_similarity(left: str, right: str, k: int, bits: int) -> Column:
@@ -193,6 +206,16 @@ def near_duplicates(
     is_rep = (F.col("doc_id") == F.col("c.rep")) & (F.col("s.n") == F.col("c.n")) & (F.col("s.set1") == F.col("c.set1")) & (F.col("s.set2") == F.col("c.set2"))
     reps = usable.alias("s").join(classes.alias("c"), is_rep, "left_semi").dropDuplicates(["doc_id", "n", "set1", "set2"])
     reps = scratch.keep(reps.select(F.col("doc_id").alias("id"), "n", "keys", "planes"), "representatives")
+    of_rows = scratch.keep(signed.select("doc_id", "n", "set1", "set2"), "rows")
+    scratch.drop(signed)
+
+    # An id that is on rows of different texts links their classes.
+    of_id = of_rows.where("n > 0 AND doc_id IS NOT NULL")
+    text_of = F.struct("set1", "set2", "n")
+    several = of_id.groupBy("doc_id").agg(F.min(text_of).alias("low"), F.max(text_of).alias("high")).where("low < high").select("doc_id")
+    several = of_id.join(several, "doc_id", "left_semi").distinct().join(classes, ["set1", "set2", "n"]).select("doc_id", "rep")
+    first = several.groupBy("doc_id").agg(F.min("rep").alias("a"))
+    own = several.join(first, "doc_id").select("a", F.col("rep").alias("b")).where("a < b")
 
     # Buckets: members of every band key that at least two representatives have.
     keyed = reps.select("id", F.explode("keys").alias("key"))
@@ -204,16 +227,30 @@ def near_duplicates(
     card = reps.select("id", "n", "planes")
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
 
-    def promising(pairs: DataFrame) -> DataFrame:
-        """Of pairs ``a, b``: those that sizes and packed bits do not rule out."""
+    def texts_of(ids: DataFrame, most: int) -> DataFrame:
+        """The texts of ``ids`` (``doc_id``, ``most`` rows), and a few others: told apart where they are read, not shuffled.
+
+        Where there may be more ids than the filter tells apart well, they are joined too.
+        """
+        rows, there = may_be_in(texts, "doc_id", presence(ids))
+        rows = rows.where(there).select("doc_id", "text")
+        return rows if most <= BITS // 8 else rows.join(ids.distinct(), "doc_id", "left_semi")
+
+    def likeliest(pairs: DataFrame, *of: str) -> DataFrame:
+        """Of pairs ``a, b`` that sizes and packed bits do not rule out, the ``LIKELIEST`` of each ``of``.
+
+        The others are not lost: what they would connect and this does not is still open afterwards.
+        """
         both = pairs.join(card.toDF("a", "na", "pa"), "a").join(card.toDF("b", "nb", "pb"), "b")
         fits = F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent
-        return both.where(fits & (estimated_similarity("pa", "pb", hasher.k, hasher.bits) >= least)).select("a", "b")
+        both = both.withColumn("alike", estimated_similarity("pa", "pb", hasher.k, hasher.bits)).where(fits & (F.col("alike") >= least))
+        place = F.row_number().over(Window.partitionBy(*of).orderBy(F.desc("alike"), "a", "b"))
+        return both.withColumn("place", place).where(F.col("place") <= LIKELIEST).select("a", "b").distinct()
 
     def confirmed(pairs: DataFrame, label: str) -> DataFrame:
         """Of pairs ``a, b``: those whose full sets pass the threshold."""
-        ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-        sets = scratch.keep(shingle_sets(texts.join(ids, "doc_id", "left_semi"), words), f"{label}-sets")
+        ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id"))
+        sets = scratch.keep(shingle_sets(texts_of(ids, 2 * pairs.count()), words), f"{label}-sets")
         both = pairs.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b")
         # 100 * i >= percent * (a + b - i), with i once.
         similar = F.size(F.array_intersect("sa", "sb")) * (100 + percent) >= (F.size("sa") + F.size("sb")) * percent
@@ -221,14 +258,17 @@ def near_duplicates(
         scratch.drop(sets)
         return links
 
+    def all_of(parts: list[DataFrame]) -> DataFrame:
+        return reduce(DataFrame.unionByName, parts)
+
     stars = members.where("id > head").select(F.col("head").alias("a"), F.col("id").alias("b")).distinct()
-    stars = scratch.keep(promising(stars), "star-pairs")
-    links = confirmed(stars, "star")
-    labels = connected_components(links, scratch)
+    compared = scratch.keep(likeliest(stars, "b"), "star-pairs")
+    links = [confirmed(compared, "star"), scratch.keep(own, "own-links")]
+    labels = connected_components(all_of(links), scratch)
+    tried = [compared]
 
     # What is left: members of one bucket outside the bucket's largest component.
-    total = members.count()
-    tried, before, turn = stars, None, 0
+    total, before, turn = members.count(), None, 0
     while True:
         placed = members.join(labels, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
         parts = placed.groupBy("key", "component").agg(F.count(F.lit(1)).alias("size"))
@@ -236,6 +276,10 @@ def near_duplicates(
         main = scratch.keep(main.where("parts > 1"), "main")
         open_members = scratch.keep(placed.join(main.select("key", "main"), "key"), "open-members")
         cost, outside = main.agg(F.sum(F.col("size") * (F.col("size") - F.col("inside"))), F.sum(F.col("size") - F.col("inside"))).first()
+        # A bucket that has become one component stays one.
+        scratch.drop(main, members)
+        members = open_members.select("key", "id")
+        members.scratch_location = open_members.scratch_location
         # All pairs at once if they are few beside the members, or if hubs no longer help.
         if not cost or cost <= PAIRS_A_MEMBER * total or before is not None and outside > 0.9 * before:
             break
@@ -244,44 +288,69 @@ def near_duplicates(
         spread = F.xxhash64("id", F.lit(turn))
         inside = open_members.where("component = main").withColumn("slot", F.pmod(spread, F.lit(HUBS)))
         hubs = inside.groupBy("key", "slot").agg(F.min_by("id", spread).alias("hub"))
-        pairs = open_members.where("component <> main").select("key", "id").join(hubs.select("key", "hub"), "key")
-        pairs = pairs.select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
-        pairs = scratch.keep(pairs.join(tried, ["a", "b"], "left_anti"), "hub-pairs")
-        more = confirmed(scratch.keep(promising(pairs), "hub-promising"), "hub")
-        tried = scratch.keep(tried.unionByName(pairs), "tried")
-        links = scratch.keep(links.unionByName(more), "links")
-        labels = connected_components(links, scratch)
-
-    # Pairs that are left are judged on longer signatures, and only in the first band that they share.
-    ids = open_members.select(F.col("id").alias("doc_id")).distinct()
-    fine = scratch.keep(fine_planes(texts.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]), words), "fine")
-    sketch = reps.join(fine.groupBy("doc_id").agg(F.when(F.count(F.lit(1)) == 1, F.max("fine")).alias("fine")), F.col("id") == F.col("doc_id")).select("id", "n", "keys", "planes", "fine")
-    side = open_members.join(sketch, "id")
-
-    def named(rows: DataFrame, end: str) -> DataFrame:
-        return rows.select("key", "main", *[F.col(c).alias(c + end) for c in ("id", "component", "n", "keys", "planes", "fine")])
-
-    small, other = named(side.where("component <> main"), "a"), named(side, "b").drop("main")
-    fine_least = threshold - _margin(threshold, FINE, FINE_BITS, 5)
-    first_shared = F.expr("array_position(zip_with(keysa, keysb, (x, y) -> x = y), true) = array_position(keysa, key)")
-    open_pair = (
-        (F.col("componenta") != F.col("componentb"))
-        & ((F.col("componentb") == F.col("main")) | (F.col("ida") < F.col("idb")))
-        & (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
-        & (estimated_similarity("planesa", "planesb", hasher.k, hasher.bits) >= least)
-        & F.coalesce(estimated_similarity("finea", "fineb", FINE, FINE_BITS) >= fine_least, F.lit(True))  # null: an id of several texts
-        & first_shared
-    )
-    rest = small.join(other, "key").where(open_pair).select(F.least("ida", "idb").alias("a"), F.greatest("ida", "idb").alias("b"))
-    rest = scratch.keep(rest.distinct().join(tried, ["a", "b"], "left_anti"), "rest-pairs")
-    if not rest.isEmpty():
-        more = confirmed(rest, "rest")
-        labels = connected_components(links.unionByName(more), scratch)
+        pairs = open_members.where("component <> main").select("key", "id", "main").join(hubs.select("key", "hub"), "key")
+        pairs = pairs.select("id", "main", F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
+        compared = scratch.keep(likeliest(pairs.join(all_of(tried), ["a", "b"], "left_anti"), "id", "main"), "hub-pairs")
+        tried.append(compared)
+        links.append(confirmed(compared, "hub"))
+        scratch.drop(labels)
+        labels = connected_components(all_of(links), scratch)
+
+    if cost:
+        rest = _rest(open_members, reps, texts_of, tried, scratch, hasher, words, threshold, least, cost <= LOOKS_A_MEMBER * total)
+        if not rest.isEmpty():
+            links.append(confirmed(rest, "rest"))
+            scratch.drop(labels)
+            labels = connected_components(all_of(links), scratch)
+        scratch.drop(rest)
+    scratch.drop(open_members, reps, *tried, *links)
 
     # Every row takes its class's component.
     of_class = classes.join(labels.withColumnRenamed("id", "rep"), "rep", "left")
     of_class = of_class.select("set1", "set2", "n", F.coalesce("component", "rep").alias("component"))
-    rows = signed.select("doc_id", "n", "set1", "set2").join(of_class, ["set1", "set2", "n"], "left")
+    rows = of_rows.join(of_class, ["set1", "set2", "n"], "left")
     component = F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("component")).otherwise(F.col("doc_id"))
     out = rows.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def _rest(open_members: DataFrame, reps: DataFrame, texts_of, tried: list[DataFrame], scratch: Scratch, hasher: MinHasher, words: int, threshold: float, least: float, few: bool) -> DataFrame:
+    """Pairs ``a, b`` of ``open_members`` in different components that longer signatures do not rule out.
+
+    With ``few`` all pairs of a bucket meet, each in the first band that it shares; else those that
+    share a longer band, wherever they are.  An id of several texts has no one signature, so its
+    pairs are not ruled out here.
+    """
+    percent = round(threshold * 100)
+    ids = open_members.select(F.col("id").alias("doc_id")).distinct()
+    signed = fine_signatures(texts_of(ids, open_members.count()).join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]), words)
+    fine = scratch.keep(signed if not few else signed.drop("fine_keys"), "fine")
+    one = fine.groupBy("doc_id").agg(F.when(F.count(F.lit(1)) == 1, F.max("fine")).alias("fine"))
+    sketch = reps.join(one, F.col("id") == F.col("doc_id")).select("id", "n", "planes", "fine", *(["keys"] if few else []))
+
+    def named(rows: DataFrame, end: str, *also: str) -> DataFrame:
+        return rows.select(*also, *[F.col(c).alias(c + end) for c in rows.columns if c not in ("key", "main", *also)])
+
+    fits = F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent
+    alike = (estimated_similarity("planesa", "planesb", hasher.k, hasher.bits) >= least) & F.coalesce(
+        estimated_similarity("finea", "fineb", FINE, FINE_BITS) >= threshold - _margin(threshold, FINE, FINE_BITS, 5), F.lit(True)
+    )
+    if few:
+        side = open_members.join(sketch, "id")
+        small, other = named(side.where("component <> main"), "a", "key", "main"), named(side, "b", "key")
+        apart = (F.col("componenta") != F.col("componentb")) & ((F.col("componentb") == F.col("main")) | (F.col("ida") < F.col("idb")))
+        first_shared = F.expr("array_position(zip_with(keysa, keysb, (x, y) -> x = y), true) = array_position(keysa, key)")
+        pairs = small.join(other, "key").where(apart & fits & alike & first_shared).select(F.least("ida", "idb").alias("a"), F.greatest("ida", "idb").alias("b"))
+    else:
+        member = open_members.groupBy("id", "component").agg(F.bool_or(F.col("component") != F.col("main")).alias("outside"))
+        side = fine.withColumnRenamed("doc_id", "id").join(member, "id")
+        banded = scratch.keep(side.select("id", "component", "outside", F.explode("fine_keys").alias("band")), "fine-bands")
+        met = named(banded.where("outside"), "a", "band").join(named(banded, "b", "band"), "band")
+        met = met.where((F.col("componenta") != F.col("componentb")) & (~F.col("outsideb") | (F.col("ida") < F.col("idb"))))
+        met = met.select(F.col("ida"), F.col("idb")).distinct()
+        card = sketch.select("id", "n", "planes", "fine")
+        both = met.join(named(card, "a"), "ida").join(named(card, "b"), "idb")
+        pairs = both.where(fits & alike).select(F.least("ida", "idb").alias("a"), F.greatest("ida", "idb").alias("b"))
+    out = scratch.keep(pairs.distinct().join(reduce(DataFrame.unionByName, tried), ["a", "b"], "left_anti"), "rest-pairs")
+    scratch.drop(fine, *([] if few else [banded]))
+    return out

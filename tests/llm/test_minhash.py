@@ -82,6 +82,56 @@ def test_hubs_and_all_pairs_agree(spark, monkeypatch):
         rows.append((i, " ".join(text)))
     want = brute(rows)
     df = spark.createDataFrame(rows, SCHEMA)
-    for pairs in (0, 10**6):
+    for pairs, looks in ((0, 0), (0, 10**6), (10**6, 10**6)):
         monkeypatch.setattr("chronocell.llm.minhash.PAIRS_A_MEMBER", pairs)
+        monkeypatch.setattr("chronocell.llm.minhash.LOOKS_A_MEMBER", looks)
         assert {tuple(r) for r in near_duplicates(df).collect()} == want
+
+
+def test_unlike_texts_that_share_bands(spark, monkeypatch):
+    # Boilerplate puts unlike texts into one bucket; hubs connect none, and some pairs among them are near.
+    rng = random.Random(8)
+    shared = [f"s{k}" for k in range(45)]
+    rows = []
+    for i in range(60):
+        own = [f"o{i // 3 if i % 4 else i}-{k}" for k in range(40)]
+        if i % 4:
+            own[rng.randrange(40)] = f"z{i}"
+        rows.append((i, " ".join(shared + own)))
+    rows += [(200, rows[1][1]), (200, rows[50][1]), (201, None)]
+    want = brute([r for r in rows if r[0] != 200])
+    df = spark.createDataFrame(rows[:60] + rows[-1:], SCHEMA)
+    monkeypatch.setattr("chronocell.llm.minhash.PAIRS_A_MEMBER", 0)
+    monkeypatch.setattr("chronocell.llm.minhash.LOOKS_A_MEMBER", 0)
+    assert {tuple(r) for r in near_duplicates(df).collect()} == want
+    # An id of two texts links what either is near to.
+    got = {r["doc_id"]: r["component_id"] for r in near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got[1] == got[50] == got[200]
+
+
+def test_ids_beyond_the_filter_are_joined(spark, monkeypatch):
+    rows = corpus(3, groups=12)
+    monkeypatch.setattr("chronocell.llm.minhash.BITS", 8)
+    assert {tuple(r) for r in near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()} == brute(rows)
+
+
+def test_filter_passes_every_key(spark):
+    from chronocell.llm.presence import may_be_in, presence
+
+    rows = spark.range(2000).selectExpr("id AS k", "'t' AS text").union(spark.createDataFrame([(None, "t")], "k long, text string"))
+    flagged, there = may_be_in(rows, "k", presence(spark.range(0, 2000, 40)))
+    got = [(r["k"], r["there"]) for r in flagged.withColumn("there", there).collect()]
+    assert len(got) == 2001 and {k for k, yes in got if yes} >= set(range(0, 2000, 40))
+    assert sum(yes for _, yes in got) < 60
+    flagged, there = may_be_in(rows, "k", presence(spark.range(0)))
+    assert flagged.where(there).count() == 0 and flagged.count() == 2001
+
+
+def test_very_long_texts(spark):
+    rng = random.Random(5)
+    long = [f"l{rng.randrange(5000)}" for _ in range(60_000)]
+    near = list(long)
+    for _ in range(1500):
+        near[rng.randrange(len(near))] = "changed"
+    rows = [(3, " ".join(long)), (8, " ".join(near)), (9, " ".join(long[:30_000]))]
+    assert {tuple(r) for r in near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()} == brute(rows)
