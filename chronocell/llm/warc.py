@@ -17,12 +17,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from chronocell.llm.presence import may_be_in, presence
 from chronocell.sources.scratch import Scratch
 
 VERSION = b"WARC/1.1"
 PIECE = 1 << 16
 #: Bytes after which the writer closes an archive and begins the next.
 ARCHIVE_BYTES = 4 << 20
+#: Parts that the copies of one payload are joined in.
+SALTS = 16
 #: Stands for a record's date where none is known.
 EPOCH = "1970-01-01T00:00:00Z"
 HTTP_HEAD = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n"
@@ -226,19 +229,29 @@ def write_archives(pages: DataFrame, archive_bytes: int = ARCHIVE_BYTES) -> Data
     return pages.select("page_id", "url", "payload", "refers_to").mapInArrow(run, "archive string, content binary")
 
 
-def with_revisits(pages: DataFrame, least: int = 1000) -> DataFrame:
+def with_revisits(pages: DataFrame, scratch: Scratch, least: int = 1000) -> DataFrame:
     """``page_id, url, payload, refers_to`` of ``page_id, url, html``.
 
     Of pages with equal payloads of at least ``least`` bytes all but the one with the largest id refer
-    to that one.  Digests are counted before the join, so copies meet as sums, and only payloads
-    that repeat are joined.
+    to that one.  Digests are counted without their payloads, so copies meet as sums.  A payload
+    whose digest cannot be among those that repeat goes on from where it was read; only the others
+    are joined, each of ``SALTS`` parts of a digest's copies with its own row of the counts.
     """
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("binary"), F.lit(b"")).alias("payload"))
     digest = F.when(F.octet_length("payload") >= least, F.sha2("payload", 256))
-    same = rows.select("page_id", digest.alias("digest")).where("digest is not null")
+    rows = rows.withColumn("digest", digest)
+    same = rows.select("page_id", "digest").where("digest is not null")
     same = same.groupBy("digest").agg(F.max("page_id").alias("last"), F.count(F.lit(1)).alias("n")).where("n > 1 and last is not null").select("digest", "last")
-    out = rows.withColumn("digest", digest).join(same, "digest", "left")
-    return out.select("page_id", "url", "payload", F.when(~F.col("page_id").eqNullSafe(F.col("last")), F.col("last")).alias("refers_to"))
+    same = scratch.keep(same, "repeated")
+    flagged, repeats = may_be_in(rows, "digest", presence(same.select("digest")))
+    flagged = flagged.withColumn("repeats", repeats)
+    columns = ["page_id", "url", "payload"]
+    alone = flagged.where("not repeats").select(*columns, F.lit(None).cast("long").alias("refers_to"))
+    parts = same.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    part = F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int")
+    joined = flagged.where("repeats").withColumn("part", part).join(parts, ["digest", "part"], "left")
+    joined = joined.select(*columns, F.when(~F.col("page_id").eqNullSafe(F.col("last")), F.col("last")).alias("refers_to"))
+    return alone.unionByName(joined)
 
 
 def archive_round_trip(pages: DataFrame, least: int = 1000, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
@@ -251,7 +264,7 @@ def archive_round_trip(pages: DataFrame, least: int = 1000, archive_bytes: int =
     cannot be read to its end fails the query, as pages would be missing.
     """
     scratch = Scratch(pages.sparkSession, "warc")
-    archives = scratch.keep(write_archives(with_revisits(pages, least), archive_bytes), "archives")
+    archives = scratch.keep(write_archives(with_revisits(pages, scratch, least), archive_bytes), "archives")
     found = read_archives(archives)
     broken = F.concat(F.lit("archive "), F.col("archive"), F.lit(": "), F.col("error"))
     found = found.where(F.when(F.col("error").isNotNull(), F.raise_error(broken).cast("boolean")).otherwise(F.lit(True)))

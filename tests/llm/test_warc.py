@@ -9,6 +9,8 @@ import pytest
 from chronocell.llm import warc
 from chronocell.llm.warc import BadWarc, archive_round_trip, page_record, read_archives, read_records, record, sha1_label, with_revisits, write_archives
 
+from chronocell.sources.scratch import Scratch
+
 SCHEMA = "page_id long, url string, html string, record_type string"
 
 
@@ -52,7 +54,15 @@ def test_members_are_gzip_and_faults_are_seen(spark):
 
 def test_archives_split_by_size(spark):
     df = spark.createDataFrame([(i, "u", "".join(hashlib.sha1(f"{i}/{k}".encode()).hexdigest() for k in range(50)), "") for i in range(1, 60)], SCHEMA).coalesce(1)
-    assert write_archives(with_revisits(df), 5000).count() > 5
+    assert write_archives(with_revisits(df, Scratch(spark, "test")), 5000).count() > 5
+
+
+def test_copies_of_one_page_and_short_pages(spark):
+    # A third of the rows is one page, most others are short; an empty filter and a full one give the same.
+    rows = [(i, f"http://h/{i}", ("copy " * 250 if i % 3 == 0 else f"short {i % 5}" if i % 3 == 1 else f"own {i} " * 200)) for i in range(600)]
+    got = archive_round_trip(spark.createDataFrame([(*r, "") for r in rows], SCHEMA)).collect()
+    assert sorted((tuple(r)[:5] for r in got), key=str) == brute(rows)
+    assert {r["refers_to"] for r in got} == {None, 597}
 
 
 def test_a_long_url_loses_no_page(spark):
