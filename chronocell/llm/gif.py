@@ -3,7 +3,10 @@
 The reader takes any GIF of version 87a or 89a: global and local palettes, interlacing,
 frame rectangles, delays, transparent colours and the four disposal methods.  The writer
 makes single-rectangle frames with full LZW compression; with a palette of 256 it stores any
-bytes losslessly, a pixel a byte.
+bytes losslessly, a pixel a byte.  Stored samples and shown pixels differ: what is shown is
+composed from the frames so far.
+
+Frames are composed one after the other, so a long animation holds its samples and one canvas.
 """
 
 from __future__ import annotations
@@ -19,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from chronocell.sources.scratch import Scratch
+
 #: Bytes of pixels after which rows are passed on.
 HELD_BYTES = 16 << 20
 #: Formats' fixed values.
@@ -149,8 +154,8 @@ def _blocks(data: bytes) -> bytes:
     return b"".join(bytes([len(data[k : k + 255])]) + data[k : k + 255] for k in range(0, len(data), 255)) + b"\0"
 
 
-def write_gif(frames: list[np.ndarray], palette: np.ndarray, delays_cs: list[int] | None = None, disposal: int = 1, transparent: int | None = None, offsets: list[tuple[int, int]] | None = None, size: tuple[int, int] | None = None) -> bytes:
-    """An animated GIF of index frames (2-D ``uint8``) under one palette of a power of two colours."""
+def write_gif(frames: list[np.ndarray], palette: np.ndarray, delays_cs: list[int] | None = None, disposal: int | list[int] = 1, transparent: int | None = None, offsets: list[tuple[int, int]] | None = None, size: tuple[int, int] | None = None) -> bytes:
+    """An animated GIF of index frames (2-D ``uint8``) under one palette; ``disposal`` is one for all or one each."""
     bits = max(1, (len(palette) - 1).bit_length())
     offsets = offsets or [(0, 0)] * len(frames)
     height = size[1] if size else max((f.shape[0] + y for f, (_, y) in zip(frames, offsets, strict=True)), default=0)
@@ -159,7 +164,7 @@ def write_gif(frames: list[np.ndarray], palette: np.ndarray, delays_cs: list[int
     colours[: len(palette)] = palette
     out = [HEADERS[1], struct.pack("<HHBBB", width, height, 0x80 | 0x70 | (bits - 1), 0, 0), colours.tobytes()]
     for k, frame in enumerate(frames):
-        flags = disposal << 2 | (transparent is not None)
+        flags = (disposal if isinstance(disposal, int) else disposal[k]) << 2 | (transparent is not None)
         out.append(struct.pack("<BBBBHBB", EXTENSION, GRAPHIC_CONTROL, 4, flags, delays_cs[k] if delays_cs else 4, transparent or 0, 0))
         out.append(struct.pack("<BHHHHB", IMAGE, *offsets[k], frame.shape[1], frame.shape[0], 0))
         out.append(bytes([max(2, bits)]) + _blocks(lzw_encode(frame.tobytes(), max(2, bits))))
@@ -267,49 +272,69 @@ def histogram(canvas: np.ndarray) -> list[int]:
     return np.bincount(place, minlength=64).tolist()
 
 
-FRAMES = "media_id long, frame int, start_cs int, delay_cs int, width int, height int, pixels binary, colours array<int>, error string"
+@dataclass
+class Shown:
+    """A frame in its place in time: what is stored of it, and the canvas as shown with its ``histogram``."""
+
+    place: int
+    start_cs: int
+    stored: Frame
+    canvas: np.ndarray
+    colours: list[int]
+
+
+def shown_frames(data: bytes) -> Iterator[Shown]:
+    """The frames of a GIF in order, composed; ``BadGif`` before the first for one that is not whole."""
+    width, height, frames = read_gif(data)
+    for k, (stored, (start, canvas)) in enumerate(zip(frames, composed(width, height, frames), strict=True)):
+        yield Shown(k, start, stored, canvas, histogram(canvas))
+
+
+FRAMES = "media_id long, frame int, start_cs int, delay_cs int, width int, height int, samples binary, pixels binary, colours array<int>, error string"
+FRAMES_ARROW = pa.schema([("media_id", pa.int64()), ("frame", pa.int32()), ("start_cs", pa.int32()), ("delay_cs", pa.int32()), ("width", pa.int32()), ("height", pa.int32()), ("samples", pa.binary()), ("pixels", pa.binary()), ("colours", pa.list_(pa.int32())), ("error", pa.string())])
 
 
 def decode_frames(media: DataFrame, id_col: str = "media_id", gif_col: str = "gif") -> DataFrame:
-    """A row a shown frame: its time, size, ``pixels`` and ``colours``, a histogram of 64 counts.
+    """A row a shown frame: its time, canvas size, ``samples``, ``pixels`` and ``colours``, a histogram of 64 counts.
 
-    ``pixels`` are the canvas as shown, row by row, four bytes a pixel: red, green, blue and
-    255, or 0 where nothing is drawn.
+    ``samples`` are the palette indices as stored, ``pixels`` the canvas as shown, row by row, four
+    bytes a pixel: red, green, blue and 255, or 0 where nothing is drawn.
 
     A GIF without frames, a null one and one that cannot be read give one row with ``frame`` null;
     ``error`` says why (``null`` where there is just no frame).  Other columns are ignored;
-    repeated rows repeat.
+    repeated rows repeat; an empty table gives none.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("media_id", pa.int64()), ("frame", pa.int32()), ("start_cs", pa.int32()), ("delay_cs", pa.int32()), ("width", pa.int32()), ("height", pa.int32()), ("pixels", pa.binary()), ("colours", pa.list_(pa.int32())), ("error", pa.string())])
         for batch in batches:
             rows, held = [], 0
             for key, gif in zip(batch.column("media_id").to_pylist(), batch.column("gif"), strict=True):
-                blank = dict.fromkeys(schema.names) | {"media_id": key}
+                blank, first = dict.fromkeys(FRAMES_ARROW.names) | {"media_id": key}, len(rows)
+                found = False
                 try:
-                    data = gif.as_py()
-                    width, height, frames = read_gif(data) if data is not None else (None, None, [])
+                    for f in shown_frames(gif.as_py()) if gif.is_valid else ():
+                        found = True
+                        pixels, samples = f.canvas.tobytes(), f.stored.pixels.tobytes()
+                        height, width = f.canvas.shape[:2]
+                        rows.append({"media_id": key, "frame": f.place, "start_cs": f.start_cs, "delay_cs": f.stored.delay_cs, "width": width, "height": height, "samples": samples, "pixels": pixels, "colours": f.colours, "error": None})
+                        held += len(pixels) + len(samples)
+                        if held > HELD_BYTES:
+                            yield pa.RecordBatch.from_pylist(rows, schema=FRAMES_ARROW)
+                            rows, held, first = [], 0, 0
+                    if not found:
+                        size = struct.unpack_from("<HH", gif.as_py(), 6) if gif.is_valid else (None, None)
+                        rows.append(blank | {"width": size[0], "height": size[1]})
                 except BadGif as e:
-                    rows.append(blank | {"error": str(e)})
-                    continue
-                if not frames:
-                    rows.append(blank | {"width": width, "height": height})
-                    continue
-                for k, (f, (start, canvas)) in enumerate(zip(frames, composed(width, height, frames), strict=True)):
-                    pixels = canvas.tobytes()
-                    rows.append(blank | {"frame": k, "start_cs": start, "delay_cs": f.delay_cs, "width": width, "height": height, "pixels": pixels, "colours": histogram(canvas)})
-                    held += len(pixels)
-                    if held > HELD_BYTES:
-                        yield pa.RecordBatch.from_pylist(rows, schema=schema)
-                        rows, held = [], 0
-            yield pa.RecordBatch.from_pylist(rows, schema=schema)
+                    rows[first:] = [blank | {"error": str(e)}]
+            yield pa.RecordBatch.from_pylist(rows, schema=FRAMES_ARROW)
 
     return media.select(F.col(id_col).cast("long").alias("media_id"), F.col(gif_col).alias("gif")).mapInArrow(run, FRAMES)
 
 
 #: The stored form of a payload: 24 pixels a row, units of 24 rows, up to 16 units a frame.
 SIDE, UNIT, FRAME_UNITS = 24, 576, 16
+#: Its filler, which is not drawn, and the disposals that its frames take in turn: leave, clear, bring back.
+FILLER, DISPOSALS = 255, (1, 2, 3)
 
 
 def payload_palette() -> np.ndarray:
@@ -319,42 +344,70 @@ def payload_palette() -> np.ndarray:
 
 
 def store_payload(data: bytes) -> bytes:
-    """``data`` padded with 255 to whole units, as an animated GIF."""
-    padded = data + b"\xff" * (-len(data) % UNIT if data else UNIT)
+    """``data`` padded with ``FILLER`` to whole units, as an animated GIF: a frame lasts as many hundredths as it has units."""
+    padded = data + bytes([FILLER]) * (-len(data) % UNIT if data else UNIT)
     step = UNIT * FRAME_UNITS
     frames = [np.frombuffer(padded[k : k + step], np.uint8).reshape(-1, SIDE) for k in range(0, len(padded), step)]
-    return write_gif(frames, payload_palette())
+    turns = [DISPOSALS[k % len(DISPOSALS)] for k in range(len(frames))]
+    return write_gif(frames, payload_palette(), [f.size // UNIT for f in frames], turns, FILLER)
+
+
+def payload_media(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id, n_bytes, gif``: every whole text's bytes as a GIF."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, sizes, gifs, held = [], [], [], 0
+            for key, value in zip(batch.column("doc_id"), batch.column("text"), strict=True):
+                data = (value.as_py() or "").encode("utf-8", "surrogatepass")
+                keys.append(key.as_py())
+                sizes.append(len(data))
+                gifs.append(store_payload(data))
+                held += len(gifs[-1])
+                if held > HELD_BYTES:
+                    yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()), pa.array(gifs, pa.binary())], names=["doc_id", "n_bytes", "gif"])
+                    keys, sizes, gifs, held = [], [], [], 0
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()), pa.array(gifs, pa.binary())], names=["doc_id", "n_bytes", "gif"])
+
+    return documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, n_bytes long, gif binary")
 
 
 def payload_features(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Stores every whole text's bytes as a GIF, reads the GIF back and describes it.
+    """Stores every whole text's bytes as a GIF in a media table, reads the table back and describes it.
 
     ``doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256,
-    feature, n_frames, duration_cs``.  ``feature`` is the colour histogram over all shown
-    frames.  A null text is an empty one; repeated rows repeat; an empty table gives none.
+    feature, n_frames, duration_cs``.  The payload is what the frames' samples say.  ``feature``
+    is the canvas, the number and time of frames, and how many pixels are shown in each colour
+    bucket for how long, over all composed frames: a pixel that stays on while later frames are
+    shown counts for theirs.
+
+    A null text is an empty one; equal texts have equal values; repeated rows repeat; very long
+    texts are many frames; a null id stays; other columns are ignored; an empty table gives none.
     """
-    names = ["n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "n_frames", "duration_cs"]
-    kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64()]
-
-    def describe(text: str | None) -> tuple:
-        data = (text or "").encode("utf-8", "surrogatepass")
-        media = store_payload(data)
-        width, height, frames = read_gif(media)
-        payload = b"".join(f.pixels.tobytes() for f in frames)
-        counts = np.zeros(64, dtype=np.int64)
-        # Frames are opaque and cover their rows, so each shows its own pixels.
-        for f in frames:
-            used = np.bincount(f.pixels.ravel(), minlength=256)
-            place = (f.palette[:, 0] >> 6).astype(np.int64) << 4 | (f.palette[:, 1] >> 6).astype(np.int64) << 2 | f.palette[:, 2] >> 6
-            counts += np.bincount(place, weights=used, minlength=64).astype(np.int64)
-        feature = f"{width}x{height};" + ",".join(f"{k}:{c}" for k, c in enumerate(counts.tolist()) if c)
-        return len(data), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(media), hashlib.sha256(media).hexdigest(), feature, len(frames), sum(f.delay_cs for f in frames)
+    names = ["payload_bytes", "payload_sha256", "tail_crc32", "feature", "n_frames", "duration_cs"]
+    kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64()]
+    media = Scratch(documents.sparkSession, "gif").keep(payload_media(documents, id_col, text_col), "media")
+
+    def describe(gif: bytes) -> tuple:
+        digest, tail, size, count, time = hashlib.sha256(), b"", 0, 0, 0
+        weight, canvas = np.zeros(64, dtype=np.int64), (0, 0)
+        for f in shown_frames(gif):
+            samples = f.stored.pixels.tobytes()
+            digest.update(samples)
+            tail, size, count, time = (tail + samples[-32:])[-32:], size + len(samples), count + 1, time + f.stored.delay_cs
+            weight += np.array(f.colours) * f.stored.delay_cs
+            canvas = f.canvas.shape
+        feature = f"{canvas[1]}x{canvas[0]};{count}f;{time}cs;" + ",".join(f"{k}:{c}" for k, c in enumerate(weight.tolist()) if c)
+        return size, digest.hexdigest(), zlib.crc32(tail), feature, count, time
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [describe(v.as_py()) for v in batch.column("text")]
+            rows = [describe(v.as_py()) for v in batch.column("gif")]
             columns = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], names=["doc_id", *names])
+            kept = [batch.column(c) for c in ("doc_id", "n_bytes", "media_bytes", "media_sha256")]
+            yield pa.RecordBatch.from_arrays([*kept, *columns], names=["doc_id", "n_bytes", "media_bytes", "media_sha256", *names])
 
-    schema = "doc_id long, " + ", ".join(f"{n} {'string' if k == pa.string() else 'long'}" for n, k in zip(names, kinds, strict=True))
-    return documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
+    schema = "doc_id long, n_bytes long, media_bytes long, media_sha256 string, " + ", ".join(f"{n} {'string' if k == pa.string() else 'long'}" for n, k in zip(names, kinds, strict=True))
+    stored = media.select("doc_id", "n_bytes", F.octet_length("gif").cast("long").alias("media_bytes"), F.sha2("gif", 256).alias("media_sha256"), "gif")
+    out = stored.mapInArrow(run, schema)
+    return out.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "n_frames", "duration_cs")

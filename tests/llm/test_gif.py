@@ -60,12 +60,77 @@ def test_broken_files_are_reported(spark):
     rows = [(1, good, "a"), (2, good[:900], "b"), (3, None, "c"), (None, b"", "d"), (1, good, "a")]
     got = decode_frames(spark.createDataFrame(rows, "media_id long, gif binary, frame string")).collect()
     assert sorted((r["media_id"] or 0, r["frame"] is None, r["error"] is None) for r in got) == [(0, True, False), (1, False, True), (1, False, True), (2, True, False), (3, True, True)]
-    assert sum(next(r for r in got if r["media_id"] == 1)["colours"]) == 576 * 3
+    assert sum(next(r for r in got if r["media_id"] == 1)["colours"]) == 1200  # the filler is not drawn
+
+
+def plain_lzw(data):
+    """The stream of values under 256, string by string and bit by bit."""
+    bits, codes, table, have = [], [], {bytes([k]): k for k in range(256)}, b""
+
+    def put(code, width):
+        bits.extend(code >> k & 1 for k in range(width))
+
+    size, width = 258, 9
+    put(256, 9)
+    for value in data:
+        longer = have + bytes([value])
+        if longer in table:
+            have = longer
+            continue
+        put(table[have], width)
+        table[longer] = size
+        size += 1
+        have = bytes([value])
+        if size == 4096:
+            put(256, 12)
+            table, size, width = {bytes([k]): k for k in range(256)}, 258, 9
+        elif size > 1 << width:
+            width += 1
+    put(table[have], width)
+    # The reader has made one entry more by then.
+    put(257, width + (size + 1 > 1 << width and width < 12 and size > 258))
+    bits += [0] * (-len(bits) % 8)
+    return bytes(sum(b << k for k, b in enumerate(bits[at : at + 8])) for at in range(0, len(bits), 8))
+
+
+def plain_gif(padded):
+    rows = min(len(padded) // 24, 384)
+    out = b"GIF89a" + bytes([24, 0, rows & 255, rows >> 8, 0xF7, 0, 0])
+    out += b"".join(bytes([(k >> 5) * 36, (k >> 2 & 7) * 36, (k & 3) * 85]) for k in range(256))
+    for k, at in enumerate(range(0, len(padded), 24 * 384)):
+        part = padded[at : at + 24 * 384]
+        stream, height = plain_lzw(part), len(part) // 24
+        out += bytes([0x21, 0xF9, 4, (1, 2, 3)[k % 3] << 2 | 1, len(part) // 576, 0, 255, 0])
+        out += bytes([0x2C, 0, 0, 0, 0, 24, 0, height & 255, height >> 8, 0, 8])
+        out += b"".join(bytes([len(stream[j : j + 255])]) + stream[j : j + 255] for j in range(0, len(stream), 255)) + b"\0"
+    return out + b";"
+
+
+def plain_feature(padded):
+    """Pixel by pixel: what each place shows while each frame is on."""
+    rows, counts, shown, time, n = min(len(padded) // 24, 384), {}, {}, 0, 0
+    for k, at in enumerate(range(0, len(padded), 24 * 384)):
+        part, before = padded[at : at + 24 * 384], dict(shown)
+        lasts = len(part) // 576
+        for place, value in enumerate(part):
+            if value != 255:
+                shown[place] = value
+        for value in shown.values():
+            bucket = ((value >> 5) * 36 >> 6) * 16 + ((value >> 2 & 7) * 36 >> 6) * 4 + ((value & 3) * 85 >> 6)
+            counts[bucket] = counts.get(bucket, 0) + lasts
+        if k % 3 == 1:
+            for place in range(len(part)):
+                shown.pop(place, None)
+        elif k % 3 == 2:
+            shown = before
+        time, n = time + lasts, n + 1
+    return f"24x{rows};{n}f;{time}cs;" + ",".join(f"{k}:{counts[k]}" for k in sorted(counts))
 
 
 def test_payloads(spark):
     assert len({tuple(c) for c in payload_palette().tolist()}) == 256
-    texts = [None, "", "é" * 288, "x" * 577, "long " * 9000, "x" * 577]
+    rng = random.Random(9)
+    texts = [None, "", "é" * 288, "x" * 577, "long " * 9000, "x" * 577, "".join(rng.choice("abcdefgh ÄÖ€\n") for _ in range(40_000)), "".join(chr(rng.randrange(32, 50_000)) for _ in range(9_000))]
     df = spark.createDataFrame([(i, t, 1) for i, t in enumerate(texts)], "doc_id long, text string, n_bytes int")
     got = {r["doc_id"]: r for r in payload_features(df).collect()}
     for i, t in enumerate(texts):
@@ -74,7 +139,9 @@ def test_payloads(spark):
         r = got[i]
         assert (r["n_bytes"], r["payload_bytes"]) == (len(data), len(padded))
         assert r["payload_sha256"] == hashlib.sha256(padded).hexdigest() and r["tail_crc32"] == zlib.crc32(padded[-32:])
-        assert r["media_sha256"] == hashlib.sha256(store_payload(data)).hexdigest()
+        media = plain_gif(padded)
+        assert (r["media_bytes"], r["media_sha256"]) == (len(media), hashlib.sha256(media).hexdigest())
+        assert r["feature"] == plain_feature(padded)
     assert got[3][1:] == got[5][1:]
     assert payload_features(df.limit(0)).count() == 0
 
