@@ -16,6 +16,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -47,7 +48,7 @@ def reply_paths(messages: DataFrame, scratch: Scratch, top: int | None = None) -
     node = messages.select("conv_id", "msg_id", "parent_id", F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score"))
     known = node.select(F.col("msg_id").alias("parent_id"), F.lit(True).alias("known"))
     node = node.join(known, "parent_id", "left").withColumn("parent_id", F.when(F.col("known"), F.col("parent_id"))).drop("known")
-    node = scratch.keep(node, "nodes")
+    node = scratch.keep(node, "nodes")  # narrow: no roles or texts
 
     # reach: the ancestor 2**k up (null past the root), messages and score on the way to it.
     reach = node.select("msg_id", F.col("parent_id").alias("up"), F.lit(1).cast("long").alias("steps"), F.col("score").alias("sum"))
@@ -71,12 +72,17 @@ def reply_paths(messages: DataFrame, scratch: Scratch, top: int | None = None) -
     leaves = leaves.withColumn("branch", F.row_number().over(by_score))
     if top is not None:
         leaves = leaves.where(F.col("branch") <= top)
-    path = leaves.select("conv_id", "branch", "msg_id", F.col("steps").alias("position"))
-    for k in range(len(jumps) - 2, -1, -1):
-        step = jumps[k].where("up is not null").select("msg_id", "up")
-        higher = path.join(step, "msg_id").select("conv_id", "branch", F.col("up").alias("msg_id"), (F.col("position") - 2**k).alias("position"))
-        path = scratch.keep(path.unionByName(higher), "path")
-    return path
+    parts = [scratch.keep(leaves.select("conv_id", "branch", "msg_id", F.col("steps").alias("position")), "path")]
+    scratch.drop(node, jumps.pop())
+    while jumps:
+        # What is on a path so far stays where it is; only the messages that a jump adds are written.
+        jump = jumps.pop()
+        step = jump.where("up is not null").select("msg_id", "up")
+        higher = reduce(DataFrame.unionByName, parts).join(step, "msg_id")
+        higher = higher.select("conv_id", "branch", F.col("up").alias("msg_id"), (F.col("position") - 2 ** len(jumps)).alias("position"))
+        parts.append(scratch.keep(higher, "path"))
+        scratch.drop(jump)
+    return reduce(DataFrame.unionByName, parts)
 
 
 def format_paths(paths: DataFrame, texts: DataFrame) -> DataFrame:
@@ -125,14 +131,24 @@ def format_replies(messages: DataFrame, top: int | None = 1) -> DataFrame:
 def turns_as_messages(turns: DataFrame, scratch: Scratch) -> DataFrame:
     """Linear conversations ``conv_id, turn, role, text`` as messages, each the reply to the one before.
 
-    Rows of equal turn follow by role and text, nulls first; null conversations are one.
+    Rows of equal turn follow by role and text, nulls first; null conversations are one.  A message's
+    id is a number of the conversation's own and the place.  The order of a conversation is found
+    in one task, over all of its rows, which spill; its formatted text is one row in the end.
     """
     order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
-    rows = turns.select("conv_id", "turn", "role", "text").withColumn("place", F.row_number().over(order))
-    name = F.concat(F.coalesce(F.col("conv_id").cast("string"), F.lit("")), F.lit("/"))
-    rows = rows.withColumn("msg_id", F.concat(name, F.col("place").cast("string")))
-    rows = rows.withColumn("parent_id", F.when(F.col("place") > 1, F.concat(name, (F.col("place") - 1).cast("string"))))
-    return scratch.keep(rows.select("conv_id", "msg_id", "parent_id", "role", "text", F.lit(0.0).alias("score")), "messages")
+    rows = turns.select("conv_id", "turn", "role", "text").withColumn("place", F.row_number().over(order).cast("long"))
+    # Exact decimals: conversations are 2**31 apart, null is past the largest.
+    wide = F.coalesce(F.col("conv_id").cast("decimal(19,0)"), F.lit("9223372036854775808").cast("decimal(19,0)"))
+    of = (wide * F.lit(1 << 31).cast("decimal(10,0)")).cast("decimal(38,0)")
+    rows = rows.select(
+        "conv_id",
+        (of + F.col("place")).cast("decimal(38,0)").alias("msg_id"),
+        F.when(F.col("place") > 1, (of + F.col("place") - 1).cast("decimal(38,0)")).alias("parent_id"),
+        "role",
+        "text",
+        F.lit(0.0).alias("score"),
+    )
+    return scratch.keep(rows, "messages")
 
 
 def read_turns(formatted: str) -> list[tuple[str, str]]:
