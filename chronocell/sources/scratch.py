@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; a local one only where it is unset (tests)."""
+    """The folder in ``spark.checkpoint.dir``; where it is unset a local one, if all of Spark is local too."""
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if named:
@@ -24,6 +24,8 @@ def shared_dir(spark: SparkSession) -> str:
     current = sc.getCheckpointDir()
     if current:
         return current.rstrip("/")
+    if not sc.master.startswith("local[") and sc.master != "local":
+        raise ValueError("spark.checkpoint.dir is not set: name a folder that the driver and all executors share")
     own = tempfile.mkdtemp(prefix="spark-chronocell-")
     atexit.register(shutil.rmtree, own, True)
     sc.setCheckpointDir(own)
@@ -48,13 +50,18 @@ class Scratch:
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/chronocell-{label}-{uuid.uuid4().hex[:12]}"
-        self._written = 0
+        self._written, self._tables = 0, []
 
     def keep(self, df: DataFrame, name: str = "t") -> DataFrame:
         """Write ``df`` and return a reader of it.  Its location is in ``.scratch_location``."""
         self._written += 1
+        if self._written == 1:
+            # What is left of the group goes when the application ends.
+            path, fs = _path(self.spark, self.root)
+            fs.deleteOnExit(path)
         where = f"{self.root}/{self._written:03d}-{name}"
         df.write.parquet(where)
+        self._tables.append(where)
         out = self.spark.read.schema(df.schema).parquet(where)
         out.scratch_location = where
         return out
@@ -62,3 +69,11 @@ class Scratch:
     def drop(self, *tables: DataFrame) -> None:
         for table in tables:
             drop(self.spark, table.scratch_location)
+
+    def clear(self, *but: DataFrame) -> None:
+        """Delete all tables of this group but some."""
+        stay = {t.scratch_location for t in but}
+        for where in self._tables:
+            if where not in stay:
+                drop(self.spark, where)
+        self._tables = [w for w in self._tables if w in stay]
