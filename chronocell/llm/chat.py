@@ -2,7 +2,8 @@
 
 A message names its parent.  Paths from root to leaf are enumerated by self-joins that
 double their reach: round k joins every message's ancestor at distance 2**k to that
-ancestor's own, so a tree of depth d takes log2(d) rounds over narrow rows.  Leaves are
+ancestor's own, so a tree of depth d takes log2(d) rounds over narrow rows, each over those
+messages alone that are deeper than the last reached.  Leaves are
 ranked by the summed score of their path, the chosen ones are expanded to their messages
 by the same tables from the longest jump to the shortest, and each path becomes one text.
 
@@ -50,22 +51,22 @@ def reply_paths(messages: DataFrame, scratch: Scratch, top: int | None = None) -
     node = node.join(known, "parent_id", "left").withColumn("parent_id", F.when(F.col("known"), F.col("parent_id"))).drop("known")
     node = scratch.keep(node, "nodes")  # narrow: no roles or texts
 
-    # reach: the ancestor 2**k up (null past the root), messages and score on the way to it.
-    reach = node.select("msg_id", F.col("parent_id").alias("up"), F.lit(1).cast("long").alias("steps"), F.col("score").alias("sum"))
+    # active: messages whose ancestor 2**k up exists, with that and the score on the way to it;
+    # rooted: the others, with their distance from above the root and the score on all of it.
+    active = node.select("msg_id", F.col("parent_id").alias("up"), F.lit(1).cast("long").alias("steps"), F.col("score").alias("sum"))
+    rooted = [scratch.keep(active.where("up is null").drop("up"), "rooted")]
+    active = scratch.keep(active.where("up is not null"), "active")
     jumps, most = [], node.count().bit_length() + 1
-    while True:
-        reach = scratch.keep(reach, "reach")
-        jumps.append(reach)
-        if reach.where("up is not null").isEmpty() or len(jumps) > most:
-            break
-        far = reach.select(F.col("msg_id").alias("up"), F.col("up").alias("up2"), F.col("steps").alias("steps2"), F.col("sum").alias("sum2"))
-        reach = reach.join(far, "up", "left").select(
-            "msg_id",
-            F.col("up2").alias("up"),
-            (F.col("steps") + F.coalesce("steps2", F.lit(0))).alias("steps"),
-            (F.col("sum") + F.coalesce("sum2", F.lit(0.0))).alias("sum"),
-        )
-    rooted = reach.where("up is null").select("msg_id", "steps", "sum")
+    # Messages on a cycle stay active for ever.
+    while not active.isEmpty() and len(jumps) <= most:
+        jumps.append(active)
+        ended = [r.select("msg_id", F.lit(None).cast(active.schema["up"].dataType).alias("up"), "steps", "sum") for r in rooted]
+        far = reduce(DataFrame.unionByName, ended, active).toDF("up", "up2", "steps2", "sum2")
+        moved = active.join(far, "up").select("msg_id", F.col("up2").alias("up"), (F.col("steps") + F.col("steps2")).alias("steps"), (F.col("sum") + F.col("sum2")).alias("sum"))
+        moved = scratch.keep(moved, "moved")
+        rooted.append(moved.where("up is null").drop("up"))
+        active = moved.where("up is not null")
+    rooted = reduce(DataFrame.unionByName, rooted)
     parents = node.where("parent_id is not null").select(F.col("parent_id").alias("msg_id")).distinct()
     leaves = node.select("conv_id", "msg_id").join(rooted, "msg_id").join(parents, "msg_id", "left_anti")
     by_score = Window.partitionBy("conv_id").orderBy(F.col("sum").desc(), "msg_id")
@@ -73,15 +74,13 @@ def reply_paths(messages: DataFrame, scratch: Scratch, top: int | None = None) -
     if top is not None:
         leaves = leaves.where(F.col("branch") <= top)
     parts = [scratch.keep(leaves.select("conv_id", "branch", "msg_id", F.col("steps").alias("position")), "path")]
-    scratch.drop(node, jumps.pop())
     while jumps:
         # What is on a path so far stays where it is; only the messages that a jump adds are written.
-        jump = jumps.pop()
-        step = jump.where("up is not null").select("msg_id", "up")
+        step = jumps.pop().select("msg_id", "up")
         higher = reduce(DataFrame.unionByName, parts).join(step, "msg_id")
         higher = higher.select("conv_id", "branch", F.col("up").alias("msg_id"), (F.col("position") - 2 ** len(jumps)).alias("position"))
         parts.append(scratch.keep(higher, "path"))
-        scratch.drop(jump)
+    scratch.clear(*parts)
     return reduce(DataFrame.unionByName, parts)
 
 
