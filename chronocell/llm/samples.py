@@ -7,6 +7,8 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from chronocell.sources.scratch import Scratch
+
 
 def text_key(text: Column, seed: int) -> Column:
     """A text's place in the order that samples are drawn in."""
@@ -27,6 +29,8 @@ def lowest_texts(docs: DataFrame, n: int, seed: int, by: str | None = None) -> D
     if by:
         place = F.row_number().over(Window.partitionBy(by).orderBy("key"))
         upto = keys.withColumn("place", place).where(F.col("place") <= n).groupBy(by).agg(F.max("key").alias("upto"))
+        # Written, a row a group has its true size, by which Spark broadcasts it; texts must not move by group.
+        upto = Scratch(docs.sparkSession, "sample").keep(upto, "upto")
         low = keyed.join(upto, by).where("key <= upto")
     else:
         upto = keys.orderBy("key").limit(n).agg(F.max("key")).first()[0]
