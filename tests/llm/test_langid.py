@@ -74,7 +74,7 @@ def test_nothing_to_learn_from(spark):
 
 def test_every_language_is_learned_however_many(spark, monkeypatch):
     seen = []
-    monkeypatch.setattr(L.Network, "train", lambda self, windows, y, steps: seen.append((self.labels, self.v.shape[0] // 2, steps, sorted(set(y.tolist())))))
+    monkeypatch.setattr(L.Network, "train", lambda self, windows, y, steps, rate, held: seen.append((self.labels, self.v.shape[0] // 2, steps, sorted(set(y.tolist())))) or 0.0)
     for n in (3, 100):
         L.fit(spark.createDataFrame([(i, "some words", f"l{i % n:02d}") for i in range(40 * n)], "doc_id long, text string, lang string"))
     assert [s[0] for s in seen] == [[f"l{k:02d}" for k in range(n)] for n in (3, 100)]
@@ -90,3 +90,80 @@ def test_batches_in_parts_have_the_same_gradients(monkeypatch):
     monkeypatch.setattr(L, "CELLS", 9 * 3 * 4)
     parts = net.batch_gradients(x, y)
     assert abs(whole[0] - parts[0]) < 1e-5 and all(np.allclose(a, b, atol=1e-5) for a, b in zip(whole[1], parts[1], strict=True))
+
+
+def slow_probabilities(net, text):
+    """Mean label probabilities of a text, byte by byte and unit by unit."""
+    data, sums = text.encode(), np.zeros(len(net.labels))
+    squash = lambda v, low: np.minimum(np.maximum(v, low), 1)
+    for at in range(0, len(data), L.WINDOW):
+        part = data[at : at + L.WINDOW]
+        states = []
+        for layer, read in ((net.forward, part), (net.backward, part[::-1])):
+            h, seen = np.zeros(len(layer.u[0])), []
+            for byte in read:
+                z = squash(layer.x[0][byte] + h @ layer.u[0], 0)
+                r = squash(layer.x[1][byte] + h @ layer.u[1], 0)
+                h = h + z * (squash(layer.x[2][byte] + (r * h) @ layer.u[2], -1) - h)
+                seen.append(h)
+            states.append(seen)
+        for ahead, back in zip(states[0], states[1][::-1], strict=True):
+            e = np.exp((scores := np.concatenate([ahead, back]) @ net.v + net.bias) - scores.max())
+            sums += e / e.sum()
+    return sums / max(1, len(data))
+
+
+def test_whole_output_equals_a_slow_forward_pass(spark):
+    rng = random.Random(12)
+    rows = [(i, sentence(rng, lang, rng.choice([1, 4, 70])), lang) for i, lang in enumerate(rng.choice(list(WORDS)) for _ in range(150))]
+    rows += [(500, None, "aa"), (501, "", "aa"), (502, "12 !?", "bb"), (503, "x", None), (None, rows[0][1], None), (None, None, None), (504, sentence(rng, "cc", 4000), "cc")]
+    df = spark.createDataFrame([(*r, "clash") for r in rows], "doc_id long, text string, lang string, score string")
+    net = L.fit(df.select("doc_id", "text", "lang"), steps=60)
+    got = sorted([tuple(r) for r in L.identify(df, net).collect()], key=repr)
+    want = []
+    for key, text, _ in rows:
+        held = zlib.crc32(b"" if key is None else str(key).encode()) % 4 == 2
+        if not L.has_letter(text):
+            want.append((key, held, "und", 0.0))
+            continue
+        p = slow_probabilities(net, text)
+        want.append((key, held, net.labels[int(p.argmax())], float(p.max())))
+    want.sort(key=repr)
+    assert [g[:3] for g in got] == [w[:3] for w in want]
+    assert np.allclose([g[3] for g in got], [w[3] for w in want], atol=2e-3)
+
+
+@pytest.mark.parametrize("n", [200, 1000, 10_000])
+def test_uneven_languages_are_told_apart_at_every_size(spark, n):
+    rng = random.Random(n)
+    rows = []
+    for i in range(n):
+        lang = "aa" if rng.random() < 0.6 else "bb" if rng.random() < 0.8 else "cc"
+        rows.append((i, sentence(rng, lang, rng.choice([5, 20, 60])), lang))
+    got = L.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).where("held_out").collect()
+    right = [r["lang_pred"] == rows[r["doc_id"]][2] for r in got]
+    assert len(right) > n / 6 and sum(right) >= 0.97 * len(right)
+
+
+def test_sampling_is_by_text_not_by_id(spark):
+    rng = random.Random(2)
+    texts = [(sentence(rng, lang, 20), lang) for lang in WORDS for _ in range(300)]
+    rows = [(None, t, lang) for t, lang in texts] + [(None, texts[0][0], "aa")] * 3000
+    labels, windows, y, _ = L.training_windows(spark.createDataFrame(rows, "doc_id long, text string, lang string"), 50, 6, 64)
+    assert labels == sorted(WORDS) and np.bincount(y).tolist() == [300] * 3 and windows.shape == (900, 64)
+
+
+def test_every_language_is_a_label(spark):
+    rows = [(i, f"{chr(0x4E00 + i % 70)}{chr(0x4E00 + i % 70)} words", f"l{i % 70:02d}") for i in range(700)]
+    labels = L.training_windows(spark.createDataFrame(rows, "doc_id long, text string, lang string"), 600, 6, 64)[0]
+    assert len(labels) == 70
+
+
+def test_train_keeps_the_best_weights():
+    rng = np.random.default_rng(0)
+    windows = rng.integers(97, 123, (64, 16)).astype(np.uint8)
+    windows[:32, ::2] = 65
+    y = np.repeat([0, 1], 32)
+    net = L.Network.fresh(["a", "b"], hidden=4)
+    least = net.train(windows, y, steps=100, batch=32, rate=5.0)
+    assert least <= np.log(2) * 1.2 and abs(net.loss(windows, y) - least) < 1e-6

@@ -1,4 +1,6 @@
 import random
+from math import exp
+from zlib import crc32
 
 import numpy as np
 
@@ -49,3 +51,69 @@ def test_empty_and_wordless_tables(spark):
     df = spark.createDataFrame([(1, None), (2, " ")], "doc_id long, text string")
     assert [r["kept"] for r in Q.classify(df).collect()] == [False, False]
     assert Q.classify(df.limit(0)).count() == 0
+
+
+def slow_score(scorer, text):
+    """A text's score, gram by gram; statistics as the labellers take them."""
+    stats = Q.statistics(text)
+    if not stats["words"]:
+        return 0.0
+    data, total, n = text.encode(), 0.0, 0
+    for k in range(len(data) - Q.GRAM + 1):
+        h = 0
+        for j, byte in enumerate(data[k : k + Q.GRAM]):
+            h = byte if not j else (h * 0x9E3779B1 + byte) % 2**32
+        total += float(scorer.weights[h * 0x85EBCA6B % 2**32 >> 20])
+        n += 1
+    named = sum(float(scorer.weights[crc32(f"{k.name}={min(int(stats[k.name] / k.bad * 3), 4)}".encode()) % Q.DIMENSIONS]) for k in Q.LABELLERS)
+    return 1 / (1 + exp(-(float(scorer.bias) + named + (Q.SCALE * total / n if n else 0.0))))
+
+
+def slow_votes(text):
+    stats = Q.statistics(text)
+    if not stats["words"]:
+        return None
+    return "".join("0" if stats["words"] < k.words else "2" if stats[k.name] >= k.bad else "1" if stats[k.name] <= k.good else "0" for k in Q.LABELLERS)
+
+
+def test_whole_output_equals_a_slow_scorer(spark):
+    rng = random.Random(3)
+    rows = [(i, " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 7))) for _ in range(rng.choice([3, 30, 200])))) for i in range(120)]
+    rows += [(i, "$$ BUY !! NOW ## " * rng.randint(1, 30) + str(i)) for i in range(200, 240)]
+    rows += [(300, None), (301, ""), (302, " \n"), (303, "a"), (None, rows[0][1]), (None, None), (3, rows[3][1]), (304, "очень длинное слово " * 30), (305, "long prose of few words " * 9000)]
+    df = spark.createDataFrame([(*r, "clash") for r in rows], "doc_id long, text string, votes string")
+    model, scorer = fitted = Q.fit(df.select("doc_id", "text"))
+    got = sorted([tuple(r) for r in Q.classify(df, fitted=fitted).collect()], key=repr)
+    want = []
+    for key, text in rows:
+        votes, score = slow_votes(text), slow_score(scorer, text)
+        label = None
+        if votes:
+            odds = model.prior / (1 - model.prior)
+            for k, v in enumerate(votes):
+                if v != "0":
+                    odds *= model.said[0, k, int(v)] / model.said[1, k, int(v)]
+            label = odds / (1 + odds)
+        want.append((key, votes, label, score, score >= 0.5))
+    want.sort(key=repr)
+    assert [(g[0], g[1], g[4]) for g in got] == [(w[0], w[1], w[4]) for w in want]
+    for g, w in zip(got, want, strict=True):
+        assert abs(g[3] - w[3]) < 1e-4 and (g[2] is None) == (w[2] is None) and (w[2] is None or abs(g[2] - w[2]) < 1e-6)
+    assert Q.classify(df.limit(0)).count() == 0
+
+
+def test_the_sample_is_bounded_whatever_the_ids(spark):
+    # Rows of one id, and rows of one text: both once brought all or none to the driver.
+    same_id = spark.range(4000).selectExpr("cast(null as long) AS doc_id", "concat('some words of text number ', id) AS text")
+    assert len(Q.training_rows(same_id, 100)[0]) == 100
+    same_text = spark.range(4000).selectExpr("id AS doc_id", "'one and the same text' AS text")
+    assert len(Q.training_rows(same_text, 100)[0]) == 1
+
+
+def test_length_is_in_characters_and_sameness_by_stretches():
+    russian = Q.statistics("небольшие слова этого текста обычной длины для языка и страны")
+    assert russian["length"] < 7
+    rng = random.Random(1)
+    words = [f"w{rng.randrange(300)}" for _ in range(20_000)]
+    assert Q.statistics(" ".join(words))["sameness"] < 0.5 < 1 - len(set(words)) / len(words)
+    assert Q.statistics("again and again " * 4000)["sameness"] > 0.9
