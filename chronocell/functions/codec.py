@@ -11,8 +11,6 @@ from pyspark.sql import types as T
 
 #: Tags of primitive types, as written in stores (fixed values of the format).
 TAGS = {T.LongType: "int64", T.IntegerType: "int32", T.ShortType: "int16", T.ByteType: "int8", T.DoubleType: "float64", T.FloatType: "float32", T.BooleanType: "bool", T.StringType: "utf8", T.TimestampType: "datetime[us, UTC]", T.TimestampNTZType: "datetime[us, UTC]", T.NullType: "null"}
-#: The form of a timestamp as it stands in manifests, as a pattern of ``date_format``.
-STAMP = "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]xxx"
 
 
 def utc(t: dt.datetime) -> dt.datetime:
@@ -24,16 +22,47 @@ def tag(kind: T.DataType) -> str:
     return TAGS.get(type(kind), kind.simpleString())
 
 
+def _time_text(us: Column) -> Column:
+    """ISO text in UTC of microseconds since 1970, by arithmetic alone, so no session zone plays a part."""
+    day, rest = F.floor(us / 86_400_000_000), F.pmod(us, F.lit(86_400_000_000))
+    seconds, part = F.floor(rest / 1_000_000), rest % 1_000_000
+
+    def two(n: Column) -> Column:
+        return F.lpad(n.cast("string"), 2, "0")
+
+    clock = F.concat_ws(":", two(F.floor(seconds / 3600)), two(F.floor(seconds / 60) % 60), two(seconds % 60))
+    fraction = F.when(part == 0, "").otherwise(F.concat(F.lit("."), F.lpad(part.cast("string"), 6, "0")))
+    return F.concat(F.date_add(F.lit("1970-01-01").cast("date"), day.cast("int")).cast("string"), F.lit("T"), clock, fraction, F.lit("+00:00"))
+
+
+def _float_text(value: Column) -> Column:
+    """Plain digits from 0.0001 up to 16 places ahead of the point, else with an exponent of two digits at least: ``1e-07``."""
+    text = F.abs(value).cast("string")
+    mantissa, power = F.split_part(text, F.lit("E"), F.lit(1)), F.split_part(text, F.lit("E"), F.lit(2)).try_cast("int")
+    digits = F.regexp_replace(F.regexp_replace(mantissa, r"\.0$", ""), r"\.", "")
+    large = F.concat(F.rpad(F.substring(digits, 1, 17), F.greatest(power + 1, F.length(digits)), F.lit("0")))
+    whole = F.concat(large.substr(F.lit(1), power + 1), F.lit("."), F.coalesce(F.nullif(large.substr(power + 2, F.lit(40)), F.lit("")), F.lit("0")))
+    small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -power - 1), digits)
+    sign = F.when(power < 0, "-").otherwise("+")
+    science = F.concat(F.regexp_replace(mantissa, r"\.0$", ""), F.lit("e"), sign, F.lpad(F.abs(power).cast("string"), F.greatest(F.length(F.abs(power).cast("string")), F.lit(2)), F.lit("0")))
+    plain = F.when(power.isNull(), text).when(power.between(7, 15), whole).when(power == -4, small).otherwise(science)
+    plain = F.when(F.isnan(value), "nan").when(text == "Infinity", "inf").otherwise(plain)
+    return F.when(value.isNotNull(), F.concat(F.when(value.cast("string").startswith("-"), "-").otherwise(""), plain))
+
+
 def encoded(value: Column, kind: T.DataType) -> Column:
-    """The canonical text of a value: equal values have equal texts."""
-    if isinstance(kind, T.TimestampType | T.TimestampNTZType):
-        whole = F.date_format(value, "yyyy-MM-dd'T'HH:mm:ss")
-        part = F.date_format(value, "SSSSSS")
-        return F.concat(whole, F.when(part == "000000", "").otherwise(F.concat(F.lit("."), part)), F.lit("+00:00"))
+    """The canonical text of a value: equal values have equal texts, whatever the session's zone.
+
+    A timestamp without a zone is taken to be in UTC.
+    """
+    if isinstance(kind, T.TimestampType):
+        return _time_text(F.unix_micros(value))
+    if isinstance(kind, T.TimestampNTZType):
+        return _time_text(F.datediff(F.to_date(value), F.lit("1970-01-01").cast("date")).cast("long") * 86_400_000_000 + (F.hour(value) * 3600 + F.minute(value) * 60).cast("long") * 1_000_000 + (F.extract(F.lit("SECOND"), value) * 1_000_000).cast("long"))
     if isinstance(kind, T.StructType | T.ArrayType | T.MapType | T.VariantType):
         return F.to_json(value)
-    if isinstance(kind, T.FloatType):
-        return value.cast("double").cast("string")
+    if isinstance(kind, T.DoubleType | T.FloatType):
+        return _float_text(value.cast("double"))
     return value.cast("string")
 
 

@@ -26,12 +26,8 @@ def _sides(before: DataFrame, after: DataFrame, key: str) -> tuple[DataFrame, li
     return packed(before, "old").join(packed(after, "new"), "key", "full_outer"), columns
 
 
-def diff_events(before: DataFrame, after: DataFrame, key: str) -> DataFrame:
-    """``entity_id, field, value``: what turns ``before`` into ``after``, from one full outer join.
-
-    A new key gives its non-null cells, a common one its changed cells (nulls compared as
-    values), a missing one a deletion.  A column that only one side has counts as null on the other.
-    """
+def classed_events(before: DataFrame, after: DataFrame, key: str) -> DataFrame:
+    """``entity_id, field, value, kind``: ``diff_events`` with ``insert``, ``update`` or ``delete``, from one full outer join."""
     both, columns = _sides(before, after, key)
     cell = "struct<field:string,value:string>"
 
@@ -43,7 +39,17 @@ def diff_events(before: DataFrame, after: DataFrame, key: str) -> DataFrame:
     gone = F.array(F.struct(F.lit(DELETED).alias("field"), F.lit(None).cast("string").alias("value")))
     events = F.when(F.col("new").isNull(), gone).otherwise(changed)
     rows = both.where(F.col("old").isNull() | F.col("new").isNull() | ~F.col("old").eqNullSafe(F.col("new")))
-    return rows.select(F.col("key").cast("string").alias("entity_id"), F.inline(events).alias("field", "value"))
+    kind = F.when(F.col("new").isNull(), "delete").when(F.col("old").isNull(), "insert").otherwise("update")
+    return rows.select(F.col("key").cast("string").alias("entity_id"), kind.alias("kind"), F.inline(events).alias("field", "value")).select("entity_id", "field", "value", "kind")
+
+
+def diff_events(before: DataFrame, after: DataFrame, key: str) -> DataFrame:
+    """``entity_id, field, value``: what turns ``before`` into ``after``.
+
+    A new key gives its non-null cells, a common one its changed cells (nulls compared as
+    values), a missing one a deletion.  A column that only one side has counts as null on the other.
+    """
+    return classed_events(before, after, key).drop("kind")
 
 
 def changed_keys(before: DataFrame, after: DataFrame, key: str) -> DataFrame:

@@ -87,12 +87,19 @@ def as_of(log: DataFrame, entity_id: str, field: str, instant: Column | None = N
 
 
 def as_of_probes(log: DataFrame, probes: DataFrame) -> DataFrame:
-    """``as_of`` for every row of ``probes`` (``probe_id, entity_id, field, instant``); date and value null for none."""
-    events = log.withColumn("o", order(log)).select("entity_id", "field", "o", "timestamp", "value")
-    hit = probes.join(events, ["entity_id", "field"]).where("timestamp <= instant")
-    last = hit.groupBy("probe_id").agg(F.max_by(F.struct("timestamp", "value"), "o").alias("c"))
-    out = probes.join(last, "probe_id", "left")
-    return out.select("probe_id", "entity_id", "field", F.col("c.timestamp").alias("date"), F.col("c.value").alias("value"))
+    """``as_of`` for every row of ``probes`` (``probe_id, entity_id, field, instant``); date and value null for none.
+
+    Events and probes of a cell go once through one window in order of time, so the work is their
+    sum, not their product; a probe comes after the events of its instant.  Repeated probes repeat.
+    """
+    seq = F.col("seq") if "seq" in log.columns else F.lit(0)
+    hit = F.struct("timestamp", "value")
+    events = log.select("entity_id", "field", F.col("timestamp").alias("at"), F.lit(0).alias("late"), seq.cast("long").alias("s"), F.lit(None).cast(probes.schema["probe_id"].dataType).alias("probe_id"), hit.alias("hit"))
+    asked = probes.select("entity_id", "field", F.col("instant").alias("at"), F.lit(1).alias("late"), F.lit(0).cast("long").alias("s"), "probe_id", F.lit(None).cast(events.schema["hit"].dataType).alias("hit"))
+    w = Window.partitionBy("entity_id", "field").orderBy("at", "late", "s").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    out = events.unionByName(asked).withColumn("found", F.last("hit", ignorenulls=True).over(w)).where("late = 1")
+    found = F.when(F.col("at").isNotNull(), F.col("found"))
+    return out.select("probe_id", "entity_id", "field", found["timestamp"].alias("date"), found["value"].alias("value"))
 
 
 def timeline(log: DataFrame, entity_id: str, field: str | None = None) -> DataFrame:
@@ -124,9 +131,25 @@ def snap_points(log: DataFrame) -> DataFrame:
 
 
 def nearest_snaps(log: DataFrame, instant: Column) -> DataFrame:
-    """One row: ``previous`` and ``next`` snap point strictly around ``instant``, and the one ``at`` or before it."""
-    t = F.col("timestamp")
-    return log.agg(F.max(F.when(t < instant, t)).alias("previous"), F.min(F.when(t > instant, t)).alias("next"), F.max(F.when(t <= instant, t)).alias("at"))
+    """One row: ``previous`` and ``next`` snap point strictly around ``instant``, the one ``at`` or before it, and the ``nearest``.
+
+    Of two as near the earlier is the nearest.
+    """
+    both = log.select("timestamp", instant.alias("wanted"))
+    both = both.withColumn("away", F.abs(micros("timestamp") - micros("wanted")))
+    t, wanted = F.col("timestamp"), F.col("wanted")
+    nearest = F.min(F.struct("away", "timestamp"))["timestamp"].alias("nearest")
+    return both.agg(F.max(F.when(t < wanted, t)).alias("previous"), F.min(F.when(t > wanted, t)).alias("next"), F.max(F.when(t <= wanted, t)).alias("at"), nearest)
+
+
+def with_future(log: DataFrame, instant: Column) -> DataFrame:
+    """The log with ``future``: whether an event is after ``instant``."""
+    return log.withColumn("future", F.col("timestamp") > instant)
+
+
+def of_entities(log: DataFrame, ids: Sequence[str]) -> DataFrame:
+    """The whole history of some entities."""
+    return log.where(F.col("entity_id").isin(*ids))
 
 
 def micros(t: str) -> Column:
@@ -144,6 +167,16 @@ def density(log: DataFrame, buckets: int = 60) -> DataFrame:
     return spine.join(counts, "bucket", "left").select("bucket", F.coalesce("n", F.lit(0)).cast("long").alias("changes"))
 
 
+def file_density(files: DataFrame, buckets: int = 60) -> DataFrame:
+    """``bucket, changes`` from files alone (``ts_min, ts_max, row_count``): all rows of a file count where it begins."""
+    rows = files.select(micros("ts_min").alias("lo_us"), micros("ts_max").alias("hi_us"), "row_count")
+    span = rows.agg(F.min("lo_us").alias("lo"), F.max("hi_us").alias("hi"))
+    place = F.least(F.lit(buckets - 1), F.expr(f"(lo_us - lo) * {buckets} div greatest(hi - lo, 1)"))
+    counts = rows.join(F.broadcast(span)).groupBy(place.cast("int").alias("bucket")).agg(F.sum("row_count").alias("n"))
+    spine = files.sparkSession.range(buckets).select(F.col("id").cast("int").alias("bucket")).join(F.broadcast(span.where("lo is not null")))
+    return spine.join(counts, "bucket", "left").select("bucket", F.coalesce("n", F.lit(0)).cast("long").alias("changes"))
+
+
 def density_by_day(log: DataFrame) -> DataFrame:
     return log.groupBy(F.to_date("timestamp").alias("day")).agg(F.count(F.lit(1)).alias("changes"))
 
@@ -153,9 +186,13 @@ def first_seen(log: DataFrame) -> DataFrame:
     return log.groupBy("entity_id").agg(F.min("timestamp").alias("first_seen")).orderBy("first_seen", "entity_id")
 
 
+#: Changes of a cell from which it is of a heat (fixed values of the views).
+HEATS = ((8, "v4"), (5, "v3"), (3, "v2"), (1, "v1"))
+
+
 def heat(changes: Column) -> Column:
     """``v1`` to ``v4`` from 1, 2... the number of changes of a cell: 1, 3, 5 and 8 are the steps."""
-    return F.when(changes >= 8, "v4").when(changes >= 5, "v3").when(changes >= 3, "v2").when(changes >= 1, "v1").otherwise("v0")
+    return F.coalesce(*[F.when(changes >= n, name) for n, name in HEATS], F.lit("v0"))
 
 
 def cell_frequencies(log: DataFrame) -> DataFrame:
@@ -264,12 +301,39 @@ def scrub_diff(log: DataFrame, fields: Sequence[str], earlier: Column, later: Co
     return rows.where(~F.col("before").eqNullSafe(F.col("after")))
 
 
-def key_page(log: DataFrame, after: tuple | None, size: int) -> DataFrame:
-    """``size`` events in order of time, entity and field, past the cursor ``(timestamp, entity_id, field)``."""
-    keys = ["timestamp", "entity_id", "field"]
+def page_keys(log: DataFrame) -> list[str]:
+    """The columns that order events for paging: no two events of a capture share them."""
+    return ["timestamp", "entity_id", "field", "snapshot_id" if "snapshot_id" in log.columns else "seq"]
+
+
+def key_page(log: DataFrame, after: tuple | None, size: int, entities: Sequence[str] = (), fields: Sequence[str] = (), instant: Column | None = None) -> DataFrame:
+    """``size`` events in order of ``page_keys``, strictly past the cursor ``after``, of some entities and fields if named."""
+    log, keys = until(log, instant), page_keys(log)
+    if entities:
+        log = log.where(F.col("entity_id").isin(*entities))
+    if fields:
+        log = log.where(F.col("field").isin(*fields))
     if after is not None:
         log = log.where(F.struct(*keys) > F.struct(*[F.lit(v).alias(k) for k, v in zip(keys, after, strict=True)]))
-    return log.orderBy(*keys).limit(size)
+    return log.orderBy(*keys).limit(max(1, size))
+
+
+def next_cursor(page: DataFrame) -> DataFrame:
+    """The keys of a page's last event in one row; no row for an empty page, where the events end."""
+    keys = page_keys(page)
+    return page.agg(F.max(F.struct(*keys)).alias("k")).where("k is not null").select(*[F.col(f"k.{k}").alias(k) for k in keys])
+
+
+def latest_by_row_number(log: DataFrame, instant: Column | None = None) -> DataFrame:
+    """``latest_cells`` in its window form, with the entity's ``last_field`` beside each cell.
+
+    Spark cuts the window to the first row of each cell before the shuffle.  Prefer ``latest_cells``.
+    """
+    own = until(log, instant).where(~is_deletion())
+    newest = Window.partitionBy("entity_id", "field").orderBy(order(own).desc())
+    rows = own.withColumn("rn", F.row_number().over(newest)).where("rn = 1")
+    last = F.max_by("field", order(own)).over(Window.partitionBy("entity_id"))
+    return rows.withColumn("last_field", last).select("entity_id", "field", "timestamp", "value", "last_field")
 
 
 def low_cardinality_values(log: DataFrame, most: int = 40) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronocell.operators import diff, filters, log
-from chronocell.plans import workload
+from chronocell.plans import audits, stores, workload
 from chronocell.plans.inputs import ELOG, FIELDS, SNAPS, T0, T1, elog, snapshot, snapshot_log
 from chronocell.sources.tables import table
 
@@ -148,7 +148,7 @@ def snap_points(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {ELOG} SELECT max(timestamp) FILTER (WHERE timestamp < TIMESTAMP '{T1}') AS previous, min(timestamp) FILTER (WHERE timestamp > TIMESTAMP '{T1}') AS next,
-max(timestamp) FILTER (WHERE timestamp <= TIMESTAMP '{T1}') AS at FROM e""")
+max(timestamp) FILTER (WHERE timestamp <= TIMESTAMP '{T1}') AS at, (SELECT timestamp FROM e ORDER BY abs(epoch_us(timestamp) - epoch_us(TIMESTAMP '{T1}')), timestamp LIMIT 1) AS nearest FROM e""")
 def nearest_snap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return log.nearest_snaps(elog(spark, sf_dir), ntz(T1))
 
@@ -266,9 +266,8 @@ def keyed_diff_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {SNAPS} SELECT entity_id, field, value FROM ab WHERE entity_id NOT IN (SELECT CAST(o_orderkey AS VARCHAR) FROM a) AND field <> '__deleted__'")
 def insert_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a, b = snapshot(spark, sf_dir, "A"), snapshot(spark, sf_dir, "B")
-    born = b.join(a, "o_orderkey", "left_anti")
-    return diff.diff_events(a.limit(0), born, "o_orderkey")
+    events = diff.classed_events(snapshot(spark, sf_dir, "A"), snapshot(spark, sf_dir, "B"), "o_orderkey")
+    return events.where("kind = 'insert'").drop("kind")
 
 
 @query(f"WITH {SNAPS} SELECT entity_id FROM ab WHERE field = '__deleted__'")
@@ -278,8 +277,8 @@ def delete_markers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {SNAPS} SELECT entity_id, field, value FROM ab WHERE entity_id IN (SELECT CAST(o_orderkey AS VARCHAR) FROM a) AND field <> '__deleted__'")
 def update_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a, b = snapshot(spark, sf_dir, "A"), snapshot(spark, sf_dir, "B")
-    return diff.diff_events(a.join(b, "o_orderkey", "left_semi"), b.join(a, "o_orderkey", "left_semi"), "o_orderkey")
+    events = diff.classed_events(snapshot(spark, sf_dir, "A"), snapshot(spark, sf_dir, "B"), "o_orderkey")
+    return events.where("kind = 'update'").drop("kind")
 
 
 @query(f"WITH {SNAPS} SELECT entity_id, field, value, timestamp, seq FROM slog")
@@ -365,10 +364,9 @@ def stable_filter_then_scrub(spark: SparkSession, sf_dir: str) -> DataFrame:
     return log.mirror_view(e, ["click"], ntz(T1)).join(ids, "entity_id", "left_semi")
 
 
-@query(f"WITH {ELOG} SELECT timestamp, entity_id, field FROM e WHERE (timestamp, entity_id, field) > (TIMESTAMP '{T1}', '', '') ORDER BY 1, 2, 3 LIMIT 25")
+@query(f"WITH {ELOG} SELECT timestamp, entity_id, field, seq FROM e WHERE (timestamp, entity_id, field, seq) > (TIMESTAMP '{T1}', '', '', 0) ORDER BY 1, 2, 3, 4 LIMIT 25")
 def keyset_page(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = elog(spark, sf_dir).select("timestamp", "entity_id", "field")
-    return log.key_page(e, (ntz(T1), "", ""), 25)
+    return log.key_page(elog(spark, sf_dir), (ntz(T1), "", "", 0), 25).select("timestamp", "entity_id", "field", "seq")
 
 
 @query(f"""WITH {SNAPS}, v AS (SELECT DISTINCT field, value FROM slog WHERE field <> '__deleted__' AND value IS NOT NULL)
@@ -398,10 +396,20 @@ def snapshot_row_changed_prefilter(spark: SparkSession, sf_dir: str) -> DataFram
     return diff.changed_keys(snapshot(spark, sf_dir, "A"), snapshot(spark, sf_dir, "B"), "o_orderkey")
 
 
-@query(f"WITH {ELOG} SELECT entity_id, field, timestamp, value FROM (SELECT *, row_number() OVER (PARTITION BY entity_id, field ORDER BY timestamp DESC, seq DESC) AS rn FROM e WHERE field <> '__deleted__' AND timestamp <= TIMESTAMP '{T1}') WHERE rn = 1")
-def latest_by_row_number(spark: SparkSession, sf_dir: str) -> DataFrame:
+LATEST_SQL = f"""{ELOG}, o AS (SELECT *, row_number() OVER (PARTITION BY entity_id, field ORDER BY timestamp DESC, seq DESC) AS rn FROM e WHERE field <> '__deleted__' AND timestamp <= TIMESTAMP '{T1}'),
+latest AS (SELECT entity_id, field, timestamp, value FROM o WHERE rn = 1)"""
+
+
+@query(f"WITH {LATEST_SQL} SELECT * FROM latest")
+def latest_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return log.latest_cells(elog(spark, sf_dir), ntz(T1))
 
 
-QUERIES |= workload.QUERIES
-ORACLES |= workload.ORACLES
+@query(f"WITH {LATEST_SQL} SELECT *, arg_max(field, timestamp) OVER (PARTITION BY entity_id) AS last_field FROM latest")
+def latest_by_row_number(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return log.latest_by_row_number(elog(spark, sf_dir), ntz(T1))
+
+
+for part in (workload, audits, stores):
+    QUERIES |= part.QUERIES
+    ORACLES |= part.ORACLES

@@ -33,8 +33,8 @@ def _word(draw: Column, words: tuple[str, ...]) -> Column:
     return F.element_at(F.array(*map(F.lit, words)), (_under(draw, len(words)) + 1).cast("int"))
 
 
-def snapshot(spark: SparkSession, step: int, rows: int, steps: int, seed: int = 42, violations: int = 0) -> DataFrame:
-    """The whole table at ``step`` (from 0): ``id`` and 20 columns.
+def snapshot(spark: SparkSession, step: int, rows: int, steps: int, seed: int = 42, violations: int = 0, cols: int = COLUMNS) -> DataFrame:
+    """The whole table at ``step`` (from 0): ``id`` and ``cols`` columns, of which the first four are written once.
 
     About one row in twenty is born after the first step, as many are deleted, and most of
     those come back.  ``violations`` rows, which live throughout, change one write-once cell
@@ -65,18 +65,20 @@ def snapshot(spark: SparkSession, step: int, rows: int, steps: int, seed: int =
         cells.append(_word(_draw(seed, f"status_{k}", version(f"status_{k}")), ("new", "open", "held", "done", "void")).alias(f"status_{k}"))
     for k in range(2):
         cells.append((_under(_draw(seed, f"flag_{k}", version(f"flag_{k}")), 2) == 1).alias(f"flag_{k}"))
-    return spark.range(1, rows + 1).where(~absent).select(KEY, *cells)
+    for k in range(COLUMNS, cols):
+        cells.append((_under(_draw(seed, f"extra_{k}", version(f"extra_{k}")), 100_000) / 100).alias(f"extra_{k}"))
+    return spark.range(1, rows + 1).where(~absent).select(KEY, *cells[:cols])
 
 
 def generate(store: Store, rows: int = 1000, steps: int = 40, seed: int = 42, violations: int = 0, cols: int = COLUMNS) -> dict:
     """Captures ``steps`` daily snapshots; the same arguments give the same events."""
-    if cols != COLUMNS:
-        raise ValueError(f"the history has {COLUMNS} columns")
+    if cols < len(WRITE_ONCE):
+        raise ValueError(f"the history has {len(WRITE_ONCE)} columns at least")
     if not 0 <= violations <= rows:
         raise ValueError("violations must be from 0 to the number of rows")
     added = []
     for step in range(steps):
-        made = store.capture(snapshot(store.spark, step, rows, steps, seed, violations), KEY, FIRST_DAY + dt.timedelta(days=step))
+        made = store.capture(snapshot(store.spark, step, rows, steps, seed, violations, cols), KEY, FIRST_DAY + dt.timedelta(days=step))
         added.append(made["events_added"])
     rates = [n / (rows * cols) for n in added[1:]]
     return {"rows": rows, "cols": cols, "steps": steps, "seed": seed, "violations": violations, "events": sum(added), "mean_change": sum(rates) / len(rates) if rates else 0.0}

@@ -50,15 +50,12 @@ class Scratch:
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/chronocell-{label}-{uuid.uuid4().hex[:12]}"
-        self._written, self._tables = 0, []
+        self._written, self._tables, self._registered = 0, [], False
 
     def keep(self, df: DataFrame, name: str = "t") -> DataFrame:
         """Write ``df`` and return a reader of it.  Its location is in ``.scratch_location``."""
         self._written += 1
-        if self._written == 1:
-            # What is left of the group goes when the application ends.
-            path, fs = _path(self.spark, self.root)
-            fs.deleteOnExit(path)
+        self._go_at_the_end()
         where = f"{self.root}/{self._written:03d}-{name}"
         df.write.parquet(where)
         self._tables.append(where)
@@ -66,6 +63,18 @@ class Scratch:
         out.scratch_location = where
         return out
 
+    def _go_at_the_end(self) -> None:
+        """What is left of the group is deleted when the application ends."""
+        if not self._registered:
+            path, fs = _path(self.spark, self.root)
+            fs.deleteOnExit(path)
+            self._registered = True
+
+    def folder(self, name: str) -> str:
+        """A place for files of the caller's own."""
+        self._go_at_the_end()
+        return f"{self.root}/{name}"
+
     def drop(self, *tables: DataFrame) -> None:
         for table in tables:
             drop(self.spark, table.scratch_location)

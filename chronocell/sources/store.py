@@ -20,6 +20,7 @@ from chronocell.functions import codec
 from chronocell.operators import diff, log
 from chronocell.sources.scratch import Scratch
 
+#: Columns of event files and, below, keys of the manifest (fixed values of the format).
 EVENTS = T.StructType(
     [
         T.StructField("entity_id", T.StringType()),
@@ -113,11 +114,13 @@ class Store:
 
     # -- writing ---------------------------------------------------------------
 
-    def capture(self, snapshot: DataFrame, key: str, captured_at: dt.datetime | None = None) -> dict:
+    def capture(self, snapshot: DataFrame, key: str, captured_at: dt.datetime | None = None, idempotency: str = "any", allow_out_of_order: bool = True) -> dict:
         """Records what a full snapshot changes: ``events_added, snapshot_id, file, noop``.
 
         Keys must be there, unique and not null.  A snapshot with the same columns and content
-        as any earlier one is a no-op.  New keys give their non-null cells, common ones their
+        as any earlier one (with ``idempotency="latest"`` as the latest) is a no-op.  It is compared
+        with the latest state even where ``captured_at`` is before that; unless
+        ``allow_out_of_order``, such a capture is an error.  New keys give their non-null cells, common ones their
         changed cells, missing ones a deletion, and columns that went a null for each live cell.
         """
         names = snapshot.columns
@@ -140,7 +143,12 @@ class Store:
         columns = [c for c in names if c != key]
         seen = [c for c in old["schema"] if c != key]
         drift = bool(seen) and set(seen) != set(columns)
-        if not drift and any(e["snapshot_id"] == snapshot_id for e in old["events"]):
+        if idempotency not in ("any", "latest"):
+            raise StoreError(f"idempotency is 'any' or 'latest', not {idempotency!r}")
+        if not allow_out_of_order and any(stamp.isoformat() < e["ts_max"] for e in old["events"]):
+            raise StoreError(f"the store has events after {stamp.isoformat()}")
+        known = old["events"] if idempotency == "any" else old["events"][-1:]
+        if not drift and any(e["snapshot_id"] == snapshot_id for e in known):
             return {"events_added": 0, "snapshot_id": snapshot_id, "file": None, "noop": True}
 
         prior = log.mirror_view(self.events() if old["events"] else self.spark.createDataFrame([], EVENTS).withColumn("seq", F.lit(0)), seen).withColumnRenamed("entity_id", key)
@@ -154,11 +162,16 @@ class Store:
         # A type that changed while the text did not is no change; a deletion has no type.
         rows = events.select("entity_id", F.lit(stamp).cast("timestamp").alias("timestamp"), "field", "value", F.coalesce(of[F.col("field")], F.lit("null")).alias("dtype"), F.lit(snapshot_id).alias("snapshot_id"))
         place = f"events/{stamp.strftime('%Y%m%dT%H%M%S%fZ')}_{uuid.uuid4().hex[:8]}"
-        rows.write.option("parquet.enable.dictionary", "true").parquet(f"{self.path}/{place}")
-        count = self.spark.read.schema(EVENTS).parquet(f"{self.path}/{place}").count()
+        # Written aside, so that nobody who lists the events meets files of a capture that is still going on.
+        aside = f"{self.path}/.staging/{uuid.uuid4().hex}"
+        rows.write.option("parquet.enable.dictionary", "true").parquet(aside)
+        count = self.spark.read.schema(EVENTS).parquet(aside).count()
         if not count:
-            self._fs.delete(self._path(f"{self.path}/{place}"), True)
+            self._fs.delete(self._path(aside), True)
             return {"events_added": 0, "snapshot_id": snapshot_id, "file": None, "noop": True}
+        self._fs.mkdirs(self._path(f"{self.path}/events"))
+        if not self._fs.rename(self._path(aside), self._path(f"{self.path}/{place}")):
+            raise StoreError(f"could not move the events to {place}")
         iso = stamp.isoformat()
         entry = {"file": place, "snapshot_id": snapshot_id, "ts_min": iso, "ts_max": iso, "row_count": count}
         self._commit({**old, "key_column": key, "schema": all_tags, "events": [*old["events"], entry]}, old)

@@ -24,7 +24,7 @@ def csv(path, text):
 
 
 def test_capture_travel_and_states(run, tmp_path):
-    store = f"file://{tmp_path}/s.flux"
+    store = f"file://{tmp_path}/s.cells"
     one = csv(tmp_path / "one.csv", "id,name,score\n1,a,1.5\n2,b,\n")
     two = csv(tmp_path / "two.csv", "id,name,score\n2,B,4.0\n3,c,2.0\n")
     code, out = run("capture", store, one, "--key", "id", "--at", "2026-01-01", "--json")
@@ -43,7 +43,7 @@ def test_capture_travel_and_states(run, tmp_path):
 
 
 def test_bad_arguments_end_with_their_codes(run, tmp_path):
-    store = f"file://{tmp_path}/none.flux"
+    store = f"file://{tmp_path}/none.cells"
     good = csv(tmp_path / "good.csv", "id,x\n1,a\n")
     assert run("travel", store, "--as-of", "yesterday")[0] == 2
     assert run("travel", store, "--as-of", "now")[0] == 1
@@ -60,7 +60,7 @@ def test_bad_arguments_end_with_their_codes(run, tmp_path):
 def test_compare_by_composite_key(run, tmp_path):
     before = csv(tmp_path / "b.csv", "k,l,x\n1,a,1\n1,b,2\n2,a,3\n")
     after = csv(tmp_path / "a.csv", "k,l,x\n1,a,1\n1,b,9\n3,a,3\n")
-    store = f"file://{tmp_path}/c.flux"
+    store = f"file://{tmp_path}/c.cells"
     assert run("compare", store, before, after, "--key", "k")[0] == 2
     code, out = run("compare", store, before, after, "--key", "k", "l", "--json")
     found = json.loads(out)
@@ -69,9 +69,9 @@ def test_compare_by_composite_key(run, tmp_path):
 
 
 def test_same_instant_keeps_the_order_of_captures(spark, tmp_path):
-    store = Store(spark, f"file://{tmp_path}/t.flux")
+    store = Store(spark, f"file://{tmp_path}/t.cells")
     for at in (dt.datetime(2026, 1, 1), dt.datetime(2026, 1, 1, 0, 0, 0, 500)):
-        store = Store(spark, f"file://{tmp_path}/t{at.microsecond}.flux")
+        store = Store(spark, f"file://{tmp_path}/t{at.microsecond}.cells")
         for value in ("z", "a"):
             store.capture(spark.createDataFrame([(1, value)], "id long, x string"), "id", at)
         assert store.view().first()["x"] == "a"
@@ -79,7 +79,7 @@ def test_same_instant_keeps_the_order_of_captures(spark, tmp_path):
 
 
 def test_generated_history(spark, tmp_path):
-    made = [Store(spark, f"file://{tmp_path}/{n}.flux") for n in "ab"]
+    made = [Store(spark, f"file://{tmp_path}/{n}.cells") for n in "ab"]
     found = [history.generate(s, rows=200, steps=4, violations=3) for s in made]
     assert found[0] == found[1] and 0.01 < found[0]["mean_change"] < 0.05
     a, b = (s.events().drop("seq") for s in made)
@@ -93,7 +93,7 @@ def test_generated_history(spark, tmp_path):
 
 
 def test_schema_churn(spark, tmp_path):
-    store = Store(spark, f"file://{tmp_path}/churn.flux")
+    store = Store(spark, f"file://{tmp_path}/churn.cells")
     assert not any(x["noop"] for x in history.generate_schema_churn(store))
     day = lambda n: store.view(history.FIRST_DAY + dt.timedelta(days=n)).orderBy("id").first()
     assert day(3)["score"] == 1.5 and day(4)["score"] is None and day(6)["score"] == 9.0

@@ -10,7 +10,7 @@ DAY = [dt.datetime(2026, 1, d) for d in range(1, 8)]
 
 @pytest.fixture
 def store(spark, tmp_path):
-    return Store(spark, f"file://{tmp_path}/t.flux")
+    return Store(spark, f"file://{tmp_path}/t.cells")
 
 
 def rows(df):

@@ -13,7 +13,7 @@ def drained(query):
 
 
 def test_stream_of_captures(spark, tmp_path):
-    store = Store(spark, f"file://{tmp_path}/t.flux")
+    store = Store(spark, f"file://{tmp_path}/t.cells")
     for k, data in enumerate([[(1, "a"), (2, "b")], [(1, "A")], [(1, "A"), (2, "c")]]):
         store.capture(spark.createDataFrame(data, "id long, x string"), "id", dt.datetime(2026, 1, 1 + k))
     events = live.tail(spark, store.path, files_a_batch=1)
@@ -34,7 +34,7 @@ def test_capture_of_arriving_snapshots(spark, tmp_path):
     rows = spark.createDataFrame([(1, "a"), (2, "b")], "id long, x string")
     rows.coalesce(1).write.parquet(f"{tmp_path}/in")
     rows.where("id = 1").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
-    store = Store(spark, f"file://{tmp_path}/t.flux")
+    store = Store(spark, f"file://{tmp_path}/t.cells")
     each = live.capture_batches(store, "id", lambda n: dt.datetime(2026, 1, 1 + n))
     stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
     drained(stream.writeStream.foreachBatch(each).option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start())
