@@ -7,7 +7,8 @@ histograms: token sums by (source, leading hash bits), a running sum over those
 bounded buckets, then the same again inside the one bucket where the budget is
 crossed.  Nothing is sorted and no document leaves its partition.
 
-A larger budget has a higher threshold, so mixes of growing budgets are nested.
+A larger budget has a higher threshold, so mixes of growing budgets are nested.  Words of
+whole texts are counted, however long; documents at one place are taken or left together.
 """
 
 from __future__ import annotations
@@ -51,7 +52,9 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...], share: float, m
     ``share`` times the sum of all sizes by weight; no source gets more than ``most``
     times its own size, and what it leaves is shared again by weight.  That process
     ends where each target is ``min(cap, level * weight)``, so the level is found
-    directly from running sums over the sources ordered by cap / weight.
+    directly from running sums over the sources ordered by cap / weight.  That order is over a
+    short row a source in one task, which spills: good for sources by the million, not for one
+    a document.
     """
     own = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
     rank = Window.orderBy(F.col("source").isNull(), F.col("source"))

@@ -7,6 +7,8 @@ found.  Each joint fingerprint is a hit that is extended to both sides as far as
 words agree; a stretch of at least ``window`` words (or the whole of a shorter item)
 counts.  Items shorter than the window keep one fingerprint a length: the hash of their
 whole, looked up among the document's stretches of that length.
+
+Texts are searched whole, however long; a text's words are one row of one task.
 """
 
 from __future__ import annotations
@@ -140,8 +142,8 @@ def contamination(
     ``spans`` are the maximal agreeing stretches as ``(start, end)`` word places, from 1
     and end exclusive; ``n_hit`` the words in their union; ``items`` the distinct ids of
     items found.  Null or wordless texts have no words and no hits, as do items; equal
-    rows get equal results; null ids are ids; empty tables on either side are fine.
-    Other columns are ignored.
+    rows get equal results, repeated rows repeat; null ids are ids; empty tables on either side
+    are fine.  Other columns are ignored.
 
     The fingerprint table is written first, so its size is known: up to
     ``broadcast_bytes`` every executor gets it and hits are found where the document is
@@ -163,13 +165,17 @@ def contamination(
     if small:
         found = _document_prints(worded, window, k, short_lengths).join(F.broadcast(right), ["h", "length"])
     else:
+        # Only numbers meet by hash; items' words come to the places that are left.
+        item_key = F.md5(F.concat_ws("/", F.col("item_id").isNull().cast("string"), F.col("item_id").cast("string"), F.array_join("item_words", " ")).cast("binary"))
+        right = right.withColumn("item_key", item_key)
+        words_of = right.select("item_key", "item_id", "item_words").dropDuplicates(["item_key"])
         narrow = _document_prints(keyed.withColumn("words", word_list(F.col("text"))).drop("text"), window, k, short_lengths)
-        places = narrow.select("doc_id", "text_key", "h", "length", "pos").join(right, ["h", "length"])
+        places = narrow.select("doc_id", "text_key", "h", "length", "pos").join(right.drop("item_id", "item_words"), ["h", "length"])
         places = scratch.keep(places, "places")
         same = (F.col("d.text_key") == F.col("p.text_key")) & F.col("d.doc_id").eqNullSafe(F.col("p.doc_id"))
         hit = keyed.alias("d").join(places.select("doc_id", "text_key").distinct().alias("p"), same, "left_semi")
         hit = hit.dropDuplicates(["doc_id", "text_key"]).withColumn("words", word_list(F.col("text")))
-        found = hit.alias("d").join(places.alias("p"), same).select("d.doc_id", "d.text", "d.words", "p.pos", "p.ipos", "p.item_id", "p.item_words")
+        found = hit.alias("d").join(places.alias("p"), same).select("d.doc_id", "d.text", "d.words", "p.pos", "p.ipos", "p.item_key").join(words_of, "item_key")
     spans = _extended(found, window)
     spans = spans.select("doc_id", F.md5(F.col("text").cast("binary")).alias("text_key"), "start", "end", "item_id").distinct()
     hits = spans.groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("start", "end")).alias("spans"), F.collect_set(F.struct("item_id")).alias("items"))

@@ -23,6 +23,22 @@ def test_rows_and_reruns_agree(spark):
     df = table(spark)
     copies = {(r["doc_id"], r["copies"]) for r in mix_sources(df).collect() if r["copies"]}
     rows = mixed_rows(df.repartition(7)).collect()
-    assert {(r["doc_id"], r["copies"]) for r in rows} == copies and len(rows) == len(copies)
-    assert rows[0].asDict().keys() == {"doc_id", "text", "source", "copies"}
+    # The table has a column of the count's name, which stays; the count is beside it.
+    assert {(r["doc_id"], r["copies_1"]) for r in rows} == copies and len(rows) == len(copies)
+    assert rows[0].asDict().keys() == {"doc_id", "text", "source", "copies", "copies_1"} and {r["copies"] for r in rows} == {"clash"}
     assert mix_sources(df.limit(0)).count() == 0 and mixed_rows(df.limit(0)).count() == 0
+
+
+def test_a_hot_source_and_rows_of_one_place(spark):
+    # Most rows are one source's; another's rows all have one id, so one place, and go together.
+    rows = [(i, "w " * (1 + i % 9), "hot") for i in range(3000)] + [(7, "a b c", "same")] * 200 + [(None, "x y", None)] * 50
+    got = mix_sources(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    sums, target, copies = {}, {}, {}
+    for r in got:
+        sums[r["source"]] = sums.get(r["source"], 0) + r["taken"]
+        target[r["source"]] = r["target"]
+        copies.setdefault(r["source"], set()).add(r["copies"])
+        assert r["taken"] <= 2 * r["size"]
+    assert len(got) == len(rows) and len(copies["same"]) == 1 and len(copies[None]) == 1
+    assert abs(sums["hot"] - target["hot"]) <= 10
+    assert abs(sums["same"] - target["same"]) <= 300 and abs(sums[None] - target[None]) <= 50
