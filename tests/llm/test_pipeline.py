@@ -10,6 +10,12 @@ SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 STEMS = {"en": ["the", "wind", "over", "hills", "brought", "rain", "and", "people", "walked", "home"], "de": ["über", "straße", "ging", "der", "mann", "nach", "hause", "müde", "und", "spät"]}
 
 
+@pytest.fixture(autouse=True)
+def one_run(monkeypatch):
+    """One training run is enough for such texts."""
+    monkeypatch.setattr(langid, "RATES", (0.02,))
+
+
 def prose(rng, lang, n):
     stems = STEMS[lang]
     return " ".join(rng.choice(stems) + (rng.choice(stems) if rng.random() < 0.3 else "") for _ in range(n)) + "."
