@@ -269,20 +269,47 @@ def violations(log: DataFrame, write_once: Sequence[str]) -> DataFrame:
     return changed.select("entity_id", "field", "timestamp", "before", F.col("value").alias("after"))
 
 
+def _facts(log: DataFrame, write_once: Sequence[str]) -> DataFrame:
+    """One row an entity, from one pass over the log: ``events, changes, seen``, lifecycle and ``flagged``.
+
+    A field has changed if its values differ anywhere, null as a value, so no order is needed.
+    """
+    differs = F.lit(False)
+    for f in write_once:
+        own = F.col("field") == f
+        low, high = F.min(F.when(own, F.col("value"))), F.max(F.when(own, F.col("value")))
+        with_null = F.count_if(own & F.col("value").isNull())
+        differs = differs | F.coalesce(low != high, F.lit(False)) | ((with_null > 0) & low.isNotNull())
+    o = order(log)
+    facts = log.groupBy("entity_id").agg(
+        F.count(F.lit(1)).alias("events"),
+        F.count_if(~is_deletion()).alias("changes"),
+        F.min("timestamp").alias("seen"),
+        F.max_by("field", o).alias("last_field"),
+        F.min(F.when(is_deletion(), o)).alias("first_deletion"),
+        F.max(F.when(~is_deletion(), o)).alias("last_set"),
+        differs.alias("flagged"),
+    )
+    return facts.select("entity_id", "events", "changes", "seen", "flagged", *_lifecycle())
+
+
 def callouts(log: DataFrame, write_once: Sequence[str], top: int = 3) -> DataFrame:
     """``entity_id, kind, changes``: every violator, then the ``top`` most changed others."""
-    counts = log.groupBy("entity_id").agg(F.count_if(~is_deletion()).alias("changes"), F.min("timestamp").alias("seen"))
-    bad = violations(log, write_once).select("entity_id").distinct()
-    flagged = counts.join(bad, "entity_id", "left_semi").select("entity_id", F.lit("violation").alias("kind"), "changes")
-    calm = counts.join(bad, "entity_id", "left_anti").where("changes > 0")
-    return flagged.unionByName(calm.orderBy(F.desc("changes"), "seen", "entity_id").limit(top).select("entity_id", F.lit("volatile").alias("kind"), "changes"))
+    facts = _facts(log, write_once)
+    flagged = facts.where("flagged").select("entity_id", F.lit("violation").alias("kind"), "changes")
+    calm = facts.where("NOT flagged AND changes > 0").orderBy(F.desc("changes"), "seen", "entity_id").limit(top)
+    return flagged.unionByName(calm.select("entity_id", F.lit("volatile").alias("kind"), "changes"))
 
 
 def kpis(log: DataFrame, write_once: Sequence[str] = ()) -> DataFrame:
     """One row: ``entities, events, deleted, resurrected, flagged``."""
-    states = row_states(log).agg(F.count(F.lit(1)).alias("entities"), F.count_if(F.col("state") == "deleted").alias("deleted"), F.count_if("resurrected").alias("resurrected"))
-    flagged = violations(log, write_once).agg(F.countDistinct("entity_id").alias("flagged")) if write_once else log.sparkSession.range(1).select(F.lit(0).cast("long").alias("flagged"))
-    return states.crossJoin(log.agg(F.count(F.lit(1)).alias("events"))).crossJoin(flagged)
+    return _facts(log, write_once).agg(
+        F.count(F.lit(1)).alias("entities"),
+        F.count_if(F.col("state") == "deleted").alias("deleted"),
+        F.count_if("resurrected").alias("resurrected"),
+        F.coalesce(F.sum("events"), F.lit(0)).alias("events"),
+        F.count_if("flagged").alias("flagged"),
+    )
 
 
 def scrub_diff(log: DataFrame, fields: Sequence[str], earlier: Column, later: Column) -> DataFrame:
