@@ -128,8 +128,13 @@ def info(spark: SparkSession, a: argparse.Namespace) -> None:
     _say(_opened(spark, a.store).info(), a.json)
 
 
+def checkpoint(spark: SparkSession, a: argparse.Namespace) -> None:
+    made = _opened(spark, a.store).checkpoint()
+    _say({"noop": made is None} | (made or {"file": None, "as_of": None}), a.json)
+
+
 def generate(spark: SparkSession, a: argparse.Namespace) -> None:
-    _say(history.generate(Store(spark, a.store), a.rows, a.steps, a.seed, a.violations, a.cols), a.json)
+    _say(history.generate(Store(spark, a.store), a.rows, a.steps, a.seed, a.violations, a.cols, a.checkpoint_every), a.json)
 
 
 def parser() -> argparse.ArgumentParser:
@@ -159,8 +164,9 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--format", choices=exports.FORMATS, default="dataframe")
     p.add_argument("--out")
     command("info", info)
+    command("checkpoint", checkpoint)
     p = command("gen-fixture", generate)
-    for x, n in (("--rows", 1000), ("--cols", history.COLUMNS), ("--steps", 40), ("--seed", 42), ("--violations", 0)):
+    for x, n in (("--rows", 1000), ("--cols", history.COLUMNS), ("--steps", 40), ("--seed", 42), ("--violations", 0), ("--checkpoint-every", 0)):
         p.add_argument(x, type=int, default=n)
     return top
 

@@ -81,8 +81,8 @@ def compare_by_state(log: DataFrame, fields: Sequence[str], before: Column, afte
     One not born yet, or deleted, is not there; cells are compared as they last were.
     """
     cells = F.struct(*[F.col(f"`{f}`") for f in fields]) if fields else F.lit(1)
-    old = L.temporal_view(log, fields, before).where("state = 'active'").select("entity_id", cells.alias("old"))
-    new = L.temporal_view(log, fields, after).where("state = 'active'").select("entity_id", cells.alias("new"))
+    old = L.mirror_view(log, fields, before).select("entity_id", cells.alias("old"))
+    new = L.mirror_view(log, fields, after).select("entity_id", cells.alias("new"))
     both = old.withColumn("was", F.lit(True)).join(new.withColumn("now", F.lit(True)), "entity_id", "full_outer")
     change = F.when(F.col("was").isNull(), "ADD").when(F.col("now").isNull(), "DROP").when(~F.col("old").eqNullSafe(F.col("new")), "CHG").otherwise("SAME")
     return both.select("entity_id", change.alias("change"))

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from chronocell.operators.log import DELETED
 
@@ -15,12 +16,26 @@ def composite_key(keys: Sequence[str]) -> Column:
     return F.concat_ws("|", *[F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys])
 
 
+#: Types whose values differ just where their texts do.
+PLAIN = (T.IntegralType, T.StringType, T.BooleanType, T.DateType)
+
+
 def _sides(before: DataFrame, after: DataFrame, key: str) -> tuple[DataFrame, list[str]]:
-    """Both snapshots in one row a key: ``key, was, now, old.*, new.*``; and the columns compared."""
+    """Both snapshots in one row a key: ``key, old.*, new.*``; and the columns compared.
+
+    Columns of one plain type on both sides stay as they are, for only changed cells need a text.
+    """
     columns = sorted({*before.columns, *after.columns} - {key})
+    kinds = [{f.name: f.dataType for f in df.schema.fields} for df in (before, after)]
+    plain = {c for c in columns if kinds[0].get(c) == kinds[1].get(c) and isinstance(kinds[0].get(c), PLAIN)}
+
+    def cell(df: DataFrame, c: str) -> Column:
+        if c not in df.columns:
+            return F.lit(None).cast("string")
+        return F.col(f"`{c}`") if c in plain else F.col(f"`{c}`").cast("string")
 
     def packed(df: DataFrame, side: str) -> DataFrame:
-        cells = [(F.col(f"`{c}`").cast("string") if c in df.columns else F.lit(None).cast("string")).alias(c) for c in columns]
+        cells = [cell(df, c).alias(c) for c in columns]
         return df.select(F.col(key).alias("key"), F.struct(*cells).alias(side)) if cells else df.select(F.col(key).alias("key"), F.struct(F.lit(0)).alias(side))
 
     return packed(before, "old").join(packed(after, "new"), "key", "full_outer"), columns
@@ -33,7 +48,7 @@ def classed_events(before: DataFrame, after: DataFrame, key: str) -> DataFrame:
 
     def kept(c: str) -> Column:
         old, new = F.col(f"old.`{c}`"), F.col(f"new.`{c}`")
-        return F.when(~old.eqNullSafe(new), F.struct(F.lit(c).alias("field"), new.alias("value")))
+        return F.when(~old.eqNullSafe(new), F.struct(F.lit(c).alias("field"), new.cast("string").alias("value")))
 
     changed = F.filter(F.array(*[kept(c) for c in columns]) if columns else F.array().cast(f"array<{cell}>"), lambda x: x.isNotNull())
     gone = F.array(F.struct(F.lit(DELETED).alias("field"), F.lit(None).cast("string").alias("value")))
@@ -82,6 +97,16 @@ def tombstones(live: DataFrame, key: str, dropped: Sequence[str]) -> DataFrame:
     return rows.withColumn("value", F.lit(None).cast("string"))
 
 
+def returned_nulls(gone: DataFrame, after: DataFrame, key: str) -> DataFrame:
+    """``entity_id, field, value``: a null for every cell that is null in ``after`` and was not where its row went."""
+    shared = [c for c in gone.columns if c in after.columns and c != key]
+    lost = [F.when(F.col(f"old.`{c}`").isNotNull() & F.col(f"new.`{c}`").isNull(), F.lit(c)) for c in shared]
+    cells = F.filter(F.array(*lost).cast("array<string>"), lambda x: x.isNotNull())
+    both = gone.alias("old").join(after.alias("new"), F.col(f"old.`{key}`") == F.col(f"new.`{key}`"))
+    rows = both.select(F.col(f"new.`{key}`").cast("string").alias("entity_id"), F.explode(cells).alias("field"))
+    return rows.withColumn("value", F.lit(None).cast("string"))
+
+
 def duplicate_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
 

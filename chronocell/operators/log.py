@@ -40,9 +40,16 @@ def latest_cells(log: DataFrame, instant: Column | None = None) -> DataFrame:
     return log.where(~is_deletion()).groupBy("entity_id", "field").agg(last).select("entity_id", "field", "c.timestamp", "c.value")
 
 
+#: Columns of a view beyond which cells are folded on their own first: an aggregate of so many
+#: ``max_by`` holds them all in every row it merges.  Results are the same either way.
+WIDE = 40
+
+
 def _states(log: DataFrame, fields: Sequence[str]) -> DataFrame:
     """One row an entity: its last field, its deletion and set bounds, and its last value by field."""
     o = order(log)
+    if len(fields) > WIDE:
+        return _wide_states(log, fields)
     cells = [F.max_by("value", F.when(F.col("field") == f, o)).alias(f"cell:{f}") for f in fields]
     return log.groupBy("entity_id").agg(
         F.max_by("field", o).alias("last_field"),
@@ -52,15 +59,30 @@ def _states(log: DataFrame, fields: Sequence[str]) -> DataFrame:
     )
 
 
+def _wide_states(log: DataFrame, fields: Sequence[str]) -> DataFrame:
+    """``_states`` by way of one row a cell, then one map of at most ``fields`` entries an entity."""
+    o = order(log)
+    cells = log.groupBy("entity_id", "field").agg(F.max_by("value", o).alias("value"), F.min(o).alias("first"), F.max(o).alias("last"))
+    wanted = F.when(F.col("field").isin(*fields), F.struct("field", "value"))
+    packed = cells.groupBy("entity_id").agg(
+        F.max_by("field", "last").alias("last_field"),
+        F.min(F.when(is_deletion(), F.col("first"))).alias("first_deletion"),
+        F.max(F.when(~is_deletion(), F.col("last"))).alias("last_set"),
+        F.map_from_entries(F.collect_list(wanted)).alias("m"),
+    )
+    return packed.select("entity_id", "last_field", "first_deletion", "last_set", *[F.col("m")[f].alias(f"cell:{f}") for f in fields])
+
+
 def _lifecycle() -> list[Column]:
     state = F.when(F.col("last_field") == DELETED, "deleted").otherwise("active").alias("state")
     back = F.coalesce(F.col("last_set") > F.col("first_deletion"), F.lit(False)).alias("resurrected")
     return [state, back]
 
 
-def mirror_view(log: DataFrame, fields: Sequence[str], instant: Column | None = None) -> DataFrame:
-    """The table as of ``instant``: one row a live entity, a column a field, in one aggregate."""
-    states = _states(until(log, instant), fields).where(F.col("last_field") != DELETED)
+def mirror_view(log: DataFrame, fields: Sequence[str], instant: Column | None = None, deleted: bool = False) -> DataFrame:
+    """The table as of ``instant``: one row a live entity, or a ``deleted`` one with its last cells; a column a field."""
+    gone = F.col("last_field") == DELETED
+    states = _states(until(log, instant), fields).where(gone if deleted else ~gone)
     return states.select("entity_id", *[F.col(f"`cell:{f}`").alias(f) for f in fields])
 
 
@@ -318,14 +340,20 @@ def scrub_diff(log: DataFrame, fields: Sequence[str], earlier: Column, later: Co
     Deleted rows keep their last cells; cells not there yet are null.
     """
     o = order(log)
-    cells = []
-    for f in fields:
-        hit = F.col("field") == f
-        old = F.max_by("value", F.when(hit & (F.col("timestamp") <= earlier), o))
-        cells.append(F.struct(F.lit(f).alias("field"), old.alias("before"), F.max_by("value", F.when(hit, o)).alias("after")))
-    both = until(log, later).groupBy("entity_id").agg(F.array(*cells).alias("cells"))
-    rows = both.select("entity_id", F.inline("cells").alias("field", "before", "after"))
-    return rows.where(~F.col("before").eqNullSafe(F.col("after")))
+    old = F.max_by("value", F.when(F.col("timestamp") <= earlier, o))
+    own = until(log, later).where(F.col("field").isin(*fields))
+    both = own.groupBy("entity_id", "field").agg(old.alias("before"), F.max_by("value", o).alias("after"))
+    return both.where(~F.col("before").eqNullSafe(F.col("after")))
+
+
+def folded(log: DataFrame) -> DataFrame:
+    """The last event of every cell, and each entity's last deletion, as events.
+
+    Any view of the log at or after its end is the same over these and what came later.  Counts,
+    timelines and whether an entity ever came back are not.
+    """
+    last = F.max_by(F.struct(*log.columns), order(log)).alias("e")
+    return log.groupBy("entity_id", "field").agg(last).select("e.*")
 
 
 def page_keys(log: DataFrame) -> list[str]:

@@ -410,6 +410,33 @@ def latest_by_row_number(spark: SparkSession, sf_dir: str) -> DataFrame:
     return log.latest_by_row_number(elog(spark, sf_dir), ntz(T1))
 
 
+#: A log of many columns: a part's place among them is the field of its supplier.
+WIDE_FIELDS = [f"p{k:02d}" for k in range(64)]
+WLOG = """w AS (SELECT CAST(l_suppkey AS VARCHAR) AS entity_id, l_shipdate AS timestamp, l_orderkey * 10 + l_linenumber AS seq,
+'p' || lpad(CAST(l_partkey % 64 AS VARCHAR), 2, '0') AS field, l_quantity AS value FROM lineitem)"""
+
+
+def wide_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "lineitem").select(
+        F.col("l_suppkey").cast("string").alias("entity_id"),
+        F.col("l_shipdate").alias("timestamp"),
+        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq"),
+        F.concat(F.lit("p"), F.lpad((F.col("l_partkey") % 64).cast("string"), 2, "0")).alias("field"),
+        F.col("l_quantity").alias("value"),
+    )
+
+
+def _wide_sql() -> str:
+    cells = ", ".join(f"max(value) FILTER (WHERE field = '{f}') AS {f}" for f in WIDE_FIELDS)
+    return f"WITH {WLOG}, c AS (SELECT entity_id, field, value FROM w QUALIFY row_number() OVER (PARTITION BY entity_id, field ORDER BY timestamp DESC, seq DESC) = 1) SELECT entity_id, {cells} FROM c GROUP BY 1"
+
+
+@query(_wide_sql())
+def wide_mirror_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A view of 64 columns."""
+    return log.mirror_view(wide_log(spark, sf_dir), WIDE_FIELDS)
+
+
 for part in (workload, audits, stores):
     QUERIES |= part.QUERIES
     ORACLES |= part.ORACLES

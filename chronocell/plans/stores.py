@@ -1,7 +1,7 @@
 """Queries over a store on disk: snapshots captured for real, then read back, and their SQL.
 
 Snapshots A, B and C of ``inputs`` are captured on three days into a store among the scratch
-tables; a session makes it once for each folder of tables.
+tables, with a checkpoint after B; a session makes it once for each folder of tables.
 """
 
 from __future__ import annotations
@@ -39,10 +39,25 @@ def captured(spark: SparkSession, sf_dir: str) -> Store:
         store = Store(spark, Scratch(spark, "store").folder("orders.cells"))
         for day, name in zip(DAYS, "ABC", strict=True):
             store.capture(snapshot(spark, sf_dir, name), "o_orderkey", day)
+            if name == "B":
+                store.checkpoint()
         _made[made] = store
     return _made[made]
 
 
+@query(f"WITH {SNAPS} SELECT o_orderkey, o_orderstatus, total_cents, o_orderpriority FROM a")
+def store_view_before_checkpoint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A view that no checkpoint is old enough for."""
+    return captured(spark, sf_dir).view(DAYS[0])
+
+
+@query(f"WITH {SNAPS} SELECT entity_id, field, arg_max(value, seq) AS value, max(seq) AS seq FROM (SELECT entity_id, field, coalesce(value, 'null') AS value, seq FROM slog WHERE seq < 2) GROUP BY 1, 2")
+def store_checkpoint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the checkpoint after B holds: the last event of every cell."""
+    rows = captured(spark, sf_dir).latest(DAYS[1])
+    return rows.select("entity_id", "field", F.coalesce("value", F.lit("null")).alias("value"), "seq")
+
+
 @query(f"WITH {SNAPS} SELECT o_orderkey, o_orderstatus, total_cents, o_orderpriority FROM b")
 def store_view_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     return captured(spark, sf_dir).view(DAYS[1] + dt.timedelta(hours=5))

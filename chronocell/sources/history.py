@@ -70,8 +70,11 @@ def snapshot(spark: SparkSession, step: int, rows: int, steps: int, seed: int =
     return spark.range(1, rows + 1).where(~absent).select(KEY, *cells[:cols])
 
 
-def generate(store: Store, rows: int = 1000, steps: int = 40, seed: int = 42, violations: int = 0, cols: int = COLUMNS) -> dict:
-    """Captures ``steps`` daily snapshots; the same arguments give the same events."""
+def generate(store: Store, rows: int = 1000, steps: int = 40, seed: int = 42, violations: int = 0, cols: int = COLUMNS, checkpoint_every: int = 0) -> dict:
+    """Captures ``steps`` daily snapshots; the same arguments give the same events.
+
+    After every ``checkpoint_every`` captures, if any, the store is folded into a checkpoint.
+    """
     if cols < len(WRITE_ONCE):
         raise ValueError(f"the history has {len(WRITE_ONCE)} columns at least")
     if not 0 <= violations <= rows:
@@ -80,6 +83,8 @@ def generate(store: Store, rows: int = 1000, steps: int = 40, seed: int = 42, vi
     for step in range(steps):
         made = store.capture(snapshot(store.spark, step, rows, steps, seed, violations, cols), KEY, FIRST_DAY + dt.timedelta(days=step))
         added.append(made["events_added"])
+        if checkpoint_every and (step + 1) % checkpoint_every == 0:
+            store.checkpoint()
     rates = [n / (rows * cols) for n in added[1:]]
     return {"rows": rows, "cols": cols, "steps": steps, "seed": seed, "violations": violations, "events": sum(added), "mean_change": sum(rates) / len(rates) if rates else 0.0}
 

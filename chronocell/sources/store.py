@@ -1,6 +1,6 @@
 """The change log on a file system: immutable Parquet event files under a manifest.
 
-A store is a folder with ``manifest.json`` and ``events/<stamp>/``.  The manifest is the
+A store is a folder with ``manifest.json``, ``events/<stamp>/`` and, once made, ``checkpoints/<stamp>_<captures>/``.  The manifest is the
 commit point: it is written beside the old one and renamed over it, and readers take only
 the files that it lists, so what a failed capture leaves behind is never read.  One writer at
 a time; a manifest that changed since it was read is not overwritten.
@@ -31,6 +31,8 @@ EVENTS = T.StructType(
         T.StructField("snapshot_id", T.StringType()),
     ]
 )
+#: Columns of checkpoints: those of events and a capture's place.
+FOLDED = T.StructType([*EVENTS.fields, T.StructField("seq", T.IntegerType())])
 RESERVED = {log.DELETED, "entity_id"}
 
 
@@ -38,6 +40,11 @@ class StoreError(ValueError):
     """A store that is missing, or a snapshot that cannot be captured."""
 
 
+def _folds(checkpoint: dict) -> int:
+    """How many captures a checkpoint folds.  Its name tells, as the manifest's form has no place for it."""
+    return int(checkpoint["file"].split("_")[1])
+
+
 class Store:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
@@ -81,9 +88,12 @@ class Store:
 
     def events(self, instant: dt.datetime | None = None) -> DataFrame:
         """The log with ``seq``, a capture's place; files past ``instant`` are not opened."""
-        files = self.files(instant)
+        return self._placed(self.files(instant), instant)
+
+    def _placed(self, files: list[dict], instant: dt.datetime | None) -> DataFrame:
+        """The events of some entries of the manifest, each with its capture's place."""
         if not files:
-            return self.spark.createDataFrame([], EVENTS).withColumn("seq", F.lit(0))
+            return self.spark.createDataFrame([], FOLDED)
         rows = self.spark.read.schema(EVENTS).parquet(*[f"{self.path}/{e['file']}" for e in files])
         # One small row a listed capture, by its snapshot and instant.
         since = dt.datetime(1970, 1, 1, tzinfo=dt.UTC)
@@ -92,6 +102,19 @@ class Store:
         rows = rows.withColumn("micros", F.unix_micros("timestamp")).join(F.broadcast(places), ["snapshot_id", "micros"], "left").select(*EVENTS.names, "seq")
         return rows if instant is None else rows.where(F.col("timestamp") <= F.lit(codec.utc(instant)))
 
+    def latest(self, instant: dt.datetime | None = None) -> DataFrame:
+        """Events enough for any view as of ``instant``: the newest checkpoint not after it and what came later.
+
+        A capture made after the checkpoint counts whatever its instant.  Without a checkpoint: all events.
+        """
+        until = None if instant is None else codec.utc(instant).isoformat()
+        usable = [c for c in self.manifest()["checkpoints"] if until is None or c["as_of"] <= until] if self.exists() else []
+        if not usable:
+            return self.events(instant)
+        newest = max(usable, key=_folds)
+        base = self.spark.read.schema(FOLDED).parquet(f"{self.path}/{newest['file']}")
+        return base.unionByName(self._placed([e for e in self.files(instant) if e["seq"] >= _folds(newest)], instant))
+
     def fields(self) -> dict[str, str]:
         """Tags of all columns ever seen but the key, in order of appearance; the latest tag of each."""
         m = self.manifest()
@@ -101,7 +124,7 @@ class Store:
         """The typed table as of ``instant``, by key; all columns and no rows before history."""
         m = self.manifest()
         tags = self.fields()
-        view = log.mirror_view(self.events(instant), list(tags))
+        view = log.mirror_view(self.latest(instant), list(tags))
         key = m["key_column"] or "entity_id"
         cells = [codec.decoded(F.col(f"`{c}`"), t).alias(c) for c, t in tags.items()]
         return view.select(codec.decoded(F.col("entity_id"), m["schema"].get(key, "utf8")).alias(key), *cells).orderBy(key)
@@ -114,7 +137,7 @@ class Store:
 
     # -- writing ---------------------------------------------------------------
 
-    def capture(self, snapshot: DataFrame, key: str, captured_at: dt.datetime | None = None, idempotency: str = "any", allow_out_of_order: bool = True) -> dict:
+    def capture(self, snapshot: DataFrame, key: str, captured_at: dt.datetime | None = None, idempotency: str = "any", allow_out_of_order: bool = True, strict_resurrection: bool = False) -> dict:
         """Records what a full snapshot changes: ``events_added, snapshot_id, file, noop``.
 
         Keys must be there, unique and not null.  A snapshot with the same columns and content
@@ -122,6 +145,8 @@ class Store:
         with the latest state even where ``captured_at`` is before that; unless
         ``allow_out_of_order``, such a capture is an error.  New keys give their non-null cells, common ones their
         changed cells, missing ones a deletion, and columns that went a null for each live cell.
+        A key that comes back with a null shows what its cell had before it went, unless
+        ``strict_resurrection``, which records the null.
         """
         names = snapshot.columns
         if key not in names:
@@ -151,28 +176,58 @@ class Store:
         if not drift and any(e["snapshot_id"] == snapshot_id for e in known):
             return {"events_added": 0, "snapshot_id": snapshot_id, "file": None, "noop": True}
 
-        prior = log.mirror_view(self.events() if old["events"] else self.spark.createDataFrame([], EVENTS).withColumn("seq", F.lit(0)), seen).withColumnRenamed("entity_id", key)
+        prior = log.mirror_view(self.latest() if old["events"] else self.spark.createDataFrame([], FOLDED), seen).withColumnRenamed("entity_id", key)
         shared = [c for c in seen if c in columns]
         events = diff.diff_events(prior.select(key, *[F.col(f"`{c}`") for c in shared]), text, key)
         dropped = [c for c in seen if c not in columns]
         if dropped:
             events = events.unionByName(diff.tombstones(prior, key, dropped))
+        if strict_resurrection and seen:
+            gone = log.mirror_view(self.latest(), seen, deleted=True).withColumnRenamed("entity_id", key)
+            events = events.unionByName(diff.returned_nulls(gone, text, key))
         all_tags = {**old["schema"], **tags}
         of = F.create_map(*[F.lit(x) for pair in all_tags.items() for x in pair])
         # A type that changed while the text did not is no change; a deletion has no type.
         rows = events.select("entity_id", F.lit(stamp).cast("timestamp").alias("timestamp"), "field", "value", F.coalesce(of[F.col("field")], F.lit("null")).alias("dtype"), F.lit(snapshot_id).alias("snapshot_id"))
         place = f"events/{stamp.strftime('%Y%m%dT%H%M%S%fZ')}_{uuid.uuid4().hex[:8]}"
-        # Written aside, so that nobody who lists the events meets files of a capture that is still going on.
-        aside = f"{self.path}/.staging/{uuid.uuid4().hex}"
-        rows.write.option("parquet.enable.dictionary", "true").parquet(aside)
-        count = self.spark.read.schema(EVENTS).parquet(aside).count()
+        count = self._publish(rows, place)
         if not count:
-            self._fs.delete(self._path(aside), True)
             return {"events_added": 0, "snapshot_id": snapshot_id, "file": None, "noop": True}
-        self._fs.mkdirs(self._path(f"{self.path}/events"))
-        if not self._fs.rename(self._path(aside), self._path(f"{self.path}/{place}")):
-            raise StoreError(f"could not move the events to {place}")
         iso = stamp.isoformat()
         entry = {"file": place, "snapshot_id": snapshot_id, "ts_min": iso, "ts_max": iso, "row_count": count}
         self._commit({**old, "key_column": key, "schema": all_tags, "events": [*old["events"], entry]}, old)
         return {"events_added": count, "snapshot_id": snapshot_id, "file": place, "noop": False}
+
+    def _publish(self, rows: DataFrame, place: str) -> int:
+        """Writes ``rows`` as ``place`` and counts them; nothing is left where there are none.
+
+        They are written aside and moved, so that nobody who lists the folder meets files that are not whole.
+        """
+        aside = f"{self.path}/.staging/{uuid.uuid4().hex}"
+        rows.write.option("parquet.enable.dictionary", "true").parquet(aside)
+        count = self.spark.read.schema(rows.schema).parquet(aside).count()
+        if not count:
+            self._fs.delete(self._path(aside), True)
+            return 0
+        self._fs.mkdirs(self._path(f"{self.path}/{place.partition('/')[0]}"))
+        if not self._fs.rename(self._path(aside), self._path(f"{self.path}/{place}")):
+            raise StoreError(f"could not move the rows to {place}")
+        return count
+
+    def checkpoint(self) -> dict | None:
+        """Folds all committed events, from the last checkpoint on, into a new one; its entry in the manifest.
+
+        Captures and views then read it and later events only.  Timelines, states and counts go on
+        reading all events, which stay.  ``None`` where nothing came since the last checkpoint.
+        """
+        old = self.manifest()
+        done = len(old["events"])
+        if done == max(map(_folds, old["checkpoints"]), default=0):
+            return None
+        as_of = max(e["ts_max"] for e in old["events"])
+        stamp = dt.datetime.fromisoformat(as_of).strftime("%Y%m%dT%H%M%S%fZ")
+        place = f"checkpoints/{stamp}_{done:06d}_{uuid.uuid4().hex[:8]}"
+        self._publish(log.folded(self.latest()), place)
+        entry = {"file": place, "as_of": as_of}
+        self._commit({**old, "checkpoints": [*old["checkpoints"], entry]}, old)
+        return entry

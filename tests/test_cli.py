@@ -38,6 +38,8 @@ def test_capture_travel_and_states(run, tmp_path):
     assert json.loads(run("row-state", store, "1", "--json")[1]) == {"state": "deleted", "resurrected": False}
     assert json.loads(run("row-state", store, "3", "--as-of", "2026-01-02", "--json")[1])["state"] == "unborn"
     assert json.loads(run("info", store, "--json")[1])["files"] == 2
+    assert not json.loads(run("checkpoint", store, "--json")[1])["noop"] and json.loads(run("checkpoint", store, "--json")[1])["noop"]
+    assert [r["id"] for r in json.loads(run("view", store, "--json")[1])] == [2, 3]
     code, out = run("view", store, "--format", "csv", "--out", f"file://{tmp_path}/out.csv", "--json")
     assert code == 0 and json.loads(out)["format"] == "csv"
 
