@@ -36,18 +36,20 @@ def _time_text(us: Column) -> Column:
 
 
 def _float_text(value: Column) -> Column:
-    """Plain digits from 0.0001 up to 16 places ahead of the point, else with an exponent of two digits at least: ``1e-07``."""
-    text = F.abs(value).cast("string")
-    mantissa, power = F.split_part(text, F.lit("E"), F.lit(1)), F.split_part(text, F.lit("E"), F.lit(2)).try_cast("int")
-    digits = F.regexp_replace(F.regexp_replace(mantissa, r"\.0$", ""), r"\.", "")
-    large = F.concat(F.rpad(F.substring(digits, 1, 17), F.greatest(power + 1, F.length(digits)), F.lit("0")))
-    whole = F.concat(large.substr(F.lit(1), power + 1), F.lit("."), F.coalesce(F.nullif(large.substr(power + 2, F.lit(40)), F.lit("")), F.lit("0")))
-    small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -power - 1), digits)
-    sign = F.when(power < 0, "-").otherwise("+")
-    science = F.concat(F.regexp_replace(mantissa, r"\.0$", ""), F.lit("e"), sign, F.lpad(F.abs(power).cast("string"), F.greatest(F.length(F.abs(power).cast("string")), F.lit(2)), F.lit("0")))
-    plain = F.when(power.isNull(), text).when(power.between(7, 15), whole).when(power == -4, small).otherwise(science)
-    plain = F.when(F.isnan(value), "nan").when(text == "Infinity", "inf").otherwise(plain)
-    return F.when(value.isNotNull(), F.concat(F.when(value.cast("string").startswith("-"), "-").otherwise(""), plain))
+    """Plain digits from 0.0001 up to 16 places ahead of the point, else with an exponent of two digits at least: ``1e-07``.
+
+    Digits are the JVM's: before version 19 it has at times one more than the shortest that reads back.
+    Each branch has the value's text once: a text that is used over and over makes code too long to compile.
+    """
+    text, size = value.cast("string"), F.abs(value)
+    as_is = (size == 0) | size.between(F.lit(1e-3), F.lit(9999999.999999998))
+    # The text has an exponent here that the form does not: all its digits fit a decimal.
+    near = size.between(F.lit(1e7), F.lit(9999999999999998.0)) | ((size >= 1e-4) & (size < 1e-3))
+    digits = F.regexp_replace(F.regexp_replace(value.cast("decimal(38,21)").cast("string"), "0+$", ""), r"\.$", ".0")
+    science = F.regexp_replace(F.regexp_replace(text, r"(\.0)?E(\d)", r"e+$2"), r"(\.0)?E-", "e-")
+    science = F.regexp_replace(science, r"e-(\d)$", r"e-0$1")
+    special = F.when(F.isnan(value), "nan").when(size == float("inf"), F.when(value > 0, "inf").otherwise("-inf"))
+    return F.when(value.isNull() | as_is, text).when(near, digits).otherwise(F.coalesce(special, science))
 
 
 def encoded(value: Column, kind: T.DataType) -> Column:
