@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronocell.llm import chat, gif, langid, quality, urls, warc
+from chronocell.llm import bpe, chat, gif, langid, quality, urls, warc
 from chronocell.llm.minhash import near_duplicates
 from chronocell.llm.mixture import mix_sources
 from chronocell.llm.tokens import token_counts
@@ -14,7 +14,7 @@ from chronocell.llm.winnow import contamination
 from chronocell.sources.scratch import Scratch
 from chronocell.sources.tables import table
 
-#: The vocabulary of ``op1_token_counts``, a file of the tokenizers' package.
+#: The vocabulary of ``op1_token_counts`` and ``op11_bpe_codec``, a file of the tokenizers' package.
 VOCABULARY = "byte_bpe_50k.json"
 
 
@@ -156,6 +156,11 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
+def op11_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    both = bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY))
+    return both.select("doc_id", bpe.n_tokens(F.col("ids")).alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"))
+
+
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_chat_format": op2_chat_format,
@@ -167,6 +172,7 @@ QUERIES = {
     "op8_decontamination": op8_decontamination,
     "op9_warc": op9_warc,
     "op10_language_id": op10_language_id,
+    "op11_bpe_codec": op11_bpe_codec,
 }
 
 ORACLES = {
