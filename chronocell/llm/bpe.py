@@ -50,6 +50,7 @@ class Codec:
             left, right = merge.split(" ") if isinstance(merge, str) else merge
             self._rank[vocab[left] << 32 | vocab[right]] = rank
             self._joined.append(vocab[left + right])
+        self._token = {bytes(map(to_byte.__getitem__, t)): i for t, i in vocab.items() if all(c in to_byte for c in t)}
         special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self._special = {text: np.array([i], "<u4").tobytes() for text, i in special.items()}
         self._cut = re.compile("(" + "|".join(map(re.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
@@ -64,28 +65,28 @@ class Codec:
         self._words = re.compile(f"[{SPACE}]+(?![^{SPACE}])| ?[^{SPACE}]+|[{SPACE}]+")
         self._known: dict[str, bytes] = {}
 
+    def _pair_rank(self, left: bytes, right: bytes) -> int:
+        return self._rank.get(self._token[left] << 32 | self._token[right], NEVER)
+
     def merged(self, piece: bytes) -> list[int]:
         """The tokens of one piece."""
         return self._scanned(piece) if len(piece) <= SHORT else self._heaped(piece)
 
     def _scanned(self, piece: bytes) -> list[int]:
         """``merged`` by scans for the least rank."""
-        rank = self._rank.get
-        ids = [self._byte_id[b] for b in piece]
-        # The boundary between parts k and k + 1 has its rank at k.
-        ranks = [rank(a << 32 | b, NEVER) for a, b in zip(ids, ids[1:])]
-        while ranks:
-            least = min(ranks)
-            if least == NEVER:
-                break
+        rank, token = self._pair_rank, self._token
+        # Part k lies between boundaries k and k + 1; the merge of parts k and k + 1 has its rank at k.
+        bounds = list(range(len(piece) + 1))
+        ranks = [rank(piece[k : k + 1], piece[k + 1 : k + 2]) for k in range(len(piece) - 1)]
+        while ranks and (least := min(ranks)) != NEVER:
             k = ranks.index(least)
-            ids[k] = self._joined[least]
-            del ids[k + 1], ranks[k]
+            del bounds[k + 1], ranks[k]
+            part = piece[bounds[k] : bounds[k + 1]]
             if k:
-                ranks[k - 1] = rank(ids[k - 1] << 32 | ids[k], NEVER)
+                ranks[k - 1] = rank(piece[bounds[k - 1] : bounds[k]], part)
             if k < len(ranks):
-                ranks[k] = rank(ids[k] << 32 | ids[k + 1], NEVER)
-        return ids
+                ranks[k] = rank(part, piece[bounds[k + 1] : bounds[k + 2]])
+        return [token[piece[a:b]] for a, b in zip(bounds, bounds[1:])]
 
     def _heaped(self, piece: bytes) -> list[int]:
         """``merged`` by a heap of ranks and places over a linked list of parts."""
