@@ -14,6 +14,7 @@ from __future__ import annotations
 import heapq
 import json
 import re
+import struct
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -27,8 +28,8 @@ from chronocell.llm.tokens import PIECES, SPACE, _byte_letters
 
 #: Bytes of a word beyond which its ranks are kept in a heap.
 SHORT = 96
-#: Encoded words that a worker remembers before it starts afresh, and code points of the longest of them.
-REMEMBERED = 400_000
+#: Encoded words in a generation of what a worker remembers, and code points of the longest of them.
+REMEMBERED = 600_000
 LONGEST = 64
 #: Stands for a merge that the vocabulary does not have.
 NEVER = 1 << 40
@@ -50,7 +51,8 @@ class Codec:
             left, right = merge.split(" ") if isinstance(merge, str) else merge
             self._rank[vocab[left] << 32 | vocab[right]] = rank
             self._joined.append(vocab[left + right])
-        self._token = {bytes(map(to_byte.__getitem__, t)): i for t, i in vocab.items() if all(c in to_byte for c in t)}
+        # The ranks of all pairs of bytes, for the first look at a word.
+        self._first = [self._rank.get(a << 32 | b, NEVER) for a in self._byte_id for b in self._byte_id]
         special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self._special = {text: np.array([i], "<u4").tobytes() for text, i in special.items()}
         self._cut = re.compile("(" + "|".join(map(re.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
@@ -64,29 +66,30 @@ class Codec:
         # Runs without white space with one space before, or white space: pieces nest in them, and they repeat.
         self._words = re.compile(f"[{SPACE}]+(?![^{SPACE}])| ?[^{SPACE}]+|[{SPACE}]+")
         self._known: dict[str, bytes] = {}
-
-    def _pair_rank(self, left: bytes, right: bytes) -> int:
-        return self._rank.get(self._token[left] << 32 | self._token[right], NEVER)
+        self._old: dict[str, bytes] = {}
 
     def merged(self, piece: bytes) -> list[int]:
         """The tokens of one piece."""
         return self._scanned(piece) if len(piece) <= SHORT else self._heaped(piece)
 
     def _scanned(self, piece: bytes) -> list[int]:
-        """``merged`` by scans for the least rank."""
-        rank, token = self._pair_rank, self._token
-        # Part k lies between boundaries k and k + 1; the merge of parts k and k + 1 has its rank at k.
-        bounds = list(range(len(piece) + 1))
-        ranks = [rank(piece[k : k + 1], piece[k + 1 : k + 2]) for k in range(len(piece) - 1)]
+        """``merged`` by scans for the least rank.
+
+        What lies between two boundaries is held by its token, so deleting the boundary at the
+        right of part k takes token k + 1 out; the merge over that boundary has its rank at k.
+        """
+        rank = self._rank.get
+        parts = list(map(self._byte_id.__getitem__, piece))
+        ranks = [self._first[a << 8 | b] for a, b in zip(piece, piece[1:])]
         while ranks and (least := min(ranks)) != NEVER:
             k = ranks.index(least)
-            del bounds[k + 1], ranks[k]
-            part = piece[bounds[k] : bounds[k + 1]]
+            parts[k] = joined = self._joined[least]
+            del parts[k + 1], ranks[k]
             if k:
-                ranks[k - 1] = rank(piece[bounds[k - 1] : bounds[k]], part)
+                ranks[k - 1] = rank(parts[k - 1] << 32 | joined, NEVER)
             if k < len(ranks):
-                ranks[k] = rank(part, piece[bounds[k + 1] : bounds[k + 2]])
-        return [token[piece[a:b]] for a, b in zip(bounds, bounds[1:])]
+                ranks[k] = rank(joined << 32 | parts[k + 1], NEVER)
+        return parts
 
     def _heaped(self, piece: bytes) -> list[int]:
         """``merged`` by a heap of ranks and places over a linked list of parts."""
@@ -111,15 +114,23 @@ class Codec:
         return [i for i in ids if i >= 0]
 
     def _word(self, word: str) -> bytes:
-        """The packed tokens of a word, whose pieces are merged apart."""
-        known = self._known.get(word)
+        """The packed tokens of a word, whose pieces are merged apart.
+
+        Words and pieces are remembered in two generations: what the young one misses the old one may have.
+        """
+        known = self._old.get(word)
         if known is None:
-            ids = [i for piece in self._pieces.findall(word) for i in self.merged(piece.encode("utf-8", "surrogatepass"))]
-            known = np.array(ids, "<u4").tobytes()
-            if len(word) <= LONGEST:
-                if len(self._known) >= REMEMBERED:
-                    self._known.clear()
-                self._known[word] = known
+            pieces = self._pieces.findall(word)
+            if len(pieces) == 1:
+                ids = self.merged(word.encode("utf-8", "surrogatepass"))
+                known = struct.pack(f"<{len(ids)}I", *ids)
+            else:
+                get = self._known.get
+                known = b"".join([get(p) or self._word(p) for p in pieces])
+        if len(word) <= LONGEST:
+            if len(self._known) >= REMEMBERED:
+                self._old, self._known = self._known, {}
+            self._known[word] = known
         return known
 
     def encode(self, text: str | None) -> bytes:
@@ -134,6 +145,7 @@ class Codec:
                 out.append(self._special[part])
             else:
                 out += [get(w) or slow(w) for w in self._words.findall(part)]
+                get = self._known.get
         return b"".join(out)
 
     def decode(self, packed: bytes | None) -> str:
