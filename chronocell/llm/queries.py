@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronocell.llm import bpe, chat, gif, langid, quality, urls, warc
+from chronocell.llm import bpe, chat, gif, langid, quality, repair, urls, warc
 from chronocell.llm.minhash import near_duplicates
 from chronocell.llm.mixture import mix_sources
 from chronocell.llm.tokens import token_counts
@@ -161,6 +161,80 @@ def op11_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("doc_id", bpe.n_tokens(F.col("ids")).alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"))
 
 
+def op12_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repair_reports(repair.damaged(table(spark, sf_dir, "conversations")))
+
+
+#: CRC-32 of a text of ASCII letters, ``{0}``, in SQL; ``tab`` is the table of its 256 steps.
+CRC_TABLE = "crc_table AS (SELECT list(v ORDER BY i) AS tab FROM (SELECT i, list_reduce(list_prepend(i, range(8)), lambda a, b: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END) AS v FROM range(256) AS r(i)))"
+CRC = "xor(list_reduce(list_prepend(4294967295, list_transform(range(1, length({0}) + 1), lambda k: ascii(substr({0}, k, 1))::BIGINT)), lambda a, b: xor(a >> 8, tab[(xor(a, b) & 255) + 1])), 4294967295)"
+
+
+OP12_SQL = (
+    r"""
+WITH RECURSIVE """
+    + CRC_TABLE
+    + r""",
+h AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, """
+    + CRC.format("place")
+    + r""" % 20 AS kind
+  FROM (SELECT *, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS place FROM conversations), crc_table),
+d AS (
+  SELECT conv_id, turn, CASE kind WHEN 4 THEN 'user' ELSE role END AS role,
+         CASE kind WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text
+  FROM h, range(CASE kind WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)),
+o AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i, count(*) OVER (PARTITION BY conv_id) AS n,
+         CASE WHEN role[1] IN ('s', 'u', 'a') THEN role[1] ELSE 'o' END AS initial, rtrim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS seen
+  FROM d),
+r AS (
+  SELECT *, CASE WHEN seen = '' THEN 'b' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'd' WHEN seen[-1] NOT IN ('.', '!', '?') THEN 't' ELSE '.' END AS fault,
+         lag(initial) OVER (PARTITION BY conv_id ORDER BY i) || initial AS pair
+  FROM o),
+back AS (
+  SELECT DISTINCT conv_id, n + 1 AS i, 0 AS c0, 4 AS c1, 2 AS c2, 0 AS c3 FROM r
+  UNION ALL
+  SELECT conv_id, i, least(b0, 2 + b2, 4 + b3), least(b1, 2 + b2, 4 + b3), least(b2, 2 + b3), least(b3, 2 + b2)
+  FROM (
+    SELECT r.conv_id, r.i,
+           CASE WHEN fault IN ('b', 'd') THEN 3 + c0 ELSE least(3 + c0, 2 + stay + c2, CASE initial WHEN 's' THEN stay + c1 WHEN 'u' THEN stay + c2 END) END AS b0,
+           CASE WHEN fault IN ('b', 'd') THEN 3 + c1 ELSE least(3 + c1, 2 + stay + c2, CASE initial WHEN 'u' THEN stay + c2 END) END AS b1,
+           CASE WHEN fault IN ('b', 'd') THEN 3 + c2 ELSE least(3 + c2, 2 + stay + c3, CASE initial WHEN 'a' THEN stay + c3 END) END AS b2,
+           CASE WHEN fault IN ('b', 'd') THEN 3 + c3 ELSE least(3 + c3, 2 + stay + c2, CASE initial WHEN 'u' THEN stay + c2 END) END AS b3
+    FROM back JOIN (SELECT *, CASE fault WHEN 't' THEN 1 ELSE 0 END AS stay FROM r) r ON r.conv_id IS NOT DISTINCT FROM back.conv_id AND r.i = back.i - 1)),
+costs AS (SELECT conv_id, i, [c0, c1, c2, c3] AS c FROM back),
+ways AS (
+  SELECT costs.conv_id, costs.i, costs.c, nxt.c AS after, r.role, r.text, r.fault, CASE r.fault WHEN 't' THEN 1 ELSE 0 END AS stay,
+         CASE r.initial WHEN 's' THEN [1, NULL, NULL, NULL] WHEN 'u' THEN [2, 2, NULL, 2] WHEN 'a' THEN [NULL, NULL, 3, NULL] ELSE [NULL, NULL, NULL, NULL]::INTEGER[] END AS kept
+  FROM costs LEFT JOIN costs nxt ON nxt.conv_id IS NOT DISTINCT FROM costs.conv_id AND nxt.i = costs.i + 1
+  LEFT JOIN r ON r.conv_id IS NOT DISTINCT FROM costs.conv_id AND r.i = costs.i),
+walk AS (
+  SELECT conv_id, 1::BIGINT AS i, 0 AS q, '' AS audit, '' AS said, NULL::INTEGER AS _ FROM costs WHERE i = 1
+  UNION ALL
+  SELECT conv_id, CASE WHEN letter = 'I' THEN i ELSE i + 1 END, CASE letter WHEN 'D' THEN q WHEN 'K' THEN kept[q + 1] ELSE forced END, audit || letter,
+         CASE WHEN letter = 'D' THEN said ELSE said || chr(10) || CASE WHEN letter = 'K' THEN role WHEN forced = 2 THEN 'user' ELSE 'assistant' END || ':' || CASE WHEN letter = 'I' THEN '' ELSE text END END, NULL
+  FROM (
+    SELECT walk.conv_id, walk.i, walk.q, walk.audit, walk.said, ways.kept, ways.role, ways.text, CASE walk.q WHEN 2 THEN 3 ELSE 2 END AS forced,
+           CASE WHEN c[q + 1] = 3 + after[q + 1] THEN 'D' WHEN c[q + 1] = 2 + c[CASE walk.q WHEN 2 THEN 3 ELSE 2 END + 1] THEN 'I'
+                WHEN fault NOT IN ('b', 'd') AND c[q + 1] = stay + after[kept[q + 1] + 1] THEN 'K' ELSE 'R' END AS letter
+    FROM walk JOIN ways ON ways.conv_id IS NOT DISTINCT FROM walk.conv_id AND ways.i = walk.i
+    WHERE after IS NOT NULL OR c[q + 1] > 0)),
+done AS (SELECT conv_id, arg_max(audit, length(audit)) AS audit, arg_max(said, length(audit)) AS said FROM walk GROUP BY conv_id),
+counts AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0)::BIGINT AS gaps, count(*) FILTER (WHERE fault = 'b') AS blank, count(*) FILTER (WHERE fault = 'd') AS duplicate,
+         count(*) FILTER (WHERE fault = 't') AS truncated, count(*) FILTER (WHERE pair NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM r GROUP BY conv_id)
+SELECT a.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+       coalesce(c[1], 0)::BIGINT AS cost, coalesce(audit, '') AS audit, sha256(coalesce(substr(said, 2), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) a
+LEFT JOIN counts ON counts.conv_id IS NOT DISTINCT FROM a.conv_id
+LEFT JOIN costs ON costs.conv_id IS NOT DISTINCT FROM a.conv_id AND costs.i = 1
+LEFT JOIN done ON done.conv_id IS NOT DISTINCT FROM a.conv_id
+"""
+)
+
+
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_chat_format": op2_chat_format,
@@ -173,6 +247,7 @@ QUERIES = {
     "op9_warc": op9_warc,
     "op10_language_id": op10_language_id,
     "op11_bpe_codec": op11_bpe_codec,
+    "op12_structure_repair": op12_structure_repair,
 }
 
 ORACLES = {
@@ -180,4 +255,5 @@ ORACLES = {
     "op3_source_mix": OP3_SQL,
     "op8_decontamination": OP8_SQL,
     "op9_warc": OP9_SQL,
+    "op12_structure_repair": OP12_SQL,
 }
