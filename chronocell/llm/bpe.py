@@ -29,7 +29,7 @@ from chronocell.llm.tokens import PIECES, SPACE, _byte_letters
 #: Bytes of a word beyond which its ranks are kept in a heap.
 SHORT = 96
 #: Encoded words in a generation of what a worker remembers, and code points of the longest of them.
-REMEMBERED = 600_000
+REMEMBERED = 400_000
 LONGEST = 64
 #: Stands for a merge that the vocabulary does not have.
 NEVER = 1 << 40
@@ -200,12 +200,16 @@ def token_at(ids: Column, place: Column) -> Column:
 
 
 def round_trip(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, ids, text``: each row's packed tokens and the text decoded from them; cases as in ``encoded``."""
+    """``doc_id, ids, text``: each row's packed tokens and the text decoded from them; cases as in ``encoded``.
+
+    Both ways in one pass, so that a task has one worker with one set of tables.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(vocabulary)
         for batch in batches:
-            texts = [own.decode(v.as_py()) for v in batch.column("ids")]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("ids"), pa.array(texts, pa.string())], names=["doc_id", "ids", "text"])
+            ids = [own.encode(v.as_py()) for v in batch.column("text")]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.binary()), pa.array(map(own.decode, ids), pa.string())], names=["doc_id", "ids", "text"])
 
-    return encoded(docs, vocabulary, id_col, text_col).mapInArrow(run, "doc_id long, ids binary, text string")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    return rows.mapInArrow(run, "doc_id long, ids binary, text string")
