@@ -32,9 +32,9 @@ def chunk() -> Column:
     return F.expr(f"place div {CHUNK}")
 
 
-def streamed(rows: DataFrame, by: str, then: list[str], run: Callable[[Iterator[tuple]], Iterator[tuple]], schema: str) -> DataFrame:
+def streamed(rows: DataFrame, by: list[str], then: list[str], run: Callable[[Iterator[tuple]], Iterator[tuple]], schema: str) -> DataFrame:
     """What ``run`` makes of the rows of each partition, whole groups of ``by`` in order of ``then``; a row at a time."""
-    return per_row(rows.repartition(by).sortWithinPartitions(by, *then), run, schema)
+    return per_row(rows.repartition(*by).sortWithinPartitions(*by, *then), run, schema)
 
 
 def per_row(rows: DataFrame, run: Callable[[Iterator[tuple]], Iterator[tuple]], schema: str, most: int = 2000) -> DataFrame:

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronocell.llm import bpe, chat, gif, langid, quality, repair, urls, warc
+from chronocell.llm import bpe, chat, gif, langid, quality, repair, trie, urls, warc
 from chronocell.llm.minhash import near_duplicates
 from chronocell.llm.mixture import mix_sources
 from chronocell.llm.tokens import token_counts
@@ -235,6 +235,46 @@ LEFT JOIN done ON done.conv_id IS NOT DISTINCT FROM a.conv_id
 )
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+OP13_SQL = (
+    r"""
+WITH RECURSIVE """
+    + CRC_TABLE
+    + r""",
+o AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS k
+  FROM conversations WHERE conv_id IS NOT NULL),
+c AS (SELECT conv_id, conv_id - conv_id % 5 AS base, """
+    + CRC.format("conv_id::VARCHAR")
+    + r""" % 9 AS h FROM (SELECT DISTINCT conv_id FROM o), crc_table),
+t AS (
+  SELECT c.conv_id, 0 AS part, k, role, text FROM c JOIN o ON o.conv_id = c.base AND o.k <= c.h
+  UNION ALL SELECT c.conv_id, 1, k, role, text FROM c JOIN o ON o.conv_id = c.conv_id AND o.k > c.h),
+p AS (
+  SELECT conv_id, row_number() OVER w AS d, octet_length(encode(text)) AS n_bytes,
+         string_agg(length(role) || ':' || role || length(text) || ':' || text, '') OVER w AS said
+  FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY part, k)),
+r AS (
+  SELECT conv_id, d, n_bytes, sha256(said) AS node, coalesce(lag(sha256(said)) OVER (PARTITION BY conv_id ORDER BY d), 'root') AS above FROM p
+  UNION ALL SELECT conv_id, 0, 0, 'root', NULL FROM c),
+l AS (SELECT conv_id, max(d) AS n FROM r GROUP BY conv_id),
+n AS (SELECT node, d, any_value(above) AS above, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(n_bytes) AS n_bytes FROM r GROUP BY node, d),
+kids AS (SELECT above AS node, d - 1 AS d, count(*) AS n_children FROM n WHERE d > 0 GROUP BY above, d),
+v AS (SELECT n.*, coalesce(n_children, 0) AS n_children, (n_convs - 1) * n_bytes AS saved FROM n LEFT JOIN kids USING (node, d)),
+subtree AS (
+  SELECT a.node, a.d, count(*) FILTER (WHERE v.n_children = 0) AS n_leaves, sum(v.saved)::BIGINT AS saved_tokens
+  FROM v JOIN r a ON a.conv_id = v.conv_id AND a.d <= v.d GROUP BY a.node, a.d),
+ends AS (SELECT r.node, r.d, sha256(string_agg(r.conv_id::VARCHAR, ',' ORDER BY r.conv_id)) AS ends_sha256 FROM r JOIN l ON l.conv_id = r.conv_id AND l.n = r.d GROUP BY r.node, r.d)
+SELECT v.conv_id, v.d AS depth, up.conv_id AS parent_conv_id, v.n_convs, v.n_children, n_leaves, saved_tokens, coalesce(ends_sha256, sha256('')) AS ends_sha256
+FROM v JOIN subtree USING (node, d) LEFT JOIN ends USING (node, d) LEFT JOIN n up ON up.node = v.above AND up.d = v.d - 1
+"""
+)
+
+
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_chat_format": op2_chat_format,
@@ -248,6 +288,7 @@ QUERIES = {
     "op10_language_id": op10_language_id,
     "op11_bpe_codec": op11_bpe_codec,
     "op12_structure_repair": op12_structure_repair,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 
 ORACLES = {
@@ -256,4 +297,5 @@ ORACLES = {
     "op8_decontamination": OP8_SQL,
     "op9_warc": OP9_SQL,
     "op12_structure_repair": OP12_SQL,
+    "op13_prefix_trie": OP13_SQL,
 }

@@ -222,7 +222,7 @@ def _ends(steps: DataFrame) -> DataFrame:
             yield (*held[:2], True, held[2])
 
     back = steps.select("conv_id", (-F.col("chunk")).alias("back"), "matrix")
-    found = ordered.streamed(back, "conv_id", ["back"], run, "chunk long, end array<long>, begins boolean, ends boolean")
+    found = ordered.streamed(back, ["conv_id"], ["back"], run, "chunk long, end array<long>, begins boolean, ends boolean")
     return found.withColumn("chunk", -F.col("chunk"))
 
 
@@ -272,7 +272,7 @@ def _forward(rows: DataFrame) -> DataFrame:
             state = exits[state]
 
     kind = dict(chunks.dtypes)["conv_id"]
-    return ordered.streamed(both, "conv_id", ["chunk", "kind"], run, f"conv_id {kind}, {PARTS}")
+    return ordered.streamed(both, ["conv_id"], ["chunk", "kind"], run, f"conv_id {kind}, {PARTS}")
 
 
 def repaired_turns(rows: DataFrame) -> DataFrame:
