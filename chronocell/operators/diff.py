@@ -13,7 +13,7 @@ from chronocell.operators.log import DELETED
 
 def composite_key(keys: Sequence[str]) -> Column:
     """``a|b|c`` of the keys' texts, nulls empty."""
-    return F.concat_ws("|", *[F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys])
+    return F.concat_ws("|", *[F.coalesce(F.col(f"`{k}`").cast("string"), F.lit("")) for k in keys])
 
 
 #: Types whose values differ just where their texts do.
@@ -36,7 +36,7 @@ def _sides(before: DataFrame, after: DataFrame, key: str) -> tuple[DataFrame, li
 
     def packed(df: DataFrame, side: str) -> DataFrame:
         cells = [cell(df, c).alias(c) for c in columns]
-        return df.select(F.col(key).alias("key"), F.struct(*cells).alias(side)) if cells else df.select(F.col(key).alias("key"), F.struct(F.lit(0)).alias(side))
+        return df.select(F.col(f"`{key}`").alias("key"), (F.struct(*cells) if cells else F.struct(F.lit(0))).alias(side))
 
     return packed(before, "old").join(packed(after, "new"), "key", "full_outer"), columns
 
@@ -93,7 +93,7 @@ def compare_counts(before: DataFrame, after: DataFrame, key: str) -> DataFrame:
 def tombstones(live: DataFrame, key: str, dropped: Sequence[str]) -> DataFrame:
     """``entity_id, field, value``: a null for every live, non-null cell of columns that went."""
     cells = F.filter(F.array(*[F.when(F.col(f"`{c}`").isNotNull(), F.lit(c)) for c in dropped]), lambda x: x.isNotNull())
-    rows = live.select(F.col(key).cast("string").alias("entity_id"), F.explode(cells).alias("field"))
+    rows = live.select(F.col(f"`{key}`").cast("string").alias("entity_id"), F.explode(cells).alias("field"))
     return rows.withColumn("value", F.lit(None).cast("string"))
 
 

@@ -14,9 +14,20 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from chronocell.operators.scan import Scan
 
 DELETED = "__deleted__"
 
+#: A summary of all events of each cell, of a log of texts: its last and first place, their number, and bounds of its values.
+SUMMARY = T.StructType(
+    [
+        T.StructField(name, kind)
+        for name, kind in (("entity_id", T.StringType()), ("field", T.StringType()), ("timestamp", T.TimestampType()), ("seq", T.IntegerType()), ("first_timestamp", T.TimestampType()), ("first_seq", T.IntegerType()), ("changes", T.LongType()), ("low", T.StringType()), ("high", T.StringType()), ("nulls", T.LongType()))
+    ]
+)
+
 
 def is_deletion() -> Column:
     return F.col("field") == DELETED
@@ -73,10 +84,10 @@ def _wide_states(log: DataFrame, fields: Sequence[str]) -> DataFrame:
     return packed.select("entity_id", "last_field", "first_deletion", "last_set", *[F.col("m")[f].alias(f"cell:{f}") for f in fields])
 
 
-def _lifecycle() -> list[Column]:
-    state = F.when(F.col("last_field") == DELETED, "deleted").otherwise("active").alias("state")
-    back = F.coalesce(F.col("last_set") > F.col("first_deletion"), F.lit(False)).alias("resurrected")
-    return [state, back]
+def _lifecycle(state: str = "state", resurrected: str = "resurrected") -> list[Column]:
+    kind = F.when(F.col("last_field") == DELETED, "deleted").otherwise("active").alias(state)
+    back = F.coalesce(F.col("last_set") > F.col("first_deletion"), F.lit(False)).alias(resurrected)
+    return [kind, back]
 
 
 def mirror_view(log: DataFrame, fields: Sequence[str], instant: Column | None = None, deleted: bool = False) -> DataFrame:
@@ -87,9 +98,22 @@ def mirror_view(log: DataFrame, fields: Sequence[str], instant: Column | None =
 
 
 def temporal_view(log: DataFrame, fields: Sequence[str], instant: Column | None = None) -> DataFrame:
-    """``mirror_view`` with deleted entities too, their last cells kept, and ``state, resurrected``."""
+    """``mirror_view`` with deleted entities too, their last cells kept, and ``state, resurrected``.
+
+    Where a field has such a name, the column beside it is ``lifecycle_state`` or ``lifecycle_resurrected``.
+    """
     states = _states(until(log, instant), fields)
-    return states.select("entity_id", *_lifecycle(), *[F.col(f"`cell:{f}`").alias(f) for f in fields])
+    return states.select("entity_id", *_lifecycle(*lifecycle_names(fields)), *[F.col(f"`cell:{f}`").alias(f) for f in fields])
+
+
+def lifecycle_names(fields: Sequence[str]) -> list[str]:
+    """The names that ``temporal_view`` gives lifecycle columns beside ``fields``, which are told apart without case."""
+    taken, out = {f.lower() for f in fields}, []
+    for name in ("state", "resurrected"):
+        while name in taken:
+            name = f"lifecycle_{name}"
+        out.append(name)
+    return out
 
 
 def row_states(log: DataFrame, instant: Column | None = None, entities: DataFrame | None = None) -> DataFrame:
@@ -111,15 +135,16 @@ def as_of(log: DataFrame, entity_id: str, field: str, instant: Column | None = N
 def as_of_probes(log: DataFrame, probes: DataFrame) -> DataFrame:
     """``as_of`` for every row of ``probes`` (``probe_id, entity_id, field, instant``); date and value null for none.
 
-    Events and probes of a cell go once through one window in order of time, so the work is their
-    sum, not their product; a probe comes after the events of its instant.  Repeated probes repeat.
+    Events and probes of a cell go once through a scan in order of time, so the work is their sum,
+    not their product, and a cell of any size is many tasks'; a probe comes after the events of its
+    instant.  Repeated probes repeat.
     """
     seq = F.col("seq") if "seq" in log.columns else F.lit(0)
     hit = F.struct("timestamp", "value")
     events = log.select("entity_id", "field", F.col("timestamp").alias("at"), F.lit(0).alias("late"), seq.cast("long").alias("s"), F.lit(None).cast(probes.schema["probe_id"].dataType).alias("probe_id"), hit.alias("hit"))
     asked = probes.select("entity_id", "field", F.col("instant").alias("at"), F.lit(1).alias("late"), F.lit(0).cast("long").alias("s"), "probe_id", F.lit(None).cast(events.schema["hit"].dataType).alias("hit"))
-    w = Window.partitionBy("entity_id", "field").orderBy("at", "late", "s").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    out = events.unionByName(asked).withColumn("found", F.last("hit", ignorenulls=True).over(w)).where("late = 1")
+    by_time = [F.col("at"), F.col("late"), F.col("s")]
+    out = Scan(events.unionByName(asked), ["entity_id", "field"], by_time).add(filled={"found": F.col("hit")}).rows().where("late = 1")
     found = F.when(F.col("at").isNotNull(), F.col("found"))
     return out.select("probe_id", "entity_id", "field", found["timestamp"].alias("date"), found["value"].alias("value"))
 
@@ -228,10 +253,6 @@ def row_frequencies(log: DataFrame, fields: Sequence[str], instant: Column | Non
     return until(log, instant).groupBy("entity_id").agg(F.count_if(F.col("field").isin(*fields)).alias("changes"))
 
 
-def _cell_window(log: DataFrame):
-    return Window.partitionBy("entity_id", "field").orderBy(order(log))
-
-
 def direction(before: Column, after: Column) -> Column:
     """``up``, ``down``, ``same``, or ``na`` where either is null."""
     return F.when(before.isNull() | after.isNull(), "na").when(after > before, "up").when(after < before, "down").otherwise("same")
@@ -248,7 +269,7 @@ def ghosts(log: DataFrame, instant: Column | None = None) -> DataFrame:
 def changes_with_direction(log: DataFrame) -> DataFrame:
     """Every set event with the cell's value before it, ``direction`` and ``delta``."""
     own = log.where(~is_deletion())
-    rows = own.withColumn("before", F.lag("value").over(_cell_window(own)))
+    rows = Scan(own, ["entity_id", "field"], [order(own)]).add(previous={"before": (F.col("value"), 1)}).rows()
     return rows.select("entity_id", "field", "timestamp", "value", "before", direction(F.col("before"), F.col("value")).alias("direction"), (F.col("value") - F.col("before")).alias("delta"))
 
 
@@ -258,19 +279,20 @@ def spark_segments(log: DataFrame, instant: Column | None = None) -> DataFrame:
     A deletion is ``deleted``, the first set after one ``resurrected``, any other ``active``.
     """
     own = until(log, instant)
-    w = Window.partitionBy("entity_id").orderBy(order(own))
-    gone = F.lag(is_deletion()).over(w)
-    rows = own.select("entity_id", (F.row_number().over(w) - 1).alias("pos"), F.when(is_deletion(), "deleted").when(gone, "resurrected").otherwise("active").alias("kind"))
-    by_place = Window.partitionBy("entity_id").orderBy("pos")
-    rows = rows.withColumn("starts", (F.coalesce(F.lag("kind").over(by_place), F.lit("")) != F.col("kind")).cast("int"))
-    rows = rows.withColumn("segment", F.sum("starts").over(by_place))
+    rows = Scan(own.select("entity_id", is_deletion().alias("gone"), order(own).alias("o")), ["entity_id"], [F.col("o")])
+    rows = rows.add(previous={"gone1": (F.col("gone"), 1), "gone2": (F.col("gone"), 2)}, sums={"pos": F.lit(1)})
+    # The kind of a place and of the one before, from deletions up to two places back.
+    kinds = [F.when(F.col(now), "deleted").when(F.col(was), "resurrected").otherwise("active") for now, was in (("gone", "gone1"), ("gone1", "gone2"))]
+    starts = (F.col("gone1").isNull() | (kinds[0] != kinds[1])).cast("int")
+    rows = rows.add(sums={"segment": starts}).rows()
+    rows = rows.select("entity_id", F.col("segment").cast("long").alias("segment"), kinds[0].alias("kind"), (F.col("pos") - 1).cast("int").alias("pos"))
     return rows.groupBy("entity_id", "segment").agg(F.first("kind").alias("kind"), F.min("pos").alias("first"), F.max("pos").alias("last"))
 
 
 def resurrections(log: DataFrame) -> DataFrame:
     """``entity_id, timestamp, field``: the first set after each deletion."""
-    w = Window.partitionBy("entity_id").orderBy(order(log))
-    return log.withColumn("gone", F.lag(is_deletion()).over(w)).where(F.col("gone") & ~is_deletion()).select("entity_id", "timestamp", "field")
+    rows = Scan(log, ["entity_id"], [order(log)]).add(previous={"gone": (is_deletion(), 1)}).rows()
+    return rows.where(F.col("gone") & ~is_deletion()).select("entity_id", "timestamp", "field")
 
 
 def peek(log: DataFrame, n: int = 3) -> DataFrame:
@@ -285,10 +307,9 @@ def peek(log: DataFrame, n: int = 3) -> DataFrame:
 def violations(log: DataFrame, write_once: Sequence[str]) -> DataFrame:
     """``entity_id, field, timestamp, before, after``: changes of columns that are written once."""
     own = log.where(F.col("field").isin(*write_once))
-    w = _cell_window(own)
-    rows = own.withColumn("before", F.lag("value").over(w)).withColumn("place", F.row_number().over(w))
-    changed = rows.where((F.col("place") > 1) & ~F.col("value").eqNullSafe(F.col("before")))
-    return changed.select("entity_id", "field", "timestamp", "before", F.col("value").alias("after"))
+    rows = Scan(own, ["entity_id", "field"], [order(own)]).add(previous={"before": (F.struct("value"), 1)}).rows()
+    changed = rows.where(F.col("before").isNotNull() & ~F.col("value").eqNullSafe(F.col("before.value")))
+    return changed.select("entity_id", "field", "timestamp", F.col("before.value").alias("before"), F.col("value").alias("after"))
 
 
 def _facts(log: DataFrame, write_once: Sequence[str]) -> DataFrame:
@@ -325,7 +346,11 @@ def callouts(log: DataFrame, write_once: Sequence[str], top: int = 3) -> DataFra
 
 def kpis(log: DataFrame, write_once: Sequence[str] = ()) -> DataFrame:
     """One row: ``entities, events, deleted, resurrected, flagged``."""
-    return _facts(log, write_once).agg(
+    return _kpis(_facts(log, write_once))
+
+
+def _kpis(facts: DataFrame) -> DataFrame:
+    return facts.agg(
         F.count(F.lit(1)).alias("entities"),
         F.count_if(F.col("state") == "deleted").alias("deleted"),
         F.count_if("resurrected").alias("resurrected"),
@@ -356,6 +381,76 @@ def folded(log: DataFrame) -> DataFrame:
     return log.groupBy("entity_id", "field").agg(last).select("e.*")
 
 
+def _summaries(log: DataFrame) -> list[Column]:
+    o = order(log)
+    return [
+        F.min(o).alias("first"),
+        F.count(F.lit(1)).alias("changes"),
+        F.min("value").alias("low"),
+        F.max("value").alias("high"),
+        F.count_if(F.col("value").isNull()).alias("nulls"),
+    ]
+
+
+def summary(log: DataFrame) -> DataFrame:
+    """``SUMMARY`` of a log: what ``states_of``, ``counts_of`` and ``kpis_of`` need, and what ``merged`` adds to."""
+    cells = log.groupBy("entity_id", "field").agg(F.max(order(log)).alias("at"), *_summaries(log))
+    return cells.select("entity_id", "field", "at.timestamp", "at.seq", F.col("first.timestamp").alias("first_timestamp"), F.col("first.seq").alias("first_seq"), "changes", "low", "high", "nulls")
+
+
+def summarised(log: DataFrame) -> DataFrame:
+    """``folded`` with the summary of each cell beside its last event."""
+    last = F.max_by(F.struct(*log.columns), order(log)).alias("e")
+    cells = log.groupBy("entity_id", "field").agg(last, *_summaries(log))
+    return cells.select("e.*", F.col("first.timestamp").alias("first_timestamp"), F.col("first.seq").alias("first_seq"), "changes", "low", "high", "nulls")
+
+
+def merged(summaries: DataFrame, kept: Sequence[str] = ()) -> DataFrame:
+    """One summary a cell from those of parts of a log, with the last event's ``kept`` columns beside it."""
+    last = list(dict.fromkeys([*kept, "timestamp", "seq"]))
+    cells = summaries.groupBy("entity_id", "field").agg(
+        F.max_by(F.struct(*[c for c in last if c not in ("entity_id", "field")]), F.struct("timestamp", "seq")).alias("e"),
+        F.min(F.struct("first_timestamp", "first_seq")).alias("f"),
+        F.sum("changes").alias("changes"),
+        F.min("low").alias("low"),
+        F.max("high").alias("high"),
+        F.sum("nulls").alias("nulls"),
+    )
+    return cells.select("entity_id", "field", "e.*", "f.*", "changes", "low", "high", "nulls")
+
+
+def _facts_of(cells: DataFrame, write_once: Sequence[str] = ()) -> DataFrame:
+    """``_facts`` from summaries."""
+    o = F.struct("timestamp", "seq", is_deletion().alias("last"))
+    first = F.struct(F.col("first_timestamp").alias("timestamp"), F.col("first_seq").alias("seq"), is_deletion().alias("last"))
+    differs = F.coalesce(F.col("low") != F.col("high"), F.lit(False)) | ((F.col("nulls") > 0) & F.col("low").isNotNull())
+    facts = cells.groupBy("entity_id").agg(
+        F.sum("changes").alias("events"),
+        F.coalesce(F.sum(F.when(~is_deletion(), F.col("changes"))), F.lit(0)).alias("changes"),
+        F.min("first_timestamp").alias("seen"),
+        F.max_by("field", o).alias("last_field"),
+        F.min(F.when(is_deletion(), first)).alias("first_deletion"),
+        F.max(F.when(~is_deletion(), o)).alias("last_set"),
+        F.max(F.col("field").isin(*write_once) & differs if write_once else F.lit(False)).alias("flagged"),
+    )
+    return facts.select("entity_id", "events", "changes", "seen", "flagged", *_lifecycle())
+
+
+def states_of(cells: DataFrame) -> DataFrame:
+    """``row_states`` from summaries."""
+    return _facts_of(cells).select("entity_id", "state", "resurrected")
+
+
+def counts_of(cells: DataFrame) -> DataFrame:
+    """``change_counts`` from summaries."""
+    return _facts_of(cells).select("entity_id", F.col("events").alias("changes"), F.col("changes").alias("set_changes"))
+
+
+def kpis_of(cells: DataFrame, write_once: Sequence[str] = ()) -> DataFrame:
+    """``kpis`` from summaries."""
+    return _kpis(_facts_of(cells, write_once))
+
+
 def page_keys(log: DataFrame) -> list[str]:
     """The columns that order events for paging: no two events of a capture share them."""
     return ["timestamp", "entity_id", "field", "snapshot_id" if "snapshot_id" in log.columns else "seq"]

@@ -1,9 +1,12 @@
 """The change log on a file system: immutable Parquet event files under a manifest.
 
-A store is a folder with ``manifest.json``, ``events/<stamp>/`` and, once made, ``checkpoints/<stamp>_<captures>/``.  The manifest is the
-commit point: it is written beside the old one and renamed over it, and readers take only
-the files that it lists, so what a failed capture leaves behind is never read.  One writer at
-a time; a manifest that changed since it was read is not overwritten.
+A store is a folder with ``manifest.json``, ``commits/<number>.json``, ``events/<stamp>/`` and, once
+made, ``checkpoints/<stamp>_<captures>/`` and ``index/<stamp>/``.  Each commit adds one entry, a
+capture or a checkpoint, and is a file that is made only if there is none of its number; that is the
+commit point.  The manifest is what commits fold to, kept up to date for readers that know nothing
+of them; readers here fold what it does not have yet.  What a failed capture leaves behind is never
+read.  Of several writers one gets a number and the others begin their capture anew on what is then
+there, so captures are kept in the order of their commits and none is lost.
 """
 
 from __future__ import annotations
@@ -11,8 +14,10 @@ from __future__ import annotations
 import datetime as dt
 import json
 import uuid
+from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -34,12 +39,24 @@ EVENTS = T.StructType(
 #: Columns of checkpoints: those of events and a capture's place.
 FOLDED = T.StructType([*EVENTS.fields, T.StructField("seq", T.IntegerType())])
 RESERVED = {log.DELETED, "entity_id"}
+#: What checkpoints hold beside a cell's last event: a summary of all its events.
+SUMMED = T.StructType([*FOLDED.fields, *[f for f in log.SUMMARY.fields if f.name not in FOLDED.names]])
+#: File systems on which a rename is one step that fails where the target is there.
+RENAMING = {"hdfs", "viewfs"}
+#: How often a capture begins anew because another writer was first.
+ATTEMPTS = 20
+#: Bits of a Bloom filter for each entity of a file, the bits set for one, and bits of all at most.
+BITS_EACH, PROBES, MOST_BITS = 10, 4, 1 << 28
 
 
 class StoreError(ValueError):
     """A store that is missing, or a snapshot that cannot be captured."""
 
 
+class Conflict(StoreError):
+    """Another writer has made the commit of that number."""
+
+
 def _folds(checkpoint: dict) -> int:
     """How many captures a checkpoint folds.  Its name tells, as the manifest's form has no place for it."""
     return int(checkpoint["file"].split("_")[1])
@@ -55,27 +72,90 @@ class Store:
     # -- manifest --------------------------------------------------------------
 
     def exists(self) -> bool:
-        return self._fs.exists(self._path(f"{self.path}/manifest.json"))
+        return self._there("manifest.json") or self._there(self._commit_file(0))
+
+    def _there(self, name: str) -> bool:
+        return self._fs.exists(self._path(f"{self.path}/{name}"))
+
+    def _read(self, name: str) -> dict:
+        jvm = self.spark.sparkContext._jvm
+        stream = self._fs.open(self._path(f"{self.path}/{name}"))
+        try:
+            return json.loads(bytes(jvm.org.apache.commons.io.IOUtils.toByteArray(stream)))
+        finally:
+            stream.close()
+
+    @staticmethod
+    def _commit_file(number: int) -> str:
+        return f"commits/{number:08d}.json"
 
     def manifest(self) -> dict:
         """What is committed; an empty manifest where there is none yet."""
-        if not self.exists():
-            return {"schema_version": 1, "store_name": self.path.rsplit("/", 1)[-1], "key_column": None, "schema": {}, "events": [], "checkpoints": []}
-        return json.loads(self.spark.read.text(f"{self.path}/manifest.json", wholetext=True).first()[0])
-
-    def _commit(self, manifest: dict, expected: dict) -> None:
-        if self.manifest() != expected:
-            raise StoreError("another writer has changed the store")
-        self._fs.mkdirs(self._path(self.path))
-        new = self._path(f"{self.path}/.manifest-{uuid.uuid4().hex}.json")
-        out = self._fs.create(new, True)
-        out.write(bytearray(json.dumps(manifest, indent=1).encode()))
-        out.close()
-        options = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Options
-        context = self.spark.sparkContext._jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._path(self.path).toUri(), self.spark.sparkContext._jsc.hadoopConfiguration())
-        replace = self.spark.sparkContext._gateway.new_array(options.Rename, 1)
-        replace[0] = options.Rename.OVERWRITE
-        context.rename(new, self._path(f"{self.path}/manifest.json"), replace)
+        found = {"schema_version": 1, "store_name": self.path.rsplit("/", 1)[-1], "key_column": None, "schema": {}, "events": [], "checkpoints": []}
+        if self._there("manifest.json"):
+            found = self._read("manifest.json")
+        # A commit adds one entry, so entries count the commits that are folded in.
+        while self._there(name := self._commit_file(len(found["events"]) + len(found["checkpoints"]))):
+            found = self._folded(found, self._read(name))
+        return found
+
+    @staticmethod
+    def _folded(manifest: dict, commit: dict) -> dict:
+        if "checkpoint" in commit:
+            return {**manifest, "checkpoints": [*manifest["checkpoints"], commit["checkpoint"]]}
+        return {**manifest, "key_column": commit["key_column"], "schema": commit["schema"], "events": [*manifest["events"], commit["event"]]}
+
+    def _commit(self, commit: dict, expected: dict) -> None:
+        """Makes the commit that comes after ``expected``; ``Conflict`` where another writer has made it."""
+        self._claim(self._commit_file(len(expected["events"]) + len(expected["checkpoints"])), commit)
+        # Other readers' manifest: whoever writes last may be behind, and readers here fold on from any.
+        self._replace("manifest.json", self.manifest())
+
+    def _put(self, name: str, content: dict, overwrite: bool) -> None:
+        stream = self._fs.create(self._path(f"{self.path}/{name}"), overwrite)
+        try:
+            stream.write(bytearray(json.dumps(content, indent=1).encode()))
+        finally:
+            stream.close()
+
+    def _aside(self, content: dict) -> str:
+        name = f".staging/{uuid.uuid4().hex}.json"
+        self._put(name, content, True)
+        return name
+
+    def _claim(self, name: str, content: dict) -> None:
+        """Makes a file, whole at once and only if it is not there: a link, a rename or a conditional write, as the file system has it."""
+        jvm = self.spark.sparkContext._jvm
+        self._fs.mkdirs(self._path(f"{self.path}/commits"))
+        scheme = self._fs.getUri().getScheme()
+        try:
+            if scheme == "file":
+                local = [self._fs.makeQualified(self._path(f"{self.path}/{x}")).toUri().getPath() for x in (name, self._aside(content))]
+                target, source = (jvm.java.io.File(x).toPath() for x in local)
+                jvm.java.nio.file.Files.createLink(target, source)
+                jvm.java.nio.file.Files.delete(source)
+            elif scheme in RENAMING:
+                self._rename(self._aside(content), name, overwrite=False)
+            else:
+                self._put(name, content, False)
+        except Py4JJavaError as e:
+            if self._there(name):
+                raise Conflict(f"another writer has made {name}") from e
+            raise
+
+    def _rename(self, old: str, new: str, overwrite: bool) -> None:
+        jvm, sc = self.spark.sparkContext._jvm, self.spark.sparkContext
+        kind = jvm.org.apache.hadoop.fs.Options.Rename
+        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._path(self.path).toUri(), sc._jsc.hadoopConfiguration())
+        how = sc._gateway.new_array(kind, 1)
+        how[0] = kind.OVERWRITE if overwrite else kind.NONE
+        context.rename(self._path(f"{self.path}/{old}"), self._path(f"{self.path}/{new}"), how)
+
+    def _replace(self, name: str, content: dict) -> None:
+        if self._fs.getUri().getScheme() in {"file", *RENAMING}:
+            self._rename(self._aside(content), name, overwrite=True)
+        else:
+            self._put(name, content, True)
 
     # -- reading ---------------------------------------------------------------
 
@@ -83,8 +163,12 @@ class Store:
         """The manifest's entries that can hold events not after ``instant``."""
         if not self.exists():
             raise StoreError(f"no store at {self.path}")
+        return self._files(self.manifest(), instant)
+
+    @staticmethod
+    def _files(manifest: dict, instant: dt.datetime | None) -> list[dict]:
         until = None if instant is None else codec.utc(instant).isoformat()
-        return [{**e, "seq": k} for k, e in enumerate(self.manifest()["events"]) if until is None or e["ts_min"] <= until]
+        return [{**e, "seq": k} for k, e in enumerate(manifest["events"]) if until is None or e["ts_min"] <= until]
 
     def events(self, instant: dt.datetime | None = None) -> DataFrame:
         """The log with ``seq``, a capture's place; files past ``instant`` are not opened."""
@@ -95,11 +179,10 @@ class Store:
         if not files:
             return self.spark.createDataFrame([], FOLDED)
         rows = self.spark.read.schema(EVENTS).parquet(*[f"{self.path}/{e['file']}" for e in files])
-        # One small row a listed capture, by its snapshot and instant.
-        since = dt.datetime(1970, 1, 1, tzinfo=dt.UTC)
-        listed = [(e["snapshot_id"], (dt.datetime.fromisoformat(e["ts_min"]) - since) // dt.timedelta(microseconds=1), e["seq"]) for e in files]
-        places = self.spark.createDataFrame(listed, "snapshot_id string, micros long, seq int")
-        rows = rows.withColumn("micros", F.unix_micros("timestamp")).join(F.broadcast(places), ["snapshot_id", "micros"], "left").select(*EVENTS.names, "seq")
+        # One small row a listed capture, by the folder that its files lie in.
+        places = self.spark.createDataFrame([(e["file"].rpartition("/")[2], e["seq"]) for e in files], "folder string, seq int")
+        folder = F.substring_index(F.substring_index(F.col("_metadata.file_path"), "/", -2), "/", 1)
+        rows = rows.withColumn("folder", folder).join(F.broadcast(places), "folder").select(*EVENTS.names, "seq")
         return rows if instant is None else rows.where(F.col("timestamp") <= F.lit(codec.utc(instant)))
 
     def latest(self, instant: dt.datetime | None = None) -> DataFrame:
@@ -107,13 +190,42 @@ class Store:
 
         A capture made after the checkpoint counts whatever its instant.  Without a checkpoint: all events.
         """
+        return self._latest(self.manifest(), instant)
+
+    def _newest(self, manifest: dict, instant: dt.datetime | None) -> dict | None:
         until = None if instant is None else codec.utc(instant).isoformat()
-        usable = [c for c in self.manifest()["checkpoints"] if until is None or c["as_of"] <= until] if self.exists() else []
-        if not usable:
-            return self.events(instant)
-        newest = max(usable, key=_folds)
+        usable = [c for c in manifest["checkpoints"] if until is None or c["as_of"] <= until]
+        return max(usable, key=_folds, default=None)
+
+    def _latest(self, manifest: dict, instant: dt.datetime | None = None) -> DataFrame:
+        newest, files = self._newest(manifest, instant), self._files(manifest, instant)
+        if newest is None:
+            return self._placed(files, instant)
         base = self.spark.read.schema(FOLDED).parquet(f"{self.path}/{newest['file']}")
-        return base.unionByName(self._placed([e for e in self.files(instant) if e["seq"] >= _folds(newest)], instant))
+        return base.unionByName(self._placed([e for e in files if e["seq"] >= _folds(newest)], instant))
+
+    def summary(self, instant: dt.datetime | None = None) -> DataFrame:
+        """``log.summary`` of all events by ``instant``, from the newest checkpoint and only the events after it."""
+        manifest = self.manifest()
+        newest, files = self._newest(manifest, instant), self._files(manifest, instant)
+        if newest is not None:
+            base = self.spark.read.parquet(f"{self.path}/{newest['file']}")
+            if set(SUMMED.names) <= set(base.columns):  # checkpoints of earlier stores hold last events only
+                later = self._placed([e for e in files if e["seq"] >= _folds(newest)], instant)
+                return log.merged(base.select(*log.SUMMARY.names).unionByName(log.summary(later)))
+        return log.summary(self._placed(files, instant))
+
+    def row_states(self, instant: dt.datetime | None = None) -> DataFrame:
+        """``log.row_states`` from ``summary``."""
+        return log.states_of(self.summary(instant))
+
+    def change_counts(self, instant: dt.datetime | None = None) -> DataFrame:
+        """``log.change_counts`` from ``summary``."""
+        return log.counts_of(self.summary(instant))
+
+    def kpis(self, write_once: Sequence[str] = (), instant: dt.datetime | None = None) -> DataFrame:
+        """``log.kpis`` from ``summary``."""
+        return log.kpis_of(self.summary(instant), write_once)
 
     def fields(self) -> dict[str, str]:
         """Tags of all columns ever seen but the key, in order of appearance; the latest tag of each."""
@@ -153,37 +265,51 @@ class Store:
             raise StoreError(f"no key column {key!r}")
         if RESERVED & set(names) - {key}:
             raise StoreError(f"reserved column names: {sorted(RESERVED & set(names))}")
+        if idempotency not in ("any", "latest"):
+            raise StoreError(f"idempotency is 'any' or 'latest', not {idempotency!r}")
+        stamp = codec.utc(captured_at or dt.datetime.now(dt.UTC))
+        tags = {f.name: codec.tag(f.dataType) for f in snapshot.schema.fields}
+        scratch = Scratch(self.spark, "capture")
+        try:
+            text = scratch.keep(snapshot.select(*[codec.encoded(F.col(f"`{f.name}`"), f.dataType).alias(f.name) for f in snapshot.schema.fields]), "snapshot")
+            own = F.col(f"`{key}`")
+            bad = text.groupBy(own.alias("key")).agg(F.count(F.lit(1)).alias("n")).where("n > 1 OR key IS NULL").limit(10).collect()
+            if bad:
+                kind = "null" if any(r[0] is None for r in bad) else "duplicate"
+                raise StoreError(f"{kind} keys: {[r[0] for r in bad]}")
+            snapshot_id = codec.snapshot_digest(text, key)
+            for _ in range(ATTEMPTS):
+                try:
+                    return self._captured(text, key, tags, stamp, snapshot_id, idempotency, allow_out_of_order, strict_resurrection)
+                except Conflict:
+                    continue
+            raise StoreError(f"other writers were first {ATTEMPTS} times")
+        finally:
+            scratch.clear()
+
+    def _captured(self, text: DataFrame, key: str, tags: dict, stamp: dt.datetime, snapshot_id: str, idempotency: str, allow_out_of_order: bool, strict_resurrection: bool) -> dict:
+        """One attempt of ``capture``: what a snapshot's ``text`` changes of what is committed now; ``Conflict`` if that changes."""
         old = self.manifest()
         if old["key_column"] not in (None, key):
             raise StoreError(f"the store's key is {old['key_column']!r}")
-        scratch = Scratch(self.spark, "capture")
-        tags = {f.name: codec.tag(f.dataType) for f in snapshot.schema.fields}
-        text = scratch.keep(snapshot.select(*[codec.encoded(F.col(f"`{f.name}`"), f.dataType).alias(f.name) for f in snapshot.schema.fields]), "snapshot")
-        bad = text.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n").__gt__(1) | F.col(f"`{key}`").isNull()).limit(10).collect()
-        if bad:
-            kind = "null" if any(r[0] is None for r in bad) else "duplicate"
-            raise StoreError(f"{kind} keys: {[r[0] for r in bad]}")
-        stamp = codec.utc(captured_at or dt.datetime.now(dt.UTC))
-        snapshot_id = codec.snapshot_digest(text, key)
-        columns = [c for c in names if c != key]
+        columns = [c for c in text.columns if c != key]
         seen = [c for c in old["schema"] if c != key]
         drift = bool(seen) and set(seen) != set(columns)
-        if idempotency not in ("any", "latest"):
-            raise StoreError(f"idempotency is 'any' or 'latest', not {idempotency!r}")
         if not allow_out_of_order and any(stamp.isoformat() < e["ts_max"] for e in old["events"]):
             raise StoreError(f"the store has events after {stamp.isoformat()}")
+        noop = {"events_added": 0, "snapshot_id": snapshot_id, "file": None, "noop": True}
         known = old["events"] if idempotency == "any" else old["events"][-1:]
         if not drift and any(e["snapshot_id"] == snapshot_id for e in known):
-            return {"events_added": 0, "snapshot_id": snapshot_id, "file": None, "noop": True}
+            return noop
 
-        prior = log.mirror_view(self.latest() if old["events"] else self.spark.createDataFrame([], FOLDED), seen).withColumnRenamed("entity_id", key)
+        prior = log.mirror_view(self._latest(old) if old["events"] else self.spark.createDataFrame([], FOLDED), seen).withColumnRenamed("entity_id", key)
         shared = [c for c in seen if c in columns]
-        events = diff.diff_events(prior.select(key, *[F.col(f"`{c}`") for c in shared]), text, key)
+        events = diff.diff_events(prior.select(*[F.col(f"`{c}`") for c in (key, *shared)]), text, key)
         dropped = [c for c in seen if c not in columns]
         if dropped:
             events = events.unionByName(diff.tombstones(prior, key, dropped))
         if strict_resurrection and seen:
-            gone = log.mirror_view(self.latest(), seen, deleted=True).withColumnRenamed("entity_id", key)
+            gone = log.mirror_view(self._latest(old), seen, deleted=True).withColumnRenamed("entity_id", key)
             events = events.unionByName(diff.returned_nulls(gone, text, key))
         all_tags = {**old["schema"], **tags}
         of = F.create_map(*[F.lit(x) for pair in all_tags.items() for x in pair])
@@ -192,10 +318,14 @@ class Store:
         place = f"events/{stamp.strftime('%Y%m%dT%H%M%S%fZ')}_{uuid.uuid4().hex[:8]}"
         count = self._publish(rows, place)
         if not count:
-            return {"events_added": 0, "snapshot_id": snapshot_id, "file": None, "noop": True}
+            return noop
         iso = stamp.isoformat()
         entry = {"file": place, "snapshot_id": snapshot_id, "ts_min": iso, "ts_max": iso, "row_count": count}
-        self._commit({**old, "key_column": key, "schema": all_tags, "events": [*old["events"], entry]}, old)
+        try:
+            self._commit({"event": entry, "key_column": key, "schema": all_tags}, old)
+        except Conflict:
+            self._fs.delete(self._path(f"{self.path}/{place}"), True)
+            raise
         return {"events_added": count, "snapshot_id": snapshot_id, "file": place, "noop": False}
 
     def _publish(self, rows: DataFrame, place: str) -> int:
@@ -217,17 +347,35 @@ class Store:
     def checkpoint(self) -> dict | None:
         """Folds all committed events, from the last checkpoint on, into a new one; its entry in the manifest.
 
-        Captures and views then read it and later events only.  Timelines, states and counts go on
-        reading all events, which stay.  ``None`` where nothing came since the last checkpoint.
+        It holds each cell's last event, which captures and views read with later events only, and a
+        summary of all its events, from which ``row_states``, ``change_counts`` and ``kpis`` go on in
+        the same way.  Timelines go on reading events, which all stay.  ``None`` where nothing came
+        since the last checkpoint.
         """
-        old = self.manifest()
-        done = len(old["events"])
-        if done == max(map(_folds, old["checkpoints"]), default=0):
-            return None
-        as_of = max(e["ts_max"] for e in old["events"])
-        stamp = dt.datetime.fromisoformat(as_of).strftime("%Y%m%dT%H%M%S%fZ")
-        place = f"checkpoints/{stamp}_{done:06d}_{uuid.uuid4().hex[:8]}"
-        self._publish(log.folded(self.latest()), place)
-        entry = {"file": place, "as_of": as_of}
-        self._commit({**old, "checkpoints": [*old["checkpoints"], entry]}, old)
-        return entry
+        for _ in range(ATTEMPTS):
+            old = self.manifest()
+            done = len(old["events"])
+            if done == max(map(_folds, old["checkpoints"]), default=0):
+                return None
+            as_of = max(e["ts_max"] for e in old["events"])
+            stamp = dt.datetime.fromisoformat(as_of).strftime("%Y%m%dT%H%M%S%fZ")
+            place = f"checkpoints/{stamp}_{done:06d}_{uuid.uuid4().hex[:8]}"
+            self._publish(self._summed(old), place)
+            entry = {"file": place, "as_of": as_of}
+            try:
+                self._commit({"checkpoint": entry}, old)
+                return entry
+            except Conflict:
+                self._fs.delete(self._path(f"{self.path}/{place}"), True)
+        raise StoreError(f"other writers were first {ATTEMPTS} times")
+
+    def _summed(self, manifest: dict) -> DataFrame:
+        """``SUMMED``: the last event and the summary of every cell, from the last checkpoint on."""
+        newest, files = self._newest(manifest, None), self._files(manifest, None)
+        base = None if newest is None else self.spark.read.parquet(f"{self.path}/{newest['file']}")
+        if base is None or not set(SUMMED.names) <= set(base.columns):
+            rows = log.summarised(self._placed(files, None))
+        else:
+            later = self._placed([e for e in files if e["seq"] >= _folds(newest)], None)
+            rows = log.merged(base.select(*SUMMED.names).unionByName(log.summarised(later)), EVENTS.names)
+        return rows.select(*SUMMED.names)
