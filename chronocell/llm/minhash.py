@@ -61,6 +61,9 @@ LIKELIEST = 8
 PAIRS_A_MEMBER = 4
 #: The same where hubs no longer help.  Longer bands would make a row of each member for every band, and that is so many.
 LOOKS_A_MEMBER = 256
+#: Members of a bucket up to which that is done at all, and of a part of a bucket: two parts meet in a task.
+LARGEST_BUCKET = 1_000_000
+BUCKET_PART = 4096
 
 #: Bands, rows and bits of the longer signatures for pairs that are left.
 FINE_BANDS, FINE_ROWS, FINE_BITS = 256, 8, 2
@@ -274,8 +277,8 @@ def near_duplicates(
         parts = placed.groupBy("key", "component").agg(F.count(F.lit(1)).alias("size"))
         main = parts.groupBy("key").agg(F.max_by("component", F.struct("size", "component")).alias("main"), F.sum("size").alias("size"), F.max("size").alias("inside"), F.count(F.lit(1)).alias("parts"))
         main = scratch.keep(main.where("parts > 1"), "main")
-        open_members = scratch.keep(placed.join(main.select("key", "main"), "key"), "open-members")
-        cost, outside = main.agg(F.sum(F.col("size") * (F.col("size") - F.col("inside"))), F.sum(F.col("size") - F.col("inside"))).first()
+        open_members = scratch.keep(placed.join(main.select("key", "main", F.ceil(F.col("size") / BUCKET_PART).cast("int").alias("parts")), "key"), "open-members")
+        cost, outside, largest = main.agg(F.sum(F.col("size") * (F.col("size") - F.col("inside"))), F.sum(F.col("size") - F.col("inside")), F.max("size")).first()
         # A bucket that has become one component stays one.
         scratch.drop(main, members)
         members = open_members.select("key", "id")
@@ -297,7 +300,7 @@ def near_duplicates(
         labels = connected_components(all_of(links), scratch)
 
     if cost:
-        rest = _rest(open_members, reps, texts_of, tried, scratch, hasher, words, threshold, least, cost <= LOOKS_A_MEMBER * total)
+        rest = _rest(open_members, reps, texts_of, tried, scratch, hasher, words, threshold, least, cost <= LOOKS_A_MEMBER * total and largest <= LARGEST_BUCKET)
         if not rest.isEmpty():
             links.append(confirmed(rest, "rest"))
             scratch.drop(labels)
@@ -317,8 +320,9 @@ def near_duplicates(
 def _rest(open_members: DataFrame, reps: DataFrame, texts_of, tried: list[DataFrame], scratch: Scratch, hasher: MinHasher, words: int, threshold: float, least: float, few: bool) -> DataFrame:
     """Pairs ``a, b`` of ``open_members`` in different components that longer signatures do not rule out.
 
-    With ``few`` all pairs of a bucket meet, each in the first band that it shares; else those that
-    share a longer band, wherever they are.  An id of several texts has no one signature, so its
+    With ``few`` all pairs of a bucket meet, each in the first band that it shares: a bucket is dealt
+    to parts on both sides, and each part of one side meets each of the other in a task of its own.
+    Else those meet that share a longer band, wherever they are.  An id of several texts has no one signature, so its
     pairs are not ruled out here.
     """
     percent = round(threshold * 100)
@@ -329,7 +333,7 @@ def _rest(open_members: DataFrame, reps: DataFrame, texts_of, tried: list[DataFr
     sketch = reps.join(one, F.col("id") == F.col("doc_id")).select("id", "n", "planes", "fine", *(["keys"] if few else []))
 
     def named(rows: DataFrame, end: str, *also: str) -> DataFrame:
-        return rows.select(*also, *[F.col(c).alias(c + end) for c in rows.columns if c not in ("key", "main", *also)])
+        return rows.select(*also, *[F.col(c).alias(c + end) for c in rows.columns if c not in ("key", "main", "parts", *also)])
 
     fits = F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent
     alike = (estimated_similarity("planesa", "planesb", hasher.k, hasher.bits) >= least) & F.coalesce(
@@ -337,10 +341,12 @@ def _rest(open_members: DataFrame, reps: DataFrame, texts_of, tried: list[DataFr
     )
     if few:
         side = open_members.join(sketch, "id")
-        small, other = named(side.where("component <> main"), "a", "key", "main"), named(side, "b", "key")
+        part, every = F.pmod(F.xxhash64("id", F.lit("part")), F.col("parts")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+        small = named(side.where("component <> main").withColumn("i", part).withColumn("j", every), "a", "key", "i", "j", "main")
+        other = named(side.withColumn("j", part).withColumn("i", every), "b", "key", "i", "j")
         apart = (F.col("componenta") != F.col("componentb")) & ((F.col("componentb") == F.col("main")) | (F.col("ida") < F.col("idb")))
         first_shared = F.expr("array_position(zip_with(keysa, keysb, (x, y) -> x = y), true) = array_position(keysa, key)")
-        pairs = small.join(other, "key").where(apart & fits & alike & first_shared).select(F.least("ida", "idb").alias("a"), F.greatest("ida", "idb").alias("b"))
+        pairs = small.join(other, ["key", "i", "j"]).where(apart & fits & alike & first_shared).select(F.least("ida", "idb").alias("a"), F.greatest("ida", "idb").alias("b"))
     else:
         member = open_members.groupBy("id", "component").agg(F.bool_or(F.col("component") != F.col("main")).alias("outside"))
         side = fine.withColumnRenamed("doc_id", "id").join(member, "id")

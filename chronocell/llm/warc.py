@@ -261,13 +261,16 @@ def archive_round_trip(pages: DataFrame, least: int = 1000, archive_bytes: int =
     digest is lower-case hex.  A null html is an empty payload, a null url has no target
     URI, a null id stays null.  Rows that repeat the largest id of equal payloads are each a
     response.  Other columns are ignored; an empty table gives an empty result.  An archive that
-    cannot be read to its end fails the query, as pages would be missing.
+    cannot be read to its end fails the query, as pages would be missing, and so does a record
+    whose block or payload is not what its digest says.  A response's ``payload_digest`` is that of
+    the payload as read; a revisit has none, so its is the header's.
     """
     scratch = Scratch(pages.sparkSession, "warc")
     archives = scratch.keep(write_archives(with_revisits(pages, scratch, least), archive_bytes), "archives")
     found = read_archives(archives)
-    broken = F.concat(F.lit("archive "), F.col("archive"), F.lit(": "), F.col("error"))
-    found = found.where(F.when(F.col("error").isNotNull(), F.raise_error(broken).cast("boolean")).otherwise(F.lit(True)))
+    fault = F.coalesce(F.col("error"), F.when(~F.col("block_ok"), "a block does not fit its digest"), F.when(~F.col("payload_ok"), "a payload does not fit its digest"))
+    broken = F.concat(F.lit("archive "), F.col("archive"), F.lit(": "), fault)
+    found = found.where(F.when(fault.isNotNull(), F.raise_error(broken).cast("boolean")).otherwise(F.lit(True)))
 
     def number(c: str):
         return F.regexp_extract(F.col(c), r"^<urn:page:(-?\d+)>$", 1).try_cast("long")
@@ -276,7 +279,7 @@ def archive_round_trip(pages: DataFrame, least: int = 1000, archive_bytes: int =
     return found.select(
         number("record_id").alias("page_id"),
         F.col("payload_length").alias("payload_bytes"),
-        _base32_hex(digest).alias("payload_digest"),
+        F.when(F.col("record_type") == "response", F.sha1("payload")).otherwise(_base32_hex(digest)).alias("payload_digest"),
         "record_type",
         number("refers_to").alias("refers_to"),
         "uri",

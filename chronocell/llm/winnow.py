@@ -22,6 +22,8 @@ SEPARATOR = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Bytes of the fingerprint table up to which each executor gets a copy of it.
 BROADCAST_BYTES = 64 << 20
+#: Places in items that one row of a fingerprint lists where it is shuffled; one that is more frequent has more rows.
+PLACES_A_ROW = 64
 
 
 def ascii_lower(text: Column) -> Column:
@@ -169,13 +171,19 @@ def contamination(
         item_key = F.md5(F.concat_ws("/", F.col("item_id").isNull().cast("string"), F.col("item_id").cast("string"), F.array_join("item_words", " ")).cast("binary"))
         right = right.withColumn("item_key", item_key)
         words_of = right.select("item_key", "item_id", "item_words").dropDuplicates(["item_key"])
+        # A fingerprint is one row to the documents, however many items have it: their places follow in rows of bounded length.
+        known = right.groupBy("h", "length").agg(F.ceil(F.count(F.lit(1)) / PLACES_A_ROW).cast("int").alias("rows"))
+        in_items = right.join(known, ["h", "length"]).withColumn("row", F.pmod(F.xxhash64("item_key", "ipos"), F.col("rows")).cast("int"))
+        in_items = in_items.groupBy("h", "length", "row").agg(F.collect_list(F.struct("ipos", "item_key")).alias("in_items"))
         narrow = _document_prints(keyed.withColumn("words", word_list(F.col("text"))).drop("text"), window, k, short_lengths)
-        places = narrow.select("doc_id", "text_key", "h", "length", "pos").join(right.drop("item_id", "item_words"), ["h", "length"])
+        places = narrow.select("doc_id", "text_key", "h", "length", "pos").join(known, ["h", "length"])
         places = scratch.keep(places, "places")
         same = (F.col("d.text_key") == F.col("p.text_key")) & F.col("d.doc_id").eqNullSafe(F.col("p.doc_id"))
         hit = keyed.alias("d").join(places.select("doc_id", "text_key").distinct().alias("p"), same, "left_semi")
         hit = hit.dropDuplicates(["doc_id", "text_key"]).withColumn("words", word_list(F.col("text")))
-        found = hit.alias("d").join(places.alias("p"), same).select("d.doc_id", "d.text", "d.words", "p.pos", "p.ipos", "p.item_key").join(words_of, "item_key")
+        met = places.withColumn("row", F.explode(F.sequence(F.lit(0), F.col("rows") - 1))).join(in_items, ["h", "length", "row"])
+        met = scratch.keep(met.select("doc_id", "text_key", "pos", F.inline("in_items").alias("ipos", "item_key")), "met")
+        found = hit.alias("d").join(met.alias("p"), same).select("d.doc_id", "d.text", "d.words", "p.pos", "p.ipos", "p.item_key").join(words_of, "item_key")
     spans = _extended(found, window)
     spans = spans.select("doc_id", F.md5(F.col("text").cast("binary")).alias("text_key"), "start", "end", "item_id").distinct()
     hits = spans.groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("start", "end")).alias("spans"), F.collect_set(F.struct("item_id")).alias("items"))

@@ -82,7 +82,9 @@ def test_hubs_and_all_pairs_agree(spark, monkeypatch):
         rows.append((i, " ".join(text)))
     want = brute(rows)
     df = spark.createDataFrame(rows, SCHEMA)
-    for pairs, looks in ((0, 0), (0, 10**6), (10**6, 10**6)):
+    for pairs, looks, part, largest in ((0, 0, 9, 10**6), (0, 10**6, 7, 10**6), (10**6, 10**6, 10**6, 10**6), (10**6, 10**6, 7, 5)):
+        monkeypatch.setattr("chronocell.llm.minhash.BUCKET_PART", part)
+        monkeypatch.setattr("chronocell.llm.minhash.LARGEST_BUCKET", largest)
         monkeypatch.setattr("chronocell.llm.minhash.PAIRS_A_MEMBER", pairs)
         monkeypatch.setattr("chronocell.llm.minhash.LOOKS_A_MEMBER", looks)
         assert {tuple(r) for r in near_duplicates(df).collect()} == want
@@ -104,6 +106,11 @@ def test_unlike_texts_that_share_bands(spark, monkeypatch):
     monkeypatch.setattr("chronocell.llm.minhash.PAIRS_A_MEMBER", 0)
     monkeypatch.setattr("chronocell.llm.minhash.LOOKS_A_MEMBER", 0)
     assert {tuple(r) for r in near_duplicates(df).collect()} == want
+    # The one bucket in parts that meet in tasks of their own.
+    with monkeypatch.context() as m:
+        m.setattr("chronocell.llm.minhash.LOOKS_A_MEMBER", 10**6)
+        m.setattr("chronocell.llm.minhash.BUCKET_PART", 8)
+        assert {tuple(r) for r in near_duplicates(df).collect()} == want
     # An id of two texts links what either is near to.
     got = {r["doc_id"]: r["component_id"] for r in near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()}
     assert got[1] == got[50] == got[200]

@@ -2,6 +2,7 @@ import base64
 import gzip
 import hashlib
 import random
+import re
 from collections import defaultdict
 
 import pytest
@@ -79,3 +80,22 @@ def test_an_archive_that_breaks_off_fails(spark, monkeypatch):
     df = spark.createDataFrame([(1, "u", "x", "")], SCHEMA)
     with pytest.raises(Exception, match="archive a: the member ends early"):
         archive_round_trip(df).select("page_id").collect()
+
+
+def test_a_record_that_was_tampered_with_fails(spark, monkeypatch):
+    def archives(change):
+        record = gzip.decompress(page_record(1, "u", b"a page of its own", None))
+        return spark.createDataFrame([("a", gzip.compress(change(record)))], "archive string, content binary")
+
+    df = spark.createDataFrame([(1, "u", "x", "")], SCHEMA)
+    other = base64.b32encode(hashlib.sha1(b"other").digest())
+    cases = {
+        "a block does not fit": lambda r: r.replace(b"a page of its own", b"a page of his own"),
+        "a payload does not fit": lambda r: re.sub(rb"(?i)(warc-payload-digest: sha1:)\w+", lambda m: m[1] + other, r),
+    }
+    for fault, change in cases.items():
+        monkeypatch.setattr(warc, "write_archives", lambda pages, archive_bytes, change=change: archives(change))
+        with pytest.raises(Exception, match=f"archive a: {fault} its digest"):
+            archive_round_trip(df).select("payload_digest").collect()
+    monkeypatch.setattr(warc, "write_archives", lambda pages, archive_bytes: archives(lambda r: r))
+    assert archive_round_trip(df).first()["payload_digest"] == hashlib.sha1(b"a page of its own").hexdigest()

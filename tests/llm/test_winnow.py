@@ -3,6 +3,7 @@ import re
 
 import pytest
 
+from chronocell.llm import winnow
 from chronocell.llm.winnow import contamination
 
 DOCS, ITEMS = "doc_id long, text string, words string, h int", "item_id long, text string"
@@ -60,6 +61,19 @@ def test_equal_to_brute_force(spark, limit):
         assert r["n_hit"] == len(set().union(*[range(s["start"], s["end"]) for s in r["spans"]], set()))
 
 
+def test_fingerprint_of_many_items_and_documents(spark, monkeypatch):
+    """A passage that most items and documents have: its places in items come in rows of bounded length."""
+    passage = " ".join(f"p{k}" for k in range(14))
+    docs = [(i, f"d{i} " + passage + f" e{i}", "x", 0) for i in range(60)] + [(100, "clean text " * 20, "x", 0)]
+    items = [(f"i{j}", f"j{j} " + passage) for j in range(25)]
+    docs, items = spark.createDataFrame(docs, "doc_id long, text string, h string, pos int"), spark.createDataFrame(items, "item_id string, text string")
+    want = sorted((r["doc_id"], r["n_hit"], sorted(r["items"])) for r in contamination(docs, items).collect())
+    assert want[0] == (0, 14, sorted(f"i{j}" for j in range(25))) and want[-1] == (100, 0, [])
+    for n in (1, 4, 64):
+        monkeypatch.setattr(winnow, "PLACES_A_ROW", n)
+        assert sorted((r["doc_id"], r["n_hit"], sorted(r["items"])) for r in contamination(docs, items, broadcast_bytes=0).collect()) == want
+
+
 def test_empty_tables(spark):
     docs, items = spark.createDataFrame([], DOCS), spark.createDataFrame([], ITEMS)
     assert contamination(docs, items).count() == 0
