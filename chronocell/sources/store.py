@@ -62,6 +62,11 @@ def _folds(checkpoint: dict) -> int:
     return int(checkpoint["file"].split("_")[1])
 
 
+def _bit(entity_id: Column, k: int, bits: int) -> Column:
+    """The bit that probe ``k`` sets for an entity."""
+    return F.pmod(F.xxhash64(entity_id, F.lit(k)), F.lit(bits))
+
+
 class Store:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
@@ -174,11 +179,12 @@ class Store:
         """The log with ``seq``, a capture's place; files past ``instant`` are not opened."""
         return self._placed(self.files(instant), instant)
 
-    def _placed(self, files: list[dict], instant: dt.datetime | None) -> DataFrame:
-        """The events of some entries of the manifest, each with its capture's place."""
-        if not files:
+    def _placed(self, files: list[dict], instant: dt.datetime | None, paths: list[str] | None = None) -> DataFrame:
+        """The events of some entries of the manifest, or of some of their part files, each with its capture's place."""
+        paths = [e["file"] for e in files] if paths is None else paths
+        if not paths:
             return self.spark.createDataFrame([], FOLDED)
-        rows = self.spark.read.schema(EVENTS).parquet(*[f"{self.path}/{e['file']}" for e in files])
+        rows = self.spark.read.schema(EVENTS).parquet(*[f"{self.path}/{p}" for p in paths])
         # One small row a listed capture, by the folder that its files lie in.
         places = self.spark.createDataFrame([(e["file"].rpartition("/")[2], e["seq"]) for e in files], "folder string, seq int")
         folder = F.substring_index(F.substring_index(F.col("_metadata.file_path"), "/", -2), "/", 1)
@@ -227,6 +233,79 @@ class Store:
         """``log.kpis`` from ``summary``."""
         return log.kpis_of(self.summary(instant), write_once)
 
+    # -- looking entities up ---------------------------------------------------
+
+    def _index_runs(self) -> list[str]:
+        """The finished runs of ``index``, each named by a number and the bits of its filters."""
+        if not self._there("index"):
+            return []
+        return sorted(f.getPath().getName() for f in self._fs.listStatus(self._path(f"{self.path}/index")))
+
+    def index(self) -> int:
+        """Indexes the captures that no run has indexed yet; how many those are.
+
+        For each event file there is the span of its entities and a Bloom filter of them, as the words of its
+        bits that are not zero, in order of the words: a lookup reads the few row groups that hold its own.
+        All filters of a run have as many bits as its largest file needs.
+        """
+        done = {r["folder"] for r in self._zones().select("folder").distinct().collect()} if self._index_runs() else set()
+        todo = [e["file"] for e in self.manifest()["events"] if e["file"].rpartition("/")[2] not in done]
+        if not todo:
+            return 0
+        scratch = Scratch(self.spark, "index")
+        try:
+            place = F.substring_index(F.col("_metadata.file_path"), "/", -2)
+            ids = self.spark.read.schema(EVENTS).parquet(*[f"{self.path}/{p}" for p in todo]).select(place.alias("file"), "entity_id").where("entity_id IS NOT NULL")
+            ids = scratch.keep(ids.distinct(), "ids")
+            zones = ids.groupBy("file").agg(F.min("entity_id").alias("low"), F.max("entity_id").alias("high"), F.count(F.lit(1)).alias("ids"))
+            zones = zones.select(F.substring_index("file", "/", 1).alias("folder"), "file", "low", "high", "ids")
+            most = zones.agg(F.max("ids")).first()[0] or 1
+            bits = min(MOST_BITS, 1 << max(6, (BITS_EACH * most - 1).bit_length()))
+            own = ids.select("file", F.explode(F.array(*[_bit(F.col("entity_id"), k, bits) for k in range(PROBES)])).alias("bit"))
+            words = own.groupBy((F.expr("bit div 64")).alias("word"), "file").agg(F.bit_or(F.expr("shiftleft(1L, cast(bit % 64 as int))")).alias("set"))
+            aside = f"{self.path}/.staging/{uuid.uuid4().hex}"
+            # One file for the captures' zones, and words in order.
+            zones.coalesce(1).write.parquet(f"{aside}/zones")
+            words.orderBy("word").write.parquet(f"{aside}/words")
+            self._fs.mkdirs(self._path(f"{self.path}/index"))
+            self._fs.rename(self._path(aside), self._path(f"{self.path}/index/{uuid.uuid4().hex[:8]}_{bits}"))
+        finally:
+            scratch.clear()
+        return len(todo)
+
+    def _zones(self) -> DataFrame:
+        return self.spark.read.schema("folder string, file string, low string, high string, ids long").parquet(*[f"{self.path}/index/{r}/zones" for r in self._index_runs()])
+
+    def paths_of(self, entity_ids: Sequence[str], instant: dt.datetime | None = None) -> list[str]:
+        """The part files, and the captures that no index knows, that may hold events of some entities by ``instant``."""
+        files, runs = self.files(instant), self._index_runs()
+        if not runs:
+            return [e["file"] for e in files]
+        known = {r["folder"] for r in self._zones().select("folder").distinct().collect()}
+        wanted = self.spark.createDataFrame([(i,) for i in dict.fromkeys(entity_ids)], "entity_id string")
+        found: set[str] = set()
+        for run in runs:
+            bits = int(run.rpartition("_")[2])
+            asked = wanted.select("entity_id", F.explode(F.array_distinct(F.array(*[_bit(F.col("entity_id"), k, bits) for k in range(PROBES)]))).alias("bit"))
+            asked = asked.withColumn("word", F.expr("bit div 64")).withColumn("mask", F.expr("shiftleft(1L, cast(bit % 64 as int))"))
+            probes = asked.groupBy("entity_id", "word").agg(F.bit_or("mask").alias("mask"))
+            probes = [tuple(r) for r in probes.collect()]  # at most ``PROBES`` for each of the ids that were given
+            words = self.spark.read.schema("word long, file string, set long").parquet(f"{self.path}/index/{run}/words").where(F.col("word").isin([w for _, w, _ in probes]))
+            probed = self.spark.createDataFrame(probes, "entity_id string, word long, mask long")
+            need = probed.groupBy("entity_id").agg(F.count(F.lit(1)).alias("need"))
+            hits = words.join(F.broadcast(probed), "word").where(F.col("set").bitwiseAND(F.col("mask")) == F.col("mask"))
+            hits = hits.groupBy("entity_id", "file").agg(F.count(F.lit(1)).alias("n")).join(F.broadcast(need), "entity_id").where("n = need")
+            zones = self.spark.read.parquet(f"{self.path}/index/{run}/zones").select("file", "low", "high")
+            inside = hits.join(zones, "file").where("entity_id BETWEEN low AND high")
+            found |= {r["file"] for r in inside.select("file").distinct().collect()}
+        live = {e["file"].rpartition("/")[2] for e in files}
+        return [e["file"] for e in files if e["file"].rpartition("/")[2] not in known] + [f"events/{f}" for f in sorted(found) if f.partition("/")[0] in live]
+
+    def events_of(self, entity_ids: Sequence[str], instant: dt.datetime | None = None) -> DataFrame:
+        """``events`` of some entities; only files that may hold them are opened."""
+        rows = self._placed(self.files(instant), instant, self.paths_of(entity_ids, instant))
+        return log.of_entities(rows, entity_ids)
+
     def fields(self) -> dict[str, str]:
         """Tags of all columns ever seen but the key, in order of appearance; the latest tag of each."""
         m = self.manifest()
