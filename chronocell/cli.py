@@ -52,10 +52,17 @@ def _say(found: dict, as_json: bool) -> None:
     print(json.dumps(found, default=str) if as_json else "\n".join(f"{k}={v}" for k, v in found.items()))
 
 
+#: Rows of a table of text; JSON has all.
+SHOWN = 1000
+
+
 def _show(view: DataFrame, as_json: bool) -> None:
-    """JSON gives an array of every row; text is Spark's table of the first 1000."""
+    """JSON gives an array of every row; text is Spark's table of the first ``SHOWN``, and says so where there are more."""
     if not as_json:
-        view.show(1000, truncate=False)
+        view.show(SHOWN, truncate=False)
+        if view.offset(SHOWN).isEmpty():
+            return
+        print(f"the first {SHOWN} of {view.count()} rows; --json has all")
         return
     sys.stdout.write("[")
     for k, line in enumerate(exports.json_lines(view)):

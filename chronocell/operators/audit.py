@@ -6,8 +6,10 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from chronocell.operators import log as L
+from chronocell.sources.scratch import Scratch
 
 
 def audit_view(log: DataFrame, fields: Sequence[str], write_once: Sequence[str] = (), instant: Column | None = None) -> DataFrame:
@@ -64,14 +66,51 @@ def next_sort(state: tuple[str, str] | None, column: str) -> tuple[str, str] | N
 
 def sorted_rows(rows: DataFrame, state: tuple[str, str] | None, natural: Sequence[str]) -> DataFrame:
     """``rows`` by the typed values of a column, nulls last either way, ties and no sort in ``natural`` order."""
-    if state is None:
-        return rows.orderBy(*natural)
-    c = F.col(f"`{state[0]}`")
-    return rows.orderBy(c.asc_nulls_last() if state[1] == "asc" else c.desc_nulls_last(), *natural)
+    return rows.orderBy(*_order(state, natural))
+
+
+def _order(state: tuple[str, str] | None, natural: Sequence[str]) -> list[Column]:
+    own = [] if state is None else [F.col(f"`{state[0]}`").asc_nulls_last() if state[1] == "asc" else F.col(f"`{state[0]}`").desc_nulls_last()]
+    return own + [F.col(f"`{c}`") for c in natural]
+
+
+class SortedRows:
+    """Sorted rows of which slices anywhere are read from the parts that they lie in.
+
+    The rows are written once, dealt to parts by ranges of the order; what a part holds is counted, so the part
+    of any place is known.  ``natural`` should tell all rows apart: rows that it does not are one part.
+    """
+
+    def __init__(self, rows: DataFrame, state: tuple[str, str] | None, natural: Sequence[str], parts: int = 200):
+        scratch = Scratch(rows.sparkSession, "sorted")
+        self._order, columns = _order(state, natural), rows.columns
+        self._part = "part" if "part" not in {c.lower() for c in columns} else next(f"part_{k}" for k in range(len(columns) + 1) if f"part_{k}" not in {c.lower() for c in columns})
+        self._columns, where = columns, scratch.folder("rows")
+        dealt = rows.repartitionByRange(parts, *self._order).withColumn(self._part, F.spark_partition_id())
+        dealt.write.partitionBy(self._part).parquet(where)
+        self._rows = rows.sparkSession.read.schema(T.StructType([*rows.schema.fields, T.StructField(self._part, T.IntegerType())])).parquet(where)
+        # At most a number for each of ``parts``.
+        self._counts = sorted(tuple(r) for r in self._rows.groupBy(self._part).agg(F.count(F.lit(1))).collect())
+
+    def parts_of(self, first: int, n: int) -> tuple[list[int], int]:
+        """The parts that places ``first`` to ``first + n - 1`` lie in, and the place that they begin at."""
+        met, at, begins = [], 0, 0
+        for part, count in self._counts:
+            if at < first + n and at + count > first:
+                begins = begins if met else at
+                met.append(part)
+            at += count
+        return met, begins
+
+    def slice(self, first: int, n: int) -> DataFrame:
+        """``slice_rows`` of the sorted rows."""
+        met, begins = self.parts_of(first, n)
+        own = self._rows.where(F.col(self._part).isin(met)).select(*[F.col(f"`{c}`") for c in self._columns])
+        return own.orderBy(*self._order).offset(max(first - begins, 0)).limit(n)
 
 
 def slice_rows(rows: DataFrame, first: int, n: int) -> DataFrame:
-    """``n`` rows from place ``first`` (from 0) of sorted ``rows``."""
+    """``n`` rows from place ``first`` (from 0) of sorted ``rows``; deep in many rows see ``SortedRows``."""
     return rows.offset(first).limit(n)
 
 

@@ -91,6 +91,14 @@ def sorted_slice_desc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.where("place >= 20")
 
 
+@query("SELECT l_orderkey, l_linenumber, l_extendedprice FROM lineitem ORDER BY l_extendedprice DESC NULLS LAST, l_orderkey, l_linenumber, l_partkey LIMIT 500 OFFSET (SELECT count(*) * 3 // 5 FROM lineitem)")
+def sorted_slice_deep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A slice deep in a sort, from the parts that it lies in."""
+    rows = table(spark, sf_dir, "lineitem")
+    ordered = audit.SortedRows(rows.select("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice"), ("l_extendedprice", "desc"), ["l_orderkey", "l_linenumber", "l_partkey"], 50)
+    return ordered.slice(rows.count() * 3 // 5, 500).select("l_orderkey", "l_linenumber", "l_extendedprice")
+
+
 @query(f"WITH {_view_sql()} SELECT entity_id, signup FROM m ORDER BY signup ASC NULLS LAST, first_seen, entity_id LIMIT 40 OFFSET 10")
 def sorted_slice_asc(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = audit.sorted_rows(_view(spark, sf_dir), audit.next_sort(("click", "desc"), "signup"), ["first_seen", "entity_id"])

@@ -375,6 +375,30 @@ def distinct_low_cardinality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return log.low_cardinality_values(snapshot_log(spark, sf_dir)).withColumn("choices", F.array_join("choices", ","))
 
 
+#: Events by type, with the type's name as the value of a field that is called as the lifecycle is.
+STATE_LOG = """s AS (SELECT CAST(user_id AS VARCHAR) AS entity_id, ts AS timestamp, event_id AS seq, CASE WHEN event_type = 'error' THEN '__deleted__' ELSE 'state' END AS field,
+CASE WHEN event_type <> 'error' THEN event_type END AS value FROM events)"""
+
+
+def _state_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    error = F.col("event_type") == "error"
+    return table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("entity_id"), F.col("ts").alias("timestamp"), F.col("event_id").alias("seq"), F.when(error, log.DELETED).otherwise("state").alias("field"), F.when(~error, F.col("event_type")).alias("value"))
+
+
+@query(f"""WITH {STATE_LOG}, c AS (SELECT entity_id, count(*) FILTER (WHERE field = 'state') AS changes, arg_max(field, timestamp) = '__deleted__' AS deleted,
+arg_max(value, timestamp) FILTER (WHERE field = 'state') AS state FROM s GROUP BY 1) SELECT entity_id, state, changes FROM c WHERE NOT deleted AND state = 'view'""")
+def view_filter_field_named_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A field named as the lifecycle's column is filtered as any other."""
+    rows = filters.filter_rows(_state_log(spark, sf_dir), ["state"])
+    return filters.where(rows, "NOT deleted AND state = 'view'").select(F.col("id").alias("entity_id"), "state", "changes")
+
+
+@query(f"WITH {SNAPS} SELECT o_orderkey, o_orderstatus, total_cents, o_orderpriority FROM b WHERE o_orderpriority LIKE '%H%' AND total_cents % 7 = 3")
+def view_filter_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Plain functions of values as filters of columns, one of which has nulls; a condition of a column stays one."""
+    return filters.equals(snapshot(spark, sf_dir, "B"), {"total_cents": lambda v: int(v) % 7 == 3, "o_orderpriority": lambda v: "H" in str(v) and v[0].isdigit(), "o_orderkey": lambda c: c >= 0, "absent": 1})
+
+
 @query("SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1")
 def duplicate_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return diff.duplicate_keys(table(spark, sf_dir, "lineitem"), ["l_orderkey", "l_linenumber"])

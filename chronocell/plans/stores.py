@@ -12,7 +12,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronocell.functions import codec
-from chronocell.operators import log
 from chronocell.plans.inputs import SNAPS, snapshot
 from chronocell.sources.scratch import Scratch
 from chronocell.sources.store import Store
@@ -89,7 +88,38 @@ def store_info(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {SNAPS}, s AS (SELECT entity_id, arg_max(field, seq) AS last_field, min(CASE WHEN field = '__deleted__' THEN seq END) AS d0, max(CASE WHEN field <> '__deleted__' THEN seq END) AS s1 FROM slog GROUP BY 1)
 SELECT entity_id, CASE WHEN last_field = '__deleted__' THEN 'deleted' ELSE 'active' END AS state, coalesce(s1 > d0, false) AS resurrected FROM s""")
 def store_row_states(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return log.row_states(captured(spark, sf_dir).events())
+    """From the checkpoint's summary and the events after it."""
+    return captured(spark, sf_dir).row_states()
+
+
+@query(f"WITH {SNAPS} SELECT entity_id, count(*) AS changes, count(*) FILTER (WHERE field <> '__deleted__') AS set_changes FROM slog GROUP BY 1")
+def store_change_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return captured(spark, sf_dir).change_counts()
+
+
+@query(f"""WITH {SNAPS}, s AS (SELECT entity_id, count(*) AS events, arg_max(field, seq) = '__deleted__' AS gone, min(CASE WHEN field = '__deleted__' THEN seq END) AS d0, max(CASE WHEN field <> '__deleted__' THEN seq END) AS s1,
+count(DISTINCT coalesce(value, 'null')) FILTER (WHERE field = 'o_orderstatus') > 1 AS flagged FROM slog GROUP BY 1)
+SELECT count(*) AS entities, count(*) FILTER (WHERE gone) AS deleted, count(*) FILTER (WHERE s1 > d0) AS resurrected, sum(events)::BIGINT AS events, count(*) FILTER (WHERE flagged) AS flagged FROM s""")
+def store_kpis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return captured(spark, sf_dir).kpis(["o_orderstatus"])
+
+
+@query(f"WITH {SNAPS} SELECT entity_id, field, value, seq FROM slog WHERE entity_id IN ('35', '77', '1001', 'none')")
+def store_point_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Some entities' events from the files that may hold them."""
+    store = captured(spark, sf_dir)
+    store.index()
+    return store.events_of(["35", "77", "1001", "none"]).select("entity_id", "field", "value", "seq")
+
+
+@query(f"WITH {SNAPS} SELECT entity_id, field, value, k::INTEGER AS seq FROM za, range(3) AS r(k) WHERE k <> 1 UNION ALL SELECT entity_id, '__deleted__', NULL, 1 FROM (SELECT DISTINCT entity_id FROM za)")
+def store_equal_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table, an empty one and the table again, all captured at one instant: each event has its own capture's place."""
+    store = Store(spark, Scratch(spark, "equal").folder("orders.cells"))
+    a = snapshot(spark, sf_dir, "A")
+    for rows in (a, a.limit(0), a):
+        store.capture(rows, "o_orderkey", DAYS[0], idempotency="latest")
+    return store.events().select("entity_id", "field", "value", "seq")
 
 
 @query(f"WITH {SNAPS} SELECT field, value, seq FROM slog WHERE entity_id = '35'")
@@ -109,7 +139,9 @@ def store_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     a, b = snapshot(spark, sf_dir, "A"), snapshot(spark, sf_dir, "B")
     first, again = digest(a), digest(a.select(*reversed(a.columns)).repartition(7))
-    noop = captured(spark, sf_dir).capture(a, "o_orderkey", DAYS[2])
+    own = Store(spark, Scratch(spark, "digest").folder("orders.cells"))
+    own.capture(a, "o_orderkey", DAYS[0])
+    noop = own.capture(a, "o_orderkey", DAYS[2])
     return spark.createDataFrame([(first == again, noop["noop"] and noop["snapshot_id"] == first, first != digest(b), len(first))], "same_if_shuffled boolean, noop_again boolean, differs_from_b boolean, digits long")
 
 

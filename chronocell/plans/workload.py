@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from chronocell.functions import legacy
+from chronocell.operators.positions import position_join
 from chronocell.sources.tables import table
 
 QUERIES: dict = {}
@@ -43,6 +44,21 @@ def theta_position_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lists.select("o_custkey", F.explode(F.filter(wanted, lambda p: F.position(p, F.col("list")) > 0)).alias("p"))
 
 
+_PATTERNS = """SELECT DISTINCT pattern FROM (SELECT left(p_type, 1) AS pattern FROM part UNION ALL SELECT right(p_name, 2) FROM part UNION ALL SELECT p_brand FROM part
+UNION ALL SELECT split_part(p_name, ' ', 1) FROM part UNION ALL SELECT left(p_brand, 7) || ' ' || left(p_type, 2) FROM part UNION ALL SELECT '')"""
+
+
+@query(f"""WITH t AS (SELECT p_partkey, p_name || '|' || p_brand || ' ' || p_type AS text FROM part), w AS ({_PATTERNS})
+SELECT p_partkey, pattern, position(pattern IN text) AS position FROM t JOIN w ON pattern <> '' AND position(pattern IN text) > 0""")
+def position_join_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where patterns of one, two and many letters occur in descriptions; both sides are tables."""
+    part = table(spark, sf_dir, "part")
+    texts = part.select("p_partkey", F.concat("p_name", F.lit("|"), "p_brand", F.lit(" "), "p_type").alias("text"))
+    some = F.array(F.left("p_type", F.lit(1)), F.right("p_name", F.lit(2)), F.col("p_brand"), F.split_part("p_name", F.lit(" "), F.lit(1)), F.concat(F.left("p_brand", F.lit(7)), F.lit(" "), F.left("p_type", F.lit(2))), F.lit(""))
+    patterns = part.select(F.explode(some).alias("pattern")).distinct()
+    return position_join(texts, "text", patterns, "pattern").select("p_partkey", "pattern", F.col("position").cast("long").alias("position"))
+
+
 @query("""WITH dim(code, name) AS (VALUES ('1-URGENT', 'now'), ('2-HIGH', 'soon'), ('3-MEDIUM', 'later')),
 l AS (SELECT o_custkey, o_orderpriority AS code, count(*) AS n FROM orders GROUP BY 1, 2)
 SELECT o_custkey, string_agg(coalesce(name, 'unknown'), ', ' ORDER BY code) AS names FROM l LEFT JOIN dim USING (code) GROUP BY 1""")

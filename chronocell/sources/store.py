@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from chronocell.functions import codec
-from chronocell.operators import diff, log
+from chronocell.operators import diff, filters, log
 from chronocell.sources.scratch import Scratch
 
 #: Columns of event files and, below, keys of the manifest (fixed values of the format).
@@ -311,14 +311,26 @@ class Store:
         m = self.manifest()
         return {c: t for c, t in m["schema"].items() if c != m["key_column"]}
 
-    def view(self, instant: dt.datetime | None = None) -> DataFrame:
-        """The typed table as of ``instant``, by key; all columns and no rows before history."""
+    def view(self, instant: dt.datetime | tuple | None = None) -> DataFrame:
+        """The typed table as of ``instant``, or of the end of a range of two, by key; all columns and no rows before history."""
+        return self._view(instant).orderBy(F.col(f"`{self.manifest()['key_column'] or 'entity_id'}`"))
+
+    def _view(self, instant: dt.datetime | tuple | None = None) -> DataFrame:
+        """``view`` in no order, for those who filter or write it."""
         m = self.manifest()
         tags = self.fields()
-        view = log.mirror_view(self.latest(instant), list(tags))
+        view = log.mirror_view(self.latest(instant[1] if isinstance(instant, tuple) else instant), list(tags))
         key = m["key_column"] or "entity_id"
         cells = [codec.decoded(F.col(f"`{c}`"), t).alias(c) for c, t in tags.items()]
-        return view.select(codec.decoded(F.col("entity_id"), m["schema"].get(key, "utf8")).alias(key), *cells).orderBy(key)
+        return view.select(codec.decoded(F.col("entity_id"), m["schema"].get(key, "utf8")).alias(key), *cells)
+
+    def filter(self, wanted: dict, instant: dt.datetime | tuple | None = None) -> DataFrame:
+        """The rows of ``view`` with some values, or for which callables hold: ``filters.equals``."""
+        return filters.equals(self._view(instant), wanted)
+
+    def with_nulls(self, column: str | None = None, instant: dt.datetime | tuple | None = None) -> DataFrame:
+        """The rows of ``view`` with a null in ``column``, or anywhere but the key: ``filters.with_nulls``."""
+        return filters.with_nulls(self._view(instant), self.manifest()["key_column"] or "entity_id", column)
 
     def info(self) -> dict:
         """Counts from the manifest alone."""
