@@ -40,13 +40,9 @@ def position_join(texts: DataFrame, text_col: str, patterns: DataFrame, pattern_
     )
     found = rated.where("not unknown").select("__pattern", "gram").join(index, "gram").select("__pattern", "t")
 
-    if n > 1:
-        # Texts are indexed by short grams only where there are patterns of that length.
-        some = short.select(F.length("__pattern").alias("k")).distinct()
-        pieces = [whole.where(F.length("__text") >= k).select("t", F.lit(k).alias("k"), F.explode(_grams(F.col("__text"), k)).alias("__pattern")) for k in range(1, n)]
-        small = pieces[0]
-        for more in pieces[1:]:
-            small = small.unionByName(more)
-        found = found.unionByName(small.join(F.broadcast(some), "k", "left_semi").join(short, "__pattern").select("__pattern", "t"))
+    # Texts are indexed by shorter grams only for the lengths, fewer than ``n``, that patterns have.
+    for (k,) in short.select(F.length("__pattern")).distinct().collect():
+        pieces = whole.select("t", F.explode(_grams(F.col("__text"), k)).alias("__pattern"))
+        found = found.unionByName(pieces.join(short, "__pattern").select("__pattern", "t"))
     met = found.join(whole, "t").withColumn("position", F.expr("locate(__pattern, __text)")).where("position > 0").select("__pattern", "__text", "position")
     return left.join(met, "__text").join(right, "__pattern").drop("__text", "__pattern")

@@ -82,8 +82,17 @@ class Store:
     def _there(self, name: str) -> bool:
         return self._fs.exists(self._path(f"{self.path}/{name}"))
 
+    def _local(self, name: str):
+        """The file on this machine's disk; ``None`` where the store is elsewhere.  No checksums are kept of these small files."""
+        if self._fs.getUri().getScheme() != "file":
+            return None
+        path = self._fs.makeQualified(self._path(f"{self.path}/{name}")).toUri().getPath()
+        return self.spark.sparkContext._jvm.java.io.File(path).toPath()
+
     def _read(self, name: str) -> dict:
         jvm = self.spark.sparkContext._jvm
+        if local := self._local(name):
+            return json.loads(bytes(jvm.java.nio.file.Files.readAllBytes(local)))
         stream = self._fs.open(self._path(f"{self.path}/{name}"))
         try:
             return json.loads(bytes(jvm.org.apache.commons.io.IOUtils.toByteArray(stream)))
@@ -124,22 +133,28 @@ class Store:
             stream.close()
 
     def _aside(self, content: dict) -> str:
+        """A file of its own with the content, to be linked or renamed to where it goes."""
         name = f".staging/{uuid.uuid4().hex}.json"
-        self._put(name, content, True)
+        if local := self._local(name):
+            self._fs.mkdirs(self._path(f"{self.path}/.staging"))
+            jvm, sc = self.spark.sparkContext._jvm, self.spark.sparkContext
+            jvm.java.nio.file.Files.write(local, bytearray(json.dumps(content, indent=1).encode()), sc._gateway.new_array(jvm.java.nio.file.OpenOption, 0))
+        else:
+            self._put(name, content, True)
         return name
 
     def _claim(self, name: str, content: dict) -> None:
         """Makes a file, whole at once and only if it is not there: a link, a rename or a conditional write, as the file system has it."""
-        jvm = self.spark.sparkContext._jvm
         self._fs.mkdirs(self._path(f"{self.path}/commits"))
-        scheme = self._fs.getUri().getScheme()
+        files = self.spark.sparkContext._jvm.java.nio.file.Files
         try:
-            if scheme == "file":
-                local = [self._fs.makeQualified(self._path(f"{self.path}/{x}")).toUri().getPath() for x in (name, self._aside(content))]
-                target, source = (jvm.java.io.File(x).toPath() for x in local)
-                jvm.java.nio.file.Files.createLink(target, source)
-                jvm.java.nio.file.Files.delete(source)
-            elif scheme in RENAMING:
+            if local := self._local(name):
+                source = self._local(self._aside(content))
+                try:
+                    files.createLink(local, source)
+                finally:
+                    files.delete(source)
+            elif self._fs.getUri().getScheme() in RENAMING:
                 self._rename(self._aside(content), name, overwrite=False)
             else:
                 self._put(name, content, False)
@@ -157,7 +172,13 @@ class Store:
         context.rename(self._path(f"{self.path}/{old}"), self._path(f"{self.path}/{new}"), how)
 
     def _replace(self, name: str, content: dict) -> None:
-        if self._fs.getUri().getScheme() in {"file", *RENAMING}:
+        """Writes a file over what is there, in one step."""
+        if local := self._local(name):
+            jvm, sc = self.spark.sparkContext._jvm, self.spark.sparkContext
+            how = sc._gateway.new_array(jvm.java.nio.file.CopyOption, 2)
+            how[0], how[1] = jvm.java.nio.file.StandardCopyOption.ATOMIC_MOVE, jvm.java.nio.file.StandardCopyOption.REPLACE_EXISTING
+            jvm.java.nio.file.Files.move(self._local(self._aside(content)), local, how)
+        elif self._fs.getUri().getScheme() in RENAMING:
             self._rename(self._aside(content), name, overwrite=True)
         else:
             self._put(name, content, True)
