@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from chronocell.operators import log as L
+from chronocell.operators.scan import Scan
 from chronocell.sources.scratch import Scratch
 
 
@@ -20,39 +21,46 @@ def audit_view(log: DataFrame, fields: Sequence[str], write_once: Sequence[str]
     are the runs of ``log.spark_segments`` in order.  Deleted entities stay with their last cells;
     ``flagged`` tells whether a ``write_once`` field has ever changed.
     """
-    own = L.until(log, instant)
-    o = L.order(own)
-    states = own.groupBy("entity_id").agg(F.min("timestamp").alias("first_seen")).join(L.row_states(own), "entity_id")
-    cell = own.where(F.col("field").isin(*fields)).groupBy("entity_id", "field").agg(F.max_by("value", o).alias("value"), F.count(F.lit(1)).alias("changes"), F.max(o).alias("at"))
-    # The value before the last: one more aggregate over the same keys, past the last event of each cell.
-    last = cell.select("entity_id", "field", F.col("at").alias("last_at"))
-    earlier = own.withColumn("o", o).join(last, ["entity_id", "field"]).where("o < last_at")
-    ghost = earlier.groupBy("entity_id", "field").agg(F.max_by("value", "o").alias("ghost"), F.lit(True).alias("had"))
-    cell = cell.join(ghost, ["entity_id", "field"], "left")
-    turn = F.when(F.col("had"), L.direction(F.col("ghost"), F.col("value")))
-    packed = F.map_from_entries(F.collect_list(F.struct("field", F.struct("value", "ghost", turn.alias("direction"), "changes").alias("c"))))
-    by_entity = cell.groupBy("entity_id").agg(packed.alias("m"))
-    kind = log.schema["value"].dataType.simpleString()
-    none = F.lit(None).cast(kind)
+    seen = F.lit(True) if instant is None else F.col("timestamp") <= instant
+    events = log.select("entity_id", "field", "value", "timestamp", L.order(log).alias("o"))
+    # Every event beside the one before it in its cell, and its number there; then a row a cell, then one an entity.
+    events = Scan(events, ["entity_id", "field"], [F.col("o")]).add(previous={"before": (F.struct("value"), 1)}, sums={"changes": F.lit(1)}).rows()
+    place = F.when(seen, F.col("o"))
+    broken = F.col("before").isNotNull() & ~F.col("value").eqNullSafe(F.col("before.value")) & (F.col("field").isin(*write_once) if write_once else F.lit(False))
+    cell = events.groupBy("entity_id", "field").agg(F.max_by(F.struct("value", "before", "changes"), place).alias("c"), F.min(place).alias("first"), F.max(place).alias("last"), F.bool_or(broken).alias("broken"))
+    c = F.col("c")
+    turn = F.when(c["before"].isNotNull(), L.direction(c["before"]["value"], c["value"])).alias("direction")
+    shown = F.struct(c["value"].alias("value"), c["before"]["value"].alias("ghost"), turn, c["changes"].alias("changes")).alias("c")
+    wanted = F.when(F.col("field").isin(*fields) & c.isNotNull(), F.struct("field", shown)) if fields else F.lit(None)
+    rows = cell.groupBy("entity_id").agg(
+        F.min("first.timestamp").alias("first_seen"),
+        F.max_by("field", "last").alias("last_field"),
+        F.min(F.when(L.is_deletion(), F.col("first"))).alias("first_deletion"),
+        F.max(F.when(~L.is_deletion(), F.col("last"))).alias("last_set"),
+        F.bool_or("broken").alias("flagged"),
+        (F.map_from_entries(F.collect_list(wanted)) if fields else F.lit(None)).alias("m"),
+    )
+    rows = rows.where("first_seen is not null")
+    none = F.lit(None).cast(log.schema["value"].dataType)
 
     def shaped(f: str) -> Column:
-        c = F.col("m")[f]
-        return F.struct(F.lit(f).alias("field"), F.coalesce(c["value"], none).alias("value"), c["ghost"].alias("ghost"), c["direction"].alias("direction"), F.coalesce(c["changes"], F.lit(0)).alias("changes"))
+        own = F.col("m")[f]
+        return F.struct(F.lit(f).alias("field"), F.coalesce(own["value"], none).alias("value"), own["ghost"].alias("ghost"), own["direction"].alias("direction"), F.coalesce(own["changes"], F.lit(0)).alias("changes"))
 
-    rows = states.join(by_entity, "entity_id", "left").withColumn("cells", F.array(*[shaped(f) for f in fields]))
+    empty = "array<struct<field:string,value:%s,ghost:%s,direction:string,changes:bigint>>" % ((log.schema["value"].dataType.simpleString(),) * 2)
+    rows = rows.withColumn("cells", F.array(*[shaped(f) for f in fields]) if fields else F.array().cast(empty))
     run = F.struct("segment", "kind", "first", "last")
-    spark = L.spark_segments(own).groupBy("entity_id").agg(F.array_sort(F.collect_list(run)).alias("spark"))
-    rows = rows.join(spark, "entity_id")
-    if write_once:
-        bad = L.violations(log, write_once).select("entity_id").distinct().withColumn("flagged", F.lit(True))
-        rows = rows.join(bad, "entity_id", "left")
-    flagged = F.coalesce("flagged", F.lit(False)) if write_once else F.lit(False)
-    changes = F.aggregate("cells", F.lit(0).cast("long"), lambda acc, c: acc + c["changes"])
-    return rows.select("entity_id", "first_seen", "state", "resurrected", flagged.alias("flagged"), changes.alias("changes"), "cells", "spark")
+    spark = L.spark_segments(L.until(log, instant)).groupBy("entity_id").agg(F.array_sort(F.collect_list(run)).alias("spark"))
+    changes = F.aggregate("cells", F.lit(0).cast("long"), lambda acc, x: acc + x["changes"])
+    return rows.join(spark, "entity_id").select("entity_id", "first_seen", *L.lifecycle(), "flagged", changes.alias("changes"), "cells", "spark")
 
 
 def capped(rows: DataFrame, order: Sequence[str], most: int = 1000) -> DataFrame:
-    """The first ``most`` rows by ``order``, each with ``total_rows`` there are and whether that ``capped`` them."""
+    """The first ``most`` rows by ``order``, each with ``total_rows`` there are and whether that ``capped`` them.
+
+    The rows are written once, as they are both counted and sorted.
+    """
+    rows = Scratch(rows.sparkSession, "capped").keep(rows)
     total = rows.agg(F.count(F.lit(1)).alias("total_rows"))
     return rows.orderBy(*order).limit(most).crossJoin(total).withColumn("capped", F.col("total_rows") > most)
 

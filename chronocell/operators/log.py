@@ -84,7 +84,8 @@ def _wide_states(log: DataFrame, fields: Sequence[str]) -> DataFrame:
     return packed.select("entity_id", "last_field", "first_deletion", "last_set", *[F.col("m")[f].alias(f"cell:{f}") for f in fields])
 
 
-def _lifecycle(state: str = "state", resurrected: str = "resurrected") -> list[Column]:
+def lifecycle(state: str = "state", resurrected: str = "resurrected") -> list[Column]:
+    """State and resurrection from ``last_field``, ``last_set`` and ``first_deletion`` of an entity."""
     kind = F.when(F.col("last_field") == DELETED, "deleted").otherwise("active").alias(state)
     back = F.coalesce(F.col("last_set") > F.col("first_deletion"), F.lit(False)).alias(resurrected)
     return [kind, back]
@@ -103,7 +104,7 @@ def temporal_view(log: DataFrame, fields: Sequence[str], instant: Column | None
     Where a field has such a name, the column beside it is ``lifecycle_state`` or ``lifecycle_resurrected``.
     """
     states = _states(until(log, instant), fields)
-    return states.select("entity_id", *_lifecycle(*lifecycle_names(fields)), *[F.col(f"`cell:{f}`").alias(f) for f in fields])
+    return states.select("entity_id", *lifecycle(*lifecycle_names(fields)), *[F.col(f"`cell:{f}`").alias(f) for f in fields])
 
 
 def lifecycle_names(fields: Sequence[str]) -> list[str]:
@@ -118,7 +119,7 @@ def lifecycle_names(fields: Sequence[str]) -> list[str]:
 
 def row_states(log: DataFrame, instant: Column | None = None, entities: DataFrame | None = None) -> DataFrame:
     """``entity_id, state, resurrected``; with ``entities``, those without an event by then are ``unborn``."""
-    found = _states(until(log, instant), []).select("entity_id", *_lifecycle())
+    found = _states(until(log, instant), []).select("entity_id", *lifecycle())
     if entities is None:
         return found
     ids = entities.select("entity_id").distinct()
@@ -333,7 +334,7 @@ def _facts(log: DataFrame, write_once: Sequence[str]) -> DataFrame:
         F.max(F.when(~is_deletion(), o)).alias("last_set"),
         differs.alias("flagged"),
     )
-    return facts.select("entity_id", "events", "changes", "seen", "flagged", *_lifecycle())
+    return facts.select("entity_id", "events", "changes", "seen", "flagged", *lifecycle())
 
 
 def callouts(log: DataFrame, write_once: Sequence[str], top: int = 3) -> DataFrame:
@@ -433,7 +434,7 @@ def _facts_of(cells: DataFrame, write_once: Sequence[str] = ()) -> DataFrame:
         F.max(F.when(~is_deletion(), o)).alias("last_set"),
         F.max(F.col("field").isin(*write_once) & differs if write_once else F.lit(False)).alias("flagged"),
     )
-    return facts.select("entity_id", "events", "changes", "seen", "flagged", *_lifecycle())
+    return facts.select("entity_id", "events", "changes", "seen", "flagged", *lifecycle())
 
 
 def states_of(cells: DataFrame) -> DataFrame:

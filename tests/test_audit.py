@@ -128,3 +128,17 @@ def test_display(spark):
     assert got == [("ø", None, "0s"), ("1.5", "-2", "59s"), ("3.0", "+0.1235", "1h 2m 5s")]
     r = spark.range(1).select(display.opacity(F.lit(0), F.lit(4)), display.opacity(F.lit(4), F.lit(4)), display.percent_along(F.lit(15), F.lit(10), F.lit(20)), display.percent_along(F.lit(1), F.lit(10), F.lit(20))).first()
     assert r[0] == 0 and abs(r[1] - 0.88) < 1e-9 and r[2] == 50 and r[3] == 0
+
+
+def test_audit_view_reads_the_log_twice(spark, tmp_path):
+    """Once for cells and once for segments, whatever its fields; no fields and write-once ones are fine."""
+    rows = [("a", 1, "x", 1), ("a", 2, "x", 2), ("b", 1, "y", 1), ("a", 3, log.DELETED, None), ("b", 9, "y", 5)]
+    spark.createDataFrame(rows, "entity_id string, at long, field string, value long").withColumn("timestamp", F.timestamp_seconds("at")).write.parquet(f"{tmp_path}/log")
+    events = spark.read.parquet(f"{tmp_path}/log")
+    view = audit.audit_view(events, ["x", "y"], ["x", "y"], F.timestamp_seconds(F.lit(5)))
+    assert view._jdf.queryExecution().executedPlan().toString().count("FileScan") <= 2
+    got = {r["entity_id"]: r for r in view.collect()}
+    assert (got["a"]["state"], got["a"]["flagged"], got["a"]["changes"]) == ("deleted", True, 2)
+    # A violation counts whenever it is; what is shown is as of the instant.
+    assert (got["b"]["flagged"], got["b"]["changes"], [c["value"] for c in got["b"]["cells"]]) == (True, 1, [None, 1])
+    assert {r["entity_id"]: (r["flagged"], r["cells"]) for r in audit.audit_view(events, []).collect()} == {"a": (False, []), "b": (False, [])}
