@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronocell.operators import diff, filters, log
-from chronocell.plans import audits, stores, workload
+from chronocell.plans import audits, flows, stores, workload
 from chronocell.plans.inputs import ELOG, FIELDS, SNAPS, T0, T1, elog, snapshot, snapshot_log
 from chronocell.sources.tables import table
 
@@ -461,6 +461,6 @@ def wide_mirror_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     return log.mirror_view(wide_log(spark, sf_dir), WIDE_FIELDS)
 
 
-for part in (workload, audits, stores):
+for part in (workload, audits, stores, flows):
     QUERIES |= part.QUERIES
     ORACLES |= part.ORACLES

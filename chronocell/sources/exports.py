@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 FORMATS = ("dataframe", "arrow", "parquet", "csv")
 
@@ -34,15 +35,19 @@ def export(view: DataFrame, form: str | None = None, parquet: str | None = None,
     return to_parquet or to_csv or view
 
 
-def save_table(view: DataFrame, name: str, append: bool = False) -> None:
-    """Replaces or extends a table of the catalogue."""
-    view.write.mode("append" if append else "overwrite").saveAsTable(name)
+def save_table(view: DataFrame, name: str, append: bool = False, path: str | None = None) -> None:
+    """Replaces or extends a table of the catalogue, whose files lie at ``path`` or in the warehouse."""
+    writer = view.write.mode("append" if append else "overwrite")
+    (writer.option("path", path) if path else writer).saveAsTable(name)
 
 
-def json_lines(view: DataFrame) -> Iterator[str]:
-    """Each row as a JSON object with its nulls, times in ISO form in UTC, a partition at a time."""
-    from pyspark.sql import functions as F
-
+def json_records(view: DataFrame) -> DataFrame:
+    """``record``: each row as a JSON object with its nulls, times in ISO form in UTC."""
     # A top-level to_json omits null fields unless told not to.
-    row = F.to_json(F.struct(*[F.col(f"`{c}`") for c in view.columns]), {"ignoreNullFields": "false", "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]xxx", "timeZone": "UTC"})
-    return (r[0] for r in view.select(row).toLocalIterator())
+    options = {"ignoreNullFields": "false", "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]xxx", "timeZone": "UTC"}
+    return view.select(F.to_json(F.struct(*[F.col(f"`{c}`") for c in view.columns]), options).alias("record"))
+
+
+def json_lines(view: DataFrame) -> Iterator[str]:
+    """``json_records`` on the driver, a partition at a time."""
+    return (r[0] for r in json_records(view).toLocalIterator())

@@ -13,17 +13,24 @@ from pyspark.sql import functions as F
 
 from chronocell.operators.log import is_deletion
 from chronocell.sources.store import EVENTS, Store
+from chronocell.streaming import source
 
 
 def tail(spark: SparkSession, path: str, files_a_batch: int = 100) -> DataFrame:
     """New event files of the store at ``path`` as they appear.
 
-    A capture's folder becomes visible before its manifest entry; a reader that must see
-    only committed captures joins ``snapshot_id`` with the manifest.
+    A capture's folder becomes visible before its commit, and stays if that fails; ``captures`` has
+    committed ones only.
     """
     return spark.readStream.schema(EVENTS).option("maxFilesPerTrigger", files_a_batch).option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").parquet(f"{path.rstrip('/')}/events")
 
 
+def captures(spark: SparkSession, path: str, first: int = 0) -> DataFrame:
+    """The events of committed captures of the store at ``path`` with ``seq``, from capture ``first`` on."""
+    source.register(spark)
+    return spark.readStream.format(source.NAME).option("path", path).option("from", first).load()
+
+
 def once(events: DataFrame, late: str = "1 day") -> DataFrame:
     """Each cell's event of a snapshot once, repeats within ``late`` dropped."""
     return events.withWatermark("timestamp", late).dropDuplicatesWithinWatermark(["entity_id", "field", "snapshot_id"])

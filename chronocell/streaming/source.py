@@ -35,7 +35,10 @@ class PartFile(InputPartition):
 
 
 class Captures(DataSource):
-    """``spark.readStream.format(NAME).option("path", store)``; ``from`` is the capture to begin at, ``most`` how many a batch has at most."""
+    """``spark.readStream.format(NAME).option("path", store)``; ``from`` is the capture to begin at.
+
+    A batch has all captures that are committed when it is planned: Spark tells a Python source no offset to count from.
+    """
 
     @classmethod
     def name(cls) -> str:
@@ -51,8 +54,7 @@ class Captures(DataSource):
 class _Reader(DataSourceStreamReader):
     def __init__(self, options):
         self._uri = options["path"].rstrip("/")
-        self._first, self._most = int(options.get("from", 0)), int(options.get("most", 0))
-        self._reached = None
+        self._first = int(options.get("from", 0))
 
     def _open(self) -> tuple[fs.FileSystem, str]:
         return fs.FileSystem.from_uri(self._uri if "://" in self._uri or self._uri.startswith("file:") else f"file://{self._uri}")
@@ -77,16 +79,10 @@ class _Reader(DataSourceStreamReader):
         return {"captures": self._first}
 
     def latestOffset(self) -> dict:
-        there = len(self._captures())
-        if self._most:
-            # Spark asks for the end alone; a batch goes on from the last end that it was given.
-            self._reached = min(there, (self._first if self._reached is None else self._reached) + self._most)
-            return {"captures": self._reached}
-        return {"captures": there}
+        return {"captures": len(self._captures())}
 
     def partitions(self, start: dict, end: dict) -> list[InputPartition]:
         files, root = self._open()
-        self._reached = max(self._reached or 0, end["captures"])
         out = []
         for seq, entry in list(enumerate(self._captures()))[start["captures"] : end["captures"]]:
             found = files.get_file_info(fs.FileSelector(f"{root}/{entry['file']}"))

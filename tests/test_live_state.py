@@ -5,7 +5,7 @@ import pytest
 
 from chronocell.operators import log
 from chronocell.sources.store import Store, StoreError
-from chronocell.streaming import lifecycle, source
+from chronocell.streaming import lifecycle, live
 
 DAY = [dt.datetime(2026, 1, d, tzinfo=dt.UTC) for d in range(1, 10)]
 SNAPS = [[(1, "a", 1), (2, "b", 2), (3, "c", 3)], [(2, "b", 5), (3, "c", None)], [(1, "z", 1), (2, "b", 5), (4, "d", 4)], [(4, "d", 4)], [(2, "q", 9), (4, None, 4)]]
@@ -33,8 +33,7 @@ def run(spark, frame, tmp_path, into, mode="append", checkpoint="check"):
 
 
 def stream(spark, store):
-    source.register(spark)
-    return spark.readStream.format(source.NAME).option("path", store.path).load()
+    return live.captures(spark, store.path)
 
 
 def events_of(rows):
