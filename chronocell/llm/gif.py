@@ -349,7 +349,12 @@ def store_payload(data: bytes) -> bytes:
 
 
 def payload_media(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, n_bytes, gif``: every whole text's bytes as a GIF."""
+    """``doc_id, n_bytes, gif``: every whole text's bytes as a GIF.
+
+    Null and empty texts have 0 bytes and one filled frame.  Rows that repeat have a row each, equal
+    texts equal files; a null id stays null; other columns are ignored; an empty table gives an
+    empty result.  A very long text is one file of as many frames as it needs, in memory at once.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

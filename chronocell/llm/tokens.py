@@ -257,7 +257,12 @@ def token_counts(docs: DataFrame, vocabulary: str, limit: int = 512, id_col: str
 
 
 def prefix_tables(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, counts``: tokens of every prefix of each text by code points, 0 first."""
+    """``doc_id, counts``: tokens of every prefix of each text by code points, 0 first.
+
+    Null and empty texts have the empty prefix alone, ``[0]``.  Rows that repeat have a row each; a null
+    id stays null; other columns are ignored; an empty table gives an empty result.  A very long text
+    has as many counts as it has code points, and takes memory by that.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = counter(vocabulary)

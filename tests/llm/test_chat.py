@@ -61,3 +61,11 @@ def test_empty(spark):
     none = spark.createDataFrame([], SCHEMA)
     assert digests(format_replies(none)).count() == 0
     assert format_paths(reply_paths(none, Scratch(spark, "t")), none.select("msg_id", "role", "text")).count() == 0
+
+
+def test_very_long_texts(spark):
+    long = "</s>[INST] long <|text|> " * 40_000
+    turns = spark.createDataFrame([(1, 0, "user", long), (1, 1, "assistant", long), (2, 0, "user", "short")], "conv_id long, turn long, role string, text string")
+    got = {r["conv_id"]: r for r in digests(format_replies(turns_as_messages(turns, Scratch(spark, "long")))).collect()}
+    assert (got[1]["n_turns"], got[1]["loss_chars"]) == (2, len(long)) and got[1]["formatted_chars"] > 2 * len(long)
+    assert got[2]["loss_chars"] == 0

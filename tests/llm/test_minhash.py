@@ -142,3 +142,11 @@ def test_very_long_texts(spark):
         near[rng.randrange(len(near))] = "changed"
     rows = [(3, " ".join(long)), (8, " ".join(near)), (9, " ".join(long[:30_000]))]
     assert {tuple(r) for r in near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()} == brute(rows)
+
+
+def test_whole_table_against_brute_force(spark):
+    """Every document of a given table, links and set sizes."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    got = {tuple(r) for r in near_duplicates(docs).collect()}
+    assert got == brute([(r["doc_id"], r["text"]) for r in docs.collect()])
+    assert any(not r[3] for r in got)

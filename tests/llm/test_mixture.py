@@ -42,3 +42,9 @@ def test_a_hot_source_and_rows_of_one_place(spark):
     assert len(got) == len(rows) and len(copies["same"]) == 1 and len(copies[None]) == 1
     assert abs(sums["hot"] - target["hot"]) <= 10
     assert abs(sums["same"] - target["same"]) <= 300 and abs(sums[None] - target[None]) <= 50
+
+
+def test_very_long_texts(spark):
+    rows = [(1, "word " * 400_000, "s"), (2, "a b c", "s"), (3, "x" * 2_000_000, "t")]
+    got = {r["doc_id"]: r for r in mix_sources(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert {i: r["size"] for i, r in got.items()} == {1: 400_000, 2: 3, 3: 1} and all(r["taken"] <= 2 * r["size"] for r in got.values())

@@ -64,3 +64,11 @@ def test_table(spark, library):
     lengths = {r["doc_id"]: len(r["counts"]) for r in prefix_tables(df.where("doc_id is not null"), PATH).collect()}
     assert lengths == {i: len(t or "") + 1 for i, t in enumerate(TEXTS)}
     assert token_counts(df.limit(0), PATH).count() == 0
+
+
+def test_very_long_texts(tables, library):
+    rng = random.Random(7)
+    text = "".join(noise(rng) for _ in range(2500)) + "z" * 20_000
+    assert tables.count(text) == len(library.encode(text, add_special_tokens=False).ids)
+    cut = tables.truncate(text, 5000)
+    assert len(library.encode(text[:cut], add_special_tokens=False).ids) <= 5000 < len(library.encode(text[: cut + 12], add_special_tokens=False).ids)

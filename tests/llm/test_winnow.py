@@ -106,3 +106,11 @@ def test_repeated_and_null_item_ids(spark, limit):
     got = contamination(df, spark.createDataFrame(items, ITEMS), broadcast_bytes=limit).collect()
     assert {r["doc_id"]: (r["n_words"], r["n_hit"], sorted(r["items"], key=str)) for r in got} == expected
     assert [expected[i][1] for i in range(6)] == [10, 10, 10, 10, 10, 0] and expected[2][2] == [None] and expected[22][2] == [7, 8, None]
+
+
+def test_very_long_texts(spark):
+    passage = " ".join(f"q{k}" for k in range(12))
+    long = " ".join(f"w{k % 977}" for k in range(150_000))
+    docs = spark.createDataFrame([(1, f"{long} {passage} {long}"), (2, long)], "doc_id long, text string")
+    items = spark.createDataFrame([("i", passage)], "item_id string, text string")
+    assert {r["doc_id"]: (r["n_words"], r["n_hit"]) for r in contamination(docs, items).collect()} == {1: (300_012, 12), 2: (150_000, 0)}
