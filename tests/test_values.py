@@ -87,3 +87,31 @@ def test_validation_of_histories(spark):
     for bad in ('[{"date":"soon","value":"x"}]', '[[{"date":"2020-01-01","value":"x"}]]', '[{"date":"2020-13-01 00:00:00","value":"x"}]'):
         with pytest.raises(Exception, match="history"):
             validated(bad)
+
+
+def test_table_of_text_says_that_there_is_more(spark, capsys, monkeypatch):
+    from chronocell import cli
+
+    monkeypatch.setattr(cli, "SHOWN", 3)
+    cli._show(spark.range(3).toDF("x"), False)
+    assert "rows;" not in capsys.readouterr().out
+    cli._show(spark.range(5).toDF("x"), False)
+    assert "the first 3 of 5 rows" in capsys.readouterr().out
+
+
+def test_filters_and_keys(spark):
+    from chronocell.operators import diff, filters
+
+    rows = spark.createDataFrame([("a", 1, 3, False), ("ab", None, 9, True), ("b", 5, 0, False)], "id string, n long, changes long, deleted boolean")
+    assert {r["id"] for r in rows.where(filters.simple("n", least=1, most=4)).collect()} == {"a"}
+    assert {r["id"] for r in rows.where(filters.simple(id_contains="a", min_changes=4, deleted=True)).collect()} == {"ab"}
+    assert {r["id"] for r in filters.with_nulls(rows, "id").collect()} == {"ab"} == {r["id"] for r in filters.with_nulls(rows, "id", "n").collect()}
+    twice = rows.unionByName(rows.where("id = 'b'").withColumn("n", rows["n"] - 4))
+    assert [tuple(r) for r in diff.duplicate_keys(twice, ["id"]).collect()] == [("b", 2)]
+    assert {(r["id"], r["n"]) for r in diff.keep_first(twice, ["id"], ["n"]).collect()} == {("a", 1), ("ab", None), ("b", 1)}
+    for text in ("no_such > 1", "n >"):
+        try:
+            filters.where(rows, text)
+            raise AssertionError(text)
+        except filters.BadFilter:
+            pass
