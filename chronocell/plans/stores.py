@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronocell.functions import codec
+from chronocell.operators import log
 from chronocell.plans.inputs import SNAPS, snapshot
 from chronocell.sources.scratch import Scratch
 from chronocell.sources.store import Store
@@ -79,6 +80,15 @@ def store_files_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(f["seq"], f["row_count"], f["ts_min"], f["ts_max"]) for f in files], "seq int, row_count long, ts_min string, ts_max string")
 
 
+@query(f"""WITH {SNAPS}, f AS (SELECT seq, min(epoch_us(timestamp)) AS us, count(*) AS n FROM slog GROUP BY 1), span AS (SELECT min(us) AS lo, max(us) AS hi FROM f),
+per AS (SELECT least(59, (us - lo) * 60 // greatest(hi - lo, 1)) AS bucket, sum(n) AS n FROM f, span GROUP BY 1)
+SELECT b::INTEGER AS bucket, coalesce(n, 0)::BIGINT AS changes FROM range(60) AS r(b) LEFT JOIN per ON per.bucket = b""")
+def store_file_density(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Density from the manifest's entries alone."""
+    files = [(dt.datetime.fromisoformat(f["ts_min"]), dt.datetime.fromisoformat(f["ts_max"]), f["row_count"]) for f in captured(spark, sf_dir).files()]
+    return log.file_density(spark.createDataFrame(files, "ts_min timestamp, ts_max timestamp, row_count long"))
+
+
 @query(f"WITH {SNAPS} SELECT 3::BIGINT AS files, 3::BIGINT AS snapshots, count(*) AS events, 4::BIGINT AS columns, 'o_orderkey' AS key_column FROM slog")
 def store_info(spark: SparkSession, sf_dir: str) -> DataFrame:
     i = captured(spark, sf_dir).info()
