@@ -20,9 +20,10 @@ from collections.abc import Iterator
 from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from chronocell.operators.scan import Scan
 from chronocell.sources.scratch import Scratch
 
 OPEN, CLOSE, END = "<|", "|>\n", "</s>\n"
@@ -69,8 +70,7 @@ def reply_paths(messages: DataFrame, scratch: Scratch, top: int | None = None) -
     rooted = reduce(DataFrame.unionByName, rooted)
     parents = node.where("parent_id is not null").select(F.col("parent_id").alias("msg_id")).distinct()
     leaves = node.select("conv_id", "msg_id").join(rooted, "msg_id").join(parents, "msg_id", "left_anti")
-    by_score = Window.partitionBy("conv_id").orderBy(F.col("sum").desc(), "msg_id")
-    leaves = leaves.withColumn("branch", F.row_number().over(by_score))
+    leaves = Scan(leaves, ["conv_id"], [F.col("sum").desc(), F.col("msg_id")]).add(sums={"branch": F.lit(1)}).rows().withColumn("branch", F.col("branch").cast("int"))
     if top is not None:
         leaves = leaves.where(F.col("branch") <= top)
     parts = [scratch.keep(leaves.select("conv_id", "branch", "msg_id", F.col("steps").alias("position")), "path")]
@@ -131,11 +131,11 @@ def turns_as_messages(turns: DataFrame, scratch: Scratch) -> DataFrame:
     """Linear conversations ``conv_id, turn, role, text`` as messages, each the reply to the one before.
 
     Rows of equal turn follow by role and text, nulls first; null conversations are one.  A message's
-    id is a number of the conversation's own and the place.  The order of a conversation is found
-    in one task, over all of its rows, which spill; its formatted text is one row in the end.
+    id is a number of the conversation's own and the place.  A conversation of very many rows is
+    numbered in stretches; its formatted text is one row in the end.
     """
-    order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
-    rows = turns.select("conv_id", "turn", "role", "text").withColumn("place", F.row_number().over(order).cast("long"))
+    rows = turns.select("conv_id", "turn", "role", "text")
+    rows = Scan(rows, ["conv_id"], [F.col("turn"), F.col("role"), F.col("text")]).add(sums={"place": F.lit(1)}).rows().withColumn("place", F.col("place").cast("long"))
     # Exact decimals: conversations are 2**31 apart, null is past the largest.
     wide = F.coalesce(F.col("conv_id").cast("decimal(19,0)"), F.lit("9223372036854775808").cast("decimal(19,0)"))
     of = (wide * F.lit(1 << 31).cast("decimal(10,0)")).cast("decimal(38,0)")

@@ -69,3 +69,15 @@ def test_very_long_texts(spark):
     got = {r["conv_id"]: r for r in digests(format_replies(turns_as_messages(turns, Scratch(spark, "long")))).collect()}
     assert (got[1]["n_turns"], got[1]["loss_chars"]) == (2, len(long)) and got[1]["formatted_chars"] > 2 * len(long)
     assert got[2]["loss_chars"] == 0
+
+
+def test_a_hot_conversation_is_numbered_in_stretches(spark, monkeypatch):
+    rng = random.Random(3)
+    rows = [(1, k, rng.choice(["user", "assistant"]), f"t{k}") for k in range(300)] + [(c, k, "user", f"{c} {k}") for c in range(2, 9) for k in range(3)]
+    rng.shuffle(rows)
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    whole = sorted(tuple(r) for r in digests(format_replies(turns_as_messages(turns, Scratch(spark, "cold")))).collect())
+    monkeypatch.setattr("chronocell.operators.scan.SMALL", 0)
+    monkeypatch.setattr("chronocell.operators.scan.ROWS", 16)
+    assert sorted(tuple(r) for r in digests(format_replies(turns_as_messages(turns, Scratch(spark, "hot")))).collect()) == whole
+    assert whole[0][:2] == (1, 300)
