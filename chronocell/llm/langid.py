@@ -302,6 +302,10 @@ def training_windows(docs: DataFrame, per_language: int, pieces: int, width: int
     return labels, windows, y, validates
 
 
+#: Rows whose windows are in memory at once.
+PREDICTED = 1000
+
+
 def fit(docs: DataFrame, per_language: int = 600, pieces: int = 6, width: int = 64, hidden: int | None = None, steps: int | None = None) -> Network | None:
     """A network that has learned from ``doc_id, text, lang``; ``None`` where there is nothing to learn from.
 
@@ -348,7 +352,8 @@ def predict(rows: DataFrame, net: Network | None, keep: list[str], text_col: str
     """``keep`` of ``rows`` with ``lang_pred, score`` of the texts; plain column names, without dots or backticks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        # A part at a time: what windows of a whole batch take stays with the worker for all stages that follow.
+        for batch in (whole.slice(k, PREDICTED) for whole in batches for k in range(0, len(whole), PREDICTED)):
             texts = batch.column(text_col).to_pylist()
             live = [k for k, t in enumerate(texts) if net is not None and has_letter(t)]
             names = np.full(len(texts), UNDETERMINED, dtype=object)
