@@ -1,5 +1,6 @@
 import hashlib
 import random
+import sys
 import zlib
 
 import numpy as np
@@ -154,3 +155,61 @@ def test_frames_keep_their_pixels(spark):
     first, second = (np.frombuffer(r["pixels"], np.uint8).reshape(4, 3, 4) for r in got)
     assert (first[1:3, 1:3] == [0, 255, 0, 255]).all() and first[..., 3].sum() == 4 * 255
     assert second[0, 0].tolist() == [0, 0, 255, 255] and second[..., 3].sum() == 255
+
+
+def lines_run(work):
+    """How many lines of Python ``work`` runs."""
+    count = 0
+
+    def trace(frame, event, arg):
+        nonlocal count
+        count += event == "line"
+        return trace
+
+    before = sys.gettrace()
+    sys.settrace(trace)
+    try:
+        work()
+    finally:
+        sys.settrace(before)
+    return count
+
+
+def test_reading_runs_no_python_for_each_code():
+    rng = random.Random(4)
+    words = ["".join(rng.choice("etaoinshrdlu") for _ in range(rng.randrange(2, 9))) for _ in range(400)]
+    text = " ".join(rng.choice(words) for _ in range(3000)).encode()
+    media = store_payload(text)
+    assert lines_run(lambda: read_gif(media)) < len(text) / 10
+
+
+def never_cleared(data):
+    """A stream of values under 256 that has no clear code: its table stays as it is once full."""
+    table, codes, have = {bytes([k]): k for k in range(256)}, [], b""
+    for value in data:
+        longer = have + bytes([value])
+        if longer not in table:
+            codes.append(table[have])
+            if len(table) < 4096 - 2:
+                table[longer] = len(table) + 2
+            longer = bytes([value])
+        have = longer
+    codes += [table[have], 257]
+    bits = "".join(f"{c:0{max(9, min(257 + max(k, 1), 4095).bit_length())}b}"[::-1] for k, c in enumerate(codes))
+    return bytes(int(bits[k : k + 8][::-1], 2) for k in range(0, len(bits), 8))
+
+
+def test_full_tables_and_long_copies():
+    rng = random.Random(6)
+    for data in (rng.randbytes(30_000), bytes(rng.choice(b"abcd") for _ in range(60_000)), bytes(9_000_000), b"ab" * 2_000_000 + rng.randbytes(9)):
+        stream = lzw_encode(data, 8)
+        assert lzw_decode(stream, 8, len(data)) == data and lzw_decode(stream, 8, 70_001 % len(data)) == data[: 70_001 % len(data)]
+        stream = never_cleared(data) if len(data) < 100_000 else stream
+        assert lzw_decode(stream, 8, len(data)) == data
+        with pytest.raises(BadGif):
+            lzw_decode(stream[: len(stream) // 2], 8, len(data))
+        with pytest.raises(BadGif):
+            lzw_decode(stream, 8, len(data) + 1)
+    assert lzw_decode(lzw_encode(bytes(99), 1), 1, 99) == bytes(99)
+    with pytest.raises(BadGif, match="not in the table"):
+        lzw_decode((256 | 65 << 9 | 300 << 18).to_bytes(4, "little"), 8, 3)
