@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import Row
 
-from chronocell.operators.log import DELETED
+from chronocell.operators.log import DELETED, is_deletion
 
 #: The state store that typed state needs (fixed name).
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -79,17 +79,43 @@ class _Lifecycle(StatefulProcessor):
         pass
 
 
-def row_states(events: DataFrame, keep: str | None = None) -> DataFrame:
+def _of_fields(rows: DataFrame, fields: Sequence[str]) -> DataFrame:
+    """``row_states`` as one aggregate: an entity's state is a row with the last event of each of ``fields`` as a column."""
+    # Of one capture's events an entity's deletion comes last, so places without ``last`` are enough here.
+    place = F.struct("at", "seq")
+    cells = {f: f"cell_{k}" for k, f in enumerate(dict.fromkeys(fields))}
+    kept = rows.groupBy("entity_id").agg(
+        F.min(F.when(is_deletion(), place)).alias("first_deletion"),
+        F.max(F.when(is_deletion(), place)).alias("last_deletion"),
+        F.max(F.when(~is_deletion(), place)).alias("last_set"),
+        *[F.max(F.when(F.col("field") == f, F.struct("at", "seq", "value"))).alias(c) for f, c in cells.items()],
+    )
+    deleted = F.coalesce(F.col("last_deletion") >= F.col("last_set"), F.col("last_deletion").isNotNull())
+    back = F.coalesce(F.col("last_set") > F.col("first_deletion"), F.lit(False))
+    pairs = [F.when(F.col(c).isNotNull(), F.struct(F.lit(f).alias("key"), F.col(f"{c}.value").alias("value"))) for f, c in cells.items()]
+    set_cells = F.map_from_entries(F.filter(F.array(*pairs), lambda x: x.isNotNull())) if pairs else F.create_map().cast("map<string,string>")
+    return kept.select("entity_id", F.when(deleted, "deleted").otherwise("active").alias("state"), back.alias("resurrected"), set_cells.alias("cells"))
+
+
+def row_states(events: DataFrame, keep: str | None = None, fields: Sequence[str] | None = None) -> DataFrame:
     """``entity_id, state, resurrected, cells`` of the entities that a batch of ``events`` touches, for output mode ``update``.
 
     ``events`` are a stream of ``entity_id, timestamp, field, value, seq``.  The last row of each entity
     is what ``log.row_states`` says of all its events, and its last cells, in whatever order they came.
-    State is a row a cell and survives restarts.  With ``keep`` (an interval) the cells of entities that
-    are gone for so long are dropped, and events later than that after others are not taken.
+    State survives restarts.  Where the ``fields`` are named (a store's are ``Store.fields``) it is a row an
+    entity that Spark aggregates itself, which is what large tables need: ``cells`` has those fields, and they
+    stay the same from start to start.  Else it is a row a cell, fields may be any, and each entity of a batch
+    costs some ten calls between Python and the state store.  With ``keep`` (an interval) the cells of entities
+    that are gone for so long are dropped, and events later than that after others are not taken; that goes
+    without ``fields`` only.
     """
+    if keep is not None and fields is not None:
+        raise ValueError("keep goes with fields of any name only")
     spark = events.sparkSession
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)
     rows = events.select("entity_id", "timestamp", F.unix_micros("timestamp").alias("at"), "field", "value", "seq")
+    if fields is not None:
+        return _of_fields(rows, fields)
     if keep is None:
         return rows.groupBy("entity_id").transformWithState(_Lifecycle(None), OUTPUT, "Update", "None")
     micros = spark.sql(f"SELECT unix_micros(TIMESTAMP_LTZ '1970-01-02 00:00:00 UTC' + INTERVAL '0' SECOND + INTERVAL {keep}) - unix_micros(TIMESTAMP_LTZ '1970-01-02 00:00:00 UTC')").first()[0]

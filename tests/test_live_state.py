@@ -4,6 +4,7 @@ import json
 import pytest
 
 from chronocell.operators import log
+from chronocell.plans import flows
 from chronocell.sources.store import Store, StoreError
 from chronocell.streaming import lifecycle, live
 
@@ -100,3 +101,46 @@ def test_cells_of_the_gone_are_dropped_after_a_while(spark, store, tmp_path):
         run(spark, lifecycle.row_states(stream(spark, store), "1 DAY"), tmp_path, seen, "update")
     last = {r["entity_id"]: r for r in seen}["1"]
     assert (last["state"], last["cells"]) == ("deleted", {})
+
+
+def test_states_of_named_fields_equal_those_of_the_log_after_restarts(spark, store, tmp_path):
+    seen = []
+    for k, at in ((0, DAY[0]), (3, DAY[3]), (1, DAY[1]), (2, DAY[2]), (4, DAY[4])):
+        capture(spark, store, k, at)
+        got = run(spark, lifecycle.row_states(stream(spark, store), fields=["n", "name", "never"]), tmp_path, seen, "update")
+        # Only what a batch touches is told, and cells that it does not touch are there all the same.
+        assert sorted(r["entity_id"] for r in got) == sorted({r["entity_id"] for r in store.events().where(f"seq = {len(store.files()) - 1}").collect()})
+    last = {r["entity_id"]: r for r in seen}
+    events = store.events()
+    assert {e: (r["state"], r["resurrected"]) for e, r in last.items()} == {r["entity_id"]: (r["state"], r["resurrected"]) for r in log.row_states(events).collect()}
+    cells = {}
+    for r in log.latest_cells(events).collect():
+        cells.setdefault(r["entity_id"], {})[r["field"]] = r["value"]
+    assert {e: r["cells"] for e, r in last.items()} == cells
+
+
+def test_fields_that_are_not_named_count_for_the_lifecycle(spark, store, tmp_path):
+    seen = []
+    for k in range(3):
+        capture(spark, store, k)
+        run(spark, lifecycle.row_states(stream(spark, store), fields=["n"]), tmp_path, seen, "update")
+    last = {r["entity_id"]: r for r in seen}
+    assert {e: (r["state"], r["resurrected"]) for e, r in last.items()} == {r["entity_id"]: (r["state"], r["resurrected"]) for r in log.row_states(store.events()).collect()}
+    assert last["1"]["cells"] == {"n": "1"} and last["3"]["cells"] == {"n": None}
+    none = run(spark, lifecycle.row_states(stream(spark, store), fields=[]), tmp_path, [], "update", "other")
+    assert {r["entity_id"]: r["cells"] for r in none} == dict.fromkeys(last, {})
+    with pytest.raises(ValueError, match="keep"):
+        lifecycle.row_states(stream(spark, store), "1 DAY", ["n"])
+
+
+def test_query_of_states_calls_no_python_for_each_entity(spark, monkeypatch):
+    plans, streamed = [], flows.streamed
+
+    def noted(spark, rows, *more):
+        plans.append(rows._jdf.queryExecution().logical().toString())
+        return streamed(spark, rows, *more)
+
+    monkeypatch.setattr(flows, "streamed", noted)
+    rows = flows.stream_row_states(spark, "/root/testdata/sf0.001")
+    assert len(plans) == 3 and not any("TransformWithState" in p for p in plans)
+    assert rows.count() > 0
