@@ -144,9 +144,11 @@ def stream_row_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     store = Store(spark, scratch.folder("orders.cells"))
     for day, name in zip(DAYS, "ABC", strict=True):
         store.capture(snapshot(spark, sf_dir, name), "o_orderkey", day)
-        rows = streamed(spark, lifecycle.row_states(live.captures(spark, store.path), fields=list(store.fields())), "update", scratch)
-    last = rows.groupBy("entity_id").agg(F.max_by(F.struct("state", "resurrected", "cells"), "batch").alias("r"))
-    return last.select("entity_id", "r.state", "r.resurrected", F.coalesce(F.col("r.cells")["o_orderstatus"], F.lit("null")).alias("status"))
+        states = lifecycle.row_states(live.captures(spark, store.path), fields=list(store.fields()))
+        told = states.select("entity_id", "state", "resurrected", F.coalesce(F.col("cells")["o_orderstatus"], F.lit("null")).alias("status"))
+        rows = streamed(spark, told, "update", scratch)
+    last = rows.groupBy("entity_id").agg(F.max_by(F.struct("state", "resurrected", "status"), "batch").alias("r"))
+    return last.select("entity_id", "r.state", "r.resurrected", "r.status")
 
 
 @query(f"WITH {SNAPS} SELECT entity_id, field, value, seq FROM slog")

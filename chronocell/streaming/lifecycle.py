@@ -13,6 +13,9 @@ from chronocell.operators.log import DELETED, is_deletion
 
 #: The state store that typed state needs (fixed name).
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: What is set where Spark aggregates.  To count its rows a store would look each key up again that it puts; and
+#: all stores of an executor share one bound of memory (Spark's default size), else each that is open has a cache.
+AGGREGATING = {"spark.sql.streaming.stateStore.rocksdb.trackTotalNumberOfRows": False, "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": True}
 OUTPUT = "entity_id string, state string, resurrected boolean, cells map<string,string>"
 #: Places of events in the total order: instant, capture, deletions last.
 PLACE = "at long, seq int, last boolean"
@@ -103,8 +106,8 @@ def row_states(events: DataFrame, keep: str | None = None, fields: Sequence[str]
     ``events`` are a stream of ``entity_id, timestamp, field, value, seq``.  The last row of each entity
     is what ``log.row_states`` says of all its events, and its last cells, in whatever order they came.
     State survives restarts.  Where the ``fields`` are named (a store's are ``Store.fields``) it is a row an
-    entity that Spark aggregates itself, which is what large tables need: ``cells`` has those fields, and they
-    stay the same from start to start.  Else it is a row a cell, fields may be any, and each entity of a batch
+    entity that Spark aggregates itself, which is what large tables need: ``cells`` has those fields, they
+    stay the same from start to start, and ``AGGREGATING`` is set in the session.  Else it is a row a cell, fields may be any, and each entity of a batch
     costs some ten calls between Python and the state store.  With ``keep`` (an interval) the cells of entities
     that are gone for so long are dropped, and events later than that after others are not taken; that goes
     without ``fields`` only.
@@ -115,6 +118,8 @@ def row_states(events: DataFrame, keep: str | None = None, fields: Sequence[str]
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)
     rows = events.select("entity_id", "timestamp", F.unix_micros("timestamp").alias("at"), "field", "value", "seq")
     if fields is not None:
+        for name, value in AGGREGATING.items():
+            spark.conf.set(name, value)
         return _of_fields(rows, fields)
     if keep is None:
         return rows.groupBy("entity_id").transformWithState(_Lifecycle(None), OUTPUT, "Update", "None")
